@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.llm import sharding, urls
+from folio.llm import pii, sharding, toxicity, urls
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_pii(spark, sf_dir):
+    return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
+
+
 def op7_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -21,7 +30,7 @@ def op9_url_filters(spark, sf_dir):
 
 
 def queries():
-    return {"op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters}
+    return {"op1_toxicity": op1_toxicity, "op10_pii": op10_pii, "op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters}
 
 
 def oracle_sql():
