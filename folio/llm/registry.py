@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.llm import pii, sharding, toxicity, urls
+from folio.llm import pieces, pii, sharding, toxicity, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,14 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.encode(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark, sf_dir):
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+
+
 def op7_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,14 @@ def op9_url_filters(spark, sf_dir):
 
 
 def queries():
-    return {"op1_toxicity": op1_toxicity, "op10_pii": op10_pii, "op7_sharding": op7_sharding, "op9_url_filters": op9_url_filters}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op4_sentencepiece": op4_sentencepiece,
+        "op5_warc": op5_warc,
+        "op7_sharding": op7_sharding,
+        "op9_url_filters": op9_url_filters,
+        "op10_pii": op10_pii,
+    }
 
 
 def oracle_sql():
