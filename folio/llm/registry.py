@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.llm import pieces, pii, sharding, toxicity, urls, warc
+from folio.llm import pieces, pii, sharding, simhash, toxicity, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -32,6 +32,10 @@ def op7_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark, sf_dir):
+    return simhash.cluster(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
     return urls.judge(_table(spark, sf_dir, "pages"), labels)
@@ -43,6 +47,7 @@ def queries():
         "op4_sentencepiece": op4_sentencepiece,
         "op5_warc": op5_warc,
         "op7_sharding": op7_sharding,
+        "op8_simhash": op8_simhash,
         "op9_url_filters": op9_url_filters,
         "op10_pii": op10_pii,
     }
