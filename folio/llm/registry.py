@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.llm import pieces, pii, sharding, simhash, toxicity, urls, warc
+from folio.llm import pieces, pii, sharding, simhash, substrings, toxicity, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -28,6 +28,11 @@ def op5_warc(spark, sf_dir):
     return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
 
 
+def op6_substrings(spark, sf_dir):
+    out = substrings.dedupe(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def queries():
         "op1_toxicity": op1_toxicity,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_warc": op5_warc,
+        "op6_substrings": op6_substrings,
         "op7_sharding": op7_sharding,
         "op8_simhash": op8_simhash,
         "op9_url_filters": op9_url_filters,
