@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.llm import pieces, pii, sharding, simhash, substrings, toxicity, urls, warc
+from folio.llm import pieces, pii, pivots, sharding, simhash, substrings, toxicity, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,10 @@ def op10_pii(spark, sf_dir):
     return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
 
 
+def op2_pivots(spark, sf_dir):
+    return pivots.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece(spark, sf_dir):
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op9_url_filters(spark, sf_dir):
 def queries():
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_pivots": op2_pivots,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_warc": op5_warc,
         "op6_substrings": op6_substrings,
