@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.llm import pieces, pii, pivots, sharding, simhash, substrings, toxicity, urls, warc
+from folio.llm import pieces, pii, pivots, sharding, simhash, substrings, templates, toxicity, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -24,6 +24,10 @@ def op2_pivots(spark, sf_dir):
     return pivots.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_templates(spark, sf_dir):
+    return templates.report(templates.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op4_sentencepiece(spark, sf_dir):
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries():
     return {
         "op1_toxicity": op1_toxicity,
         "op2_pivots": op2_pivots,
+        "op3_templates": op3_templates,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_warc": op5_warc,
         "op6_substrings": op6_substrings,
@@ -65,4 +70,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op3_templates": templates.SQL}
