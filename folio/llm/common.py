@@ -35,6 +35,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its own columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], size: Column, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``size`` over the rows before this one, by bucket, then order, within keys.
 

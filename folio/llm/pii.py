@@ -18,16 +18,16 @@ count as documents of their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import BROADCAST_ROWS, small, written
+from folio.llm.common import BROADCAST_ROWS, free, small, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT, SUPPORT, DISCLOSE, REMOVE = 5, 3, 0.8, 0.95
@@ -212,22 +212,19 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", remove
     """docs with the text sanitised; rows and other columns stay as they are."""
     found = written(find(docs, doc_id, text))
     terms = small(written(term_spans(found, written(revealing(docs, found, text, **bounds)))))
-    schema, names = docs.schema, docs.columns
-    keyed = docs.withColumn("_key", F.md5(F.encode(F.col(text), "UTF-8"))).join(terms.withColumnsRenamed({"key": "_key", "terms": "_terms"}), "_key", "left").select(*names, "_terms")
+    key, flags = free(docs, "_key"), free(docs, "_terms")
+    keyed = docs.withColumn(key, F.md5(F.encode(F.col(text), "UTF-8"))).join(terms.withColumnsRenamed({"key": key, "terms": flags}), key, "left").drop(key)
+
+    def clean(t, found):
+        if t is None:
+            return None
+        spans = [(*s, 0.0) for s in base_spans(t)] + [("term", x["start"], x["end"], x["share"]) for x in found or ()]
+        return rewrite(t, spans, remove) if spans else t
 
     def run(batches):
         for batch in batches:
-            def one(t, terms):
-                if t is None:
-                    return None
-                spans = [(*s, 0.0) for s in base_spans(t)] + [("term", x["start"], x["end"], x["share"]) for x in (terms if terms is not None else ())]
-                return rewrite(t, spans, remove) if spans else t
-
-            batch[text] = [one(t, x) for t, x in zip(batch[text], batch["_terms"], strict=True)]
-            yield batch[names]
-
-    return keyed.mapInPandas(run, schema)
-
+            at = batch.schema.get_field_index(text)
+            texts = [clean(t, found) for t, found in zip(batch.column(text).to_pylist(), batch.column(flags).to_pylist(), strict=True)]
+            yield batch.drop_columns([flags]).set_column(at, text, pa.array(texts, pa.string()))
 
-def sha(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+    return keyed.select(*(F.col(f"`{c}`") for c in docs.columns), flags).mapInArrow(run, docs.schema)

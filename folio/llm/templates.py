@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import small, written
+from folio.llm.common import free, small, written
 
 WINDOW, LITERALS, NEEDED = 8, 5, 6
 MARKS = ".,;:!?\"'()[]{}"
@@ -122,8 +122,9 @@ def report(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """docs without the documents in which an item was found."""
-    found = written(matches(docs, benchmark, doc_id=doc_id, text=text, **params).select(F.col("key").alias("_key")).distinct())
-    return docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text))).join(small(found), "_key", "left_anti").drop("_key")
+    key = free(docs, "_key")
+    found = written(matches(docs, benchmark, doc_id=doc_id, text=text, **params).select(F.col("key").alias(key)).distinct())
+    return docs.withColumn(key, F.xxhash64(F.col(doc_id), F.col(text))).join(small(found), key, "left_anti").drop(key)
 
 
 _T = "string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+')"

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,32 +235,55 @@ def spans(text: str, p: np.ndarray) -> str:
     return ",".join(f"{a}:{b}" for a, b in out + [run] * bool(run))
 
 
+class Scorer:
+    """Scores batches of texts with one model; lives as long as a task."""
+
+    def __init__(self, model: Model):
+        self.model, self.emissions = model, Emissions(model)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Scores, expected toxic words and toxic spans."""
+        model = self.model
+        scores, tags, expected = np.full(len(texts), model.prior), [""] * len(texts), np.zeros(len(texts))
+        if not model.fitted or not texts:
+            return scores, expected, tags
+        tokens = [words(t) for t in texts]
+        lengths = np.array([len(t) for t in tokens])
+        get, e = self.emissions.__getitem__, np.empty(lengths.sum())
+        at = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
+        for k, ts in enumerate(tokens):
+            e[at[k] : at[k + 1]] = list(map(get, ts))
+        p = marginals(e, *_ends(lengths), model.trans, model.start) if len(e) else e
+        feats = np.array([evidence(p[at[k] : at[k + 1]]) for k in range(len(texts))]).reshape(-1, 2)
+        scores = 1 / (1 + np.exp(-(model.link[0] + feats @ np.array(model.link[1:]))))
+        for k in np.flatnonzero(feats[:, 0] >= SPAN_AT):
+            tags[k] = spans(texts[k], p[at[k] : at[k + 1]])
+        return scores, np.expm1(feats[:, 1]), tags
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, n_toxic (expected toxic words), spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = shared.value
-        emissions = Emissions(model)
+        scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch["text"].tolist()
-            tokens = [words(t) for t in texts]
-            lengths = np.array([len(t) for t in tokens])
-            scores, tags, expected = np.full(len(texts), model.prior), [""] * len(texts), np.zeros(len(texts))
-            if model.fitted:
-                get, e = emissions.__getitem__, np.empty(lengths.sum())
-                at = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
-                for k, ts in enumerate(tokens):
-                    e[at[k] : at[k + 1]] = list(map(get, ts))
-                first, last = _ends(lengths)
-                p = marginals(e, first, last, model.trans, model.start) if len(e) else e
-                feats = np.array([evidence(p[at[k] : at[k + 1]]) for k in range(len(texts))]).reshape(-1, 2)
-                scores = 1 / (1 + np.exp(-(model.link[0] + feats @ np.array(model.link[1:]))))
-                expected = np.expm1(feats[:, 1])
-                for k in np.flatnonzero(feats[:, 0] >= SPAN_AT):
-                    tags[k] = spans(texts[k], p[at[k] : at[k + 1]])
+            scores, expected, tags = scorer(batch["text"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "n_toxic": expected, "spans": tags})
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, n_toxic double, spans string")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_toxic", "spans")
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold; a null text counts as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(scorer(texts)[0] < THRESHOLD, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
