@@ -1,8 +1,8 @@
-"""Vote-weighted ranking."""
+"""Ranking statistics: weighted means, robust scores, cutoffs, imputation by quantile."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,70 @@ def bayesian(titles: DataFrame, prior: int) -> DataFrame:
     v, c = F.col("votes"), F.lit(float(prior))
     score = F.round(v / (v + c) * F.col("rating") + c / (v + c) * F.col("_m"), 6)
     return titles.join(F.broadcast(mean), F.lit(True), "left").withColumn("rank", F.when((v > 0) & (F.col("rating") > 0), score)).drop("_m")
+
+
+def robust_z(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds (value - median) / max(1.4826 · MAD, 1e-9) within keys, in two aggregations."""
+    centre = rows.groupBy(*keys).agg(F.median(value).alias("_c"))
+    away = rows.join(centre, keys)
+    spread = away.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("_c"))).alias("_d"))
+    scale = F.greatest(F.col("_d") * 1.4826, F.lit(1e-9))
+    return away.join(spread, keys).withColumn(name, (F.col(value) - F.col("_c")) / scale).drop("_c", "_d")
+
+
+def breakout(rows: DataFrame, rungs: list[list[str]], least: int, confidence: int) -> DataFrame:
+    """reach and love of (id, votes, rating, ...): medians of robust z-scores over a ladder of strata.
+
+    For each locale key of a row (the column ``locale``) the first rung whose stratum has ``least`` members
+    scores the row; rungs are lists of columns, finest first. love is damped by v/(v + confidence).
+    """
+    base = rows.withColumn("_reach", F.log10("votes")).withColumn("_row", F.struct("id", "locale"))
+    scored = None
+    for level, keys in enumerate(rungs):
+        big = base.join(base.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n"), keys)
+        z = robust_z(robust_z(big, keys, "_reach", "_zr"), keys, "rating", "_zl").select("id", "locale", "votes", F.lit(level).alias("_level"), "_zr", "_zl")
+        scored = z if scored is None else scored.unionByName(z)
+    first = scored.groupBy("id", "locale").agg(F.min_by(F.struct("votes", "_zr", "_zl"), "_level").alias("s"))
+    damp = F.col("s.votes") / (F.col("s.votes") + confidence)
+    return first.groupBy("id").agg(F.round(F.median("s._zr"), 6).alias("reach"), F.round(F.median(F.col("s._zl") * damp), 6).alias("love"))
+
+
+def at_index(rows: DataFrame, value: str, index: Column) -> DataFrame:
+    """The value at a 0-based index of the ascending order, as one row; index may use n, the number of rows.
+
+    Values are counted first, so the ordered scan is over distinct values.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
+    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    total = counts.agg(F.sum("c").alias("n"))
+    placed = counts.withColumn("upto", F.sum("c").over(upto)).join(F.broadcast(total), F.lit(True), "inner").withColumn("at", index)
+    return placed.filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at"))).select(F.col(value).alias("cutoff"))
+
+
+def floor_percentile(rows: DataFrame, value: str, p: float) -> DataFrame:
+    """Discrete percentile: index min(n - 1, floor(n · p))."""
+    return at_index(rows, value, F.least(F.col("n") - 1, F.floor(F.col("n") * p)))
+
+
+def nearest_rank(rows: DataFrame, value: str, q: float) -> DataFrame:
+    """Nearest-rank percentile: the ceil(q · n)-th value."""
+    return at_index(rows, value, F.greatest(F.ceil(F.col("n") * q) - 1, F.lit(0)))
+
+
+def head_cutoff(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """The k-th largest value, or -1 where there are fewer."""
+    return at_index(rows, value, F.col("n") - k).unionByName(rows.filter(F.col(value).isNotNull()).agg(F.count("*").alias("n")).filter(F.col("n") < k).select(F.lit(-1.0).alias("cutoff")))
+
+
+def impute(reference: DataFrame, targets: DataFrame) -> DataFrame:
+    """Votes at the target's popularity quantile: reference (popularity, votes), targets (id, popularity).
+
+    The lower bound of a target in the sorted reference is a count, taken by one ordered pass over
+    reference and targets together; it is then an equi-join with the position among the votes.
+    """
+    both = reference.select("popularity", F.lit(None).cast("long").alias("id"), F.lit(1).alias("ref")).unionByName(targets.select("popularity", "id", F.lit(0).alias("ref")))
+    before = Window.orderBy("popularity", "ref").rowsBetween(Window.unboundedPreceding, 0)
+    low = both.withColumn("lo", F.sum("ref").over(before)).filter("ref = 0").select("id", "lo")
+    places = reference.select("votes", (F.row_number().over(Window.orderBy("votes")) - 1).alias("at"))
+    n = reference.agg(F.count("*").alias("n"))
+    return low.join(F.broadcast(n), F.lit(True), "inner").withColumn("at", F.least("lo", F.col("n") - 1)).join(places, "at").select("id", F.col("votes").alias("imputed"))
