@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from folio.plans import browse, relations, statistics
+
+MODULES = (browse, relations, statistics)
 
-def _all() -> dict:
-    from folio.plans import browse
 
-    found: dict = {}
-    for module in (browse,):
-        found |= module.QUERIES
-    return found
+def _all() -> dict:
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def queries() -> dict:
