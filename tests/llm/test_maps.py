@@ -18,13 +18,13 @@ def table(spark, sf_dir, name):
 
 
 def test_toxicity_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # the smaller tables have a dozen held-out toxic labels; about a tenth of the labels are noise
     truth = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
     got = registry.op1_toxicity(spark, sf).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
     held = [(truth[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in truth]
     tp, fp, fn = (sum(p == x for p in held) for x in ((1, 1), (0, 1), (1, 0)))
-    assert tp and 2 * tp / (2 * tp + fp + fn) >= 0.8, (tp, fp, fn)
+    assert tp and 2 * tp / (2 * tp + fp + fn) >= 0.85, (tp, fp, fn)
 
 
 def test_toxicity_odd_rows(spark, odd, none):
