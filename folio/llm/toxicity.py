@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 PER_CLASS, MAX_CHARS, STEPS, THRESHOLD, SPAN_AT = 1200, 20_000, 50, 0.3, 0.5
 MIN_DOCS, MIN_SHARE, MIN_RATIO = 3, 0.02, 12.0
 CACHE = 400_000
+#: Characters of the texts that a task scores at once.
+AT_ONCE = 1_000_000
 STRIP = ".,;:!?*#%$&|\"'()[]{}<>"
 
 
@@ -242,7 +244,18 @@ class Scorer:
         self.model, self.emissions = model, Emissions(model)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Scores, expected toxic words and toxic spans."""
+        """Scores, expected toxic words and toxic spans; AT_ONCE characters (one text at least) at a time."""
+        found, at, n = [], 0, 0
+        for k, t in enumerate(texts):
+            if k > at and n + len(t) > AT_ONCE:
+                found.append(self._some(texts[at:k]))
+                at, n = k, 0
+            n += len(t)
+        found.append(self._some(texts[at:]))
+        scores, expected, tags = zip(*found, strict=True)
+        return np.concatenate(scores), np.concatenate(expected), sum(tags, [])
+
+    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         model = self.model
         scores, tags, expected = np.full(len(texts), model.prior), [""] * len(texts), np.zeros(len(texts))
         if not model.fitted or not texts:
