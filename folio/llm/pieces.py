@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MEMO, COMMIT_AT = 500_000, 64
+MEMO, COMMIT_AT, ROWS_AT_ONCE = 200_000, 64, 500
 _CHUNK = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: st
 
     def run(batches):
         codec = Codec(shared.value)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, len(b), ROWS_AT_ONCE)):
             flat, ends, same = array("i"), array("i", [0]), []
             for t in batch.column("text").to_pylist():
                 ids = codec.encode(t)
