@@ -170,7 +170,8 @@ def covered(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX, large:
 
     firsts = texts.filter("is_first").select("id", "text")
     seen = written(firsts.mapInPandas(scan, "h long, id long, at long"))
-    often = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # Written, so that both sides of the join have exchanges of their own and a hot prefix can be split.
+    often = written(seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     again = written(seen.join(often, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", (F.col("n") > large).alias("big"))).alias("suffixes")))
     items = again.agg(F.coalesce(F.sum(F.size("suffixes")), F.lit(0)).alias("n")).first().n
 
@@ -214,8 +215,8 @@ def covered(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX, large:
     trees_in = pieces.filter("NOT big").select("h", "id", "at", "words").repartition("h").sortWithinPartitions("h")
     ranges = trees_in.mapInPandas(trees, "id long, from int, to int")
     whole = pieces.filter("big").select("h", "h2", "id", "at")
-    nodes = whole.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1")
-    ranges = ranges.union(whole.join(nodes, ["h", "h2"]).select("id", F.col("at").cast("int"), (F.col("at") + window).cast("int")))
+    nodes = written(whole.groupBy("h", "h2").agg(F.count("*").alias("n")).filter("n > 1"))
+    ranges = ranges.union(whole.join(small(nodes), ["h", "h2"]).select("id", F.col("at").cast("int"), (F.col("at") + window).cast("int")))
     return ranges.distinct().groupBy("id").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("ranges"))
 
 
