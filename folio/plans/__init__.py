@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folio.plans import browse, relations, statistics
+from folio.plans import browse, logs, relations, statistics
 
-MODULES = (browse, relations, statistics)
+MODULES = (browse, relations, statistics, logs)
 
 
 def _all() -> dict:

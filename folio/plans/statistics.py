@@ -34,7 +34,7 @@ def _cutoffs(scores, column, p):
 
 def breakout_shelf(spark, sf_dir):
     """Titles beyond both percentiles, in a band of votes, outside the ranked head."""
-    scores = _breakout(spark, sf_dir)
+    scores = _breakout(spark, sf_dir).persist()  # one small row per title, read three times
     head = rank.bayesian(catalogue.titles(spark, sf_dir), PRIOR)
     limits = _cutoffs(scores, "reach", 0.6).withColumnRenamed("cutoff", "_r").join(_cutoffs(scores, "love", 0.5).withColumnRenamed("cutoff", "_l"), F.lit(True), "inner").join(rank.head_cutoff(head, "rank", 100).withColumnRenamed("cutoff", "_h"), F.lit(True), "inner")
     rows = scores.join(head, "id").join(F.broadcast(limits), F.lit(True), "inner")
