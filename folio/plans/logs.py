@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from folio.session import table
 
 GAP, QUOTA, NEWEST = 1800, 3, 3
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def _by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def _events(spark, sf_dir):
@@ -18,19 +21,19 @@ def _events(spark, sf_dir):
 
 def refinements_lag(spark, sf_dir):
     """What a user did before, and how many seconds earlier."""
-    rows = _events(spark, sf_dir).withColumn("before", F.lag("event_type").over(BY_USER)).withColumn("since", F.col("sec") - F.lag("sec").over(BY_USER))
+    rows = _events(spark, sf_dir).withColumn("before", F.lag("event_type").over(_by_user())).withColumn("since", F.col("sec") - F.lag("sec").over(_by_user()))
     return rows.select("event_id", "before", "since")
 
 
 def lead_intervals(spark, sf_dir):
     """The interval from each event to the user's next."""
-    return _events(spark, sf_dir).withColumn("until", F.lead("sec").over(BY_USER)).select("event_id", "sec", "until")
+    return _events(spark, sf_dir).withColumn("until", F.lead("sec").over(_by_user())).select("event_id", "sec", "until")
 
 
 def session_gap(spark, sf_dir):
     """Sessions that end after a gap of half an hour; events and length of each."""
-    new = F.coalesce((F.col("sec") - F.lag("sec").over(BY_USER) > GAP).cast("int"), F.lit(1))
-    rows = _events(spark, sf_dir).withColumn("new", new).withColumn("session", F.sum("new").over(BY_USER))
+    new = F.coalesce((F.col("sec") - F.lag("sec").over(_by_user()) > GAP).cast("int"), F.lit(1))
+    rows = _events(spark, sf_dir).withColumn("new", new).withColumn("session", F.sum("new").over(_by_user()))
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("n"), (F.max("sec") - F.min("sec")).alias("seconds"))
 
 
