@@ -7,7 +7,7 @@ position has one surviving backpointer, candidates reach back at most the longes
 and ids are committed as soon as the paths of all positions in that window run through one
 boundary. No piece crosses from a non-space to a space or touches a line break (which no
 piece contains), so paths always converge there; the stretches between such boundaries
-recur, and up to a bounded number they and the backpointers of their prefixes are remembered.
+recur, and up to a bounded number their ids are remembered; the frequent ones outlive the rare.
 
 Defined results: a null text is empty; an empty text has no ids. Repeated rows are encoded
 alike. Characters outside the vocabulary become byte pieces. U+2581 in a text is a space
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MEMO, COMMIT_AT, ROWS_AT_ONCE = 200_000, 64, 500
+MEMO, COMMIT_AT, ROWS_AT_ONCE = 150_000, 64, 500
 _CHUNK = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -48,19 +48,23 @@ class Vocabulary:
 
 
 class Memo(dict):
-    """Ids of stretches that begin with ``lead``, computed once each; emptied when full."""
+    """Ids of stretches that begin with ``lead``; when full, only those asked for again stay for another round."""
 
     def __init__(self, codec: Codec, lead: str):
         super().__init__()
-        self.codec, self.lead = codec, lead
+        self.codec, self.lead, self.older = codec, lead, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        chunk = self.lead + word
-        if len(chunk) > COMMIT_AT:
-            return tuple(self.codec.stream(chunk))
+        ids = self.older.get(word)
+        if ids is None:
+            chunk = self.lead + word
+            if len(chunk) > COMMIT_AT:
+                return tuple(self.codec.stream(chunk))
+            ids = self.codec.short(chunk)
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.codec.short(chunk) if chunk else ()
+        self[word] = ids
         return ids
 
 
@@ -70,7 +74,10 @@ class Codec:
         self.width = max(map(len, vocabulary.id_of))
         self.byte_id = {b: i for i, b in vocabulary.byte_of.items()}
         self.seams: dict[tuple[str, str], bool] = {}
-        self.last: dict[str, str] = {"": ""}  # prefix of a stretch -> the piece that ends it
+        self.reach: dict[str, int] = {}  # last three characters -> the longest piece that ends in them
+        for p in vocabulary.id_of:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
         self.inner, self.bare = Memo(self, SPACE), Memo(self, "")
         self.text_of = ["" if i in vocabulary.special else p.replace(SPACE, " ") for i, p in enumerate(vocabulary.pieces)]
         for i, b in vocabulary.byte_of.items():
@@ -101,33 +108,26 @@ class Codec:
             known = self.seams[key] = whole not in self.v.whole and self.merged(whole) == [left, right]
         return known
 
-    def ends(self, text: str) -> str:
-        """The piece that ends the path of a text whose shorter prefixes are known."""
-        vocab, last = self.v.id_of, self.last
-        n = len(text)
-        for k in range(min(self.width, n), 0, -1):
-            piece = text[n - k :]
-            if (piece in vocab or k == 1) and (self.holds(last[text[: n - k]], piece) if n > k else k == 1 or piece in self.v.whole):
-                return piece
-        raise AssertionError(text)
-
     def short(self, chunk: str) -> tuple[int, ...]:
         """Ids of a stretch of at most COMMIT_AT characters."""
-        last = self.last
-        if len(last) >= MEMO:
-            last.clear()
-            last[""] = ""
-        n = len(chunk)
-        while chunk[:n] not in last:
-            n -= 1
-        for m in range(n + 1, len(chunk) + 1):
-            last[chunk[:m]] = self.ends(chunk[:m])
-        out, end = [], len(chunk)
-        while end > 0:
-            piece = last[chunk[:end]]
-            out.append(piece)
-            end -= len(piece)
-        return tuple(i for p in reversed(out) for i in self._ids(p))
+        vocab, seams, reach, last = self.v.id_of, self.seams, self.reach, [""]
+        for m in range(1, len(chunk) + 1):
+            for k in range(min(m, reach.get(chunk[m - 3 : m], 2) if m > 2 else 2), 0, -1):
+                piece = chunk[m - k : m]
+                if piece not in vocab and k > 1:
+                    continue
+                if m == k:
+                    kept = k == 1 or piece in self.v.whole
+                else:
+                    kept = seams.get((last[m - k], piece))
+                    if kept is None:
+                        kept = self.holds(last[m - k], piece)
+                if kept:
+                    last.append(piece)
+                    break
+            else:
+                raise AssertionError(chunk)
+        return tuple(self._path(last, len(chunk)))
 
     def _ids(self, piece: str) -> list[int]:
         i = self.v.id_of.get(piece)
@@ -164,7 +164,9 @@ class Codec:
         while end > 0:
             out.append(last[end])
             end -= len(last[end])
-        return [i for p in reversed(out) for i in self._ids(p)]
+        out.reverse()
+        ids = list(map(self.v.id_of.get, out))
+        return ids if None not in ids else [i for p in out for i in self._ids(p)]
 
     def encode(self, text: str) -> array:
         if not text:
