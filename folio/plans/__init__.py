@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folio.plans import browse, logs, relations, statistics
+from folio.plans import browse, logs, relations, statistics, text
 
-MODULES = (browse, relations, statistics, logs)
+MODULES = (browse, relations, statistics, logs, text)
 
 
 def _all() -> dict:
