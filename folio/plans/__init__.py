@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folio.plans import browse, logs, relations, statistics, text
+from folio.plans import browse, logs, relations, shelves, statistics, text
 
-MODULES = (browse, relations, statistics, logs, text)
+MODULES = (browse, relations, statistics, logs, text, shelves)
 
 
 def _all() -> dict:
