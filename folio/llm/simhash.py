@@ -263,13 +263,13 @@ def probes(fp: np.ndarray, weak: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, node (hash of the text), fp, weak, n."""
+    """Per row: doc_id, node (hash of the text), fp, weak, n (all three of the distinct shingles)."""
 
     def run(batches):
         for b in batches:
             out = []
             for t in b["text"]:
-                h = shingle_hashes(t, words)
+                h = np.unique(shingle_hashes(t, words))  # the set that similar() compares
                 c = bit_counts(h)
                 out.append((fingerprint(c, len(h)), weakest(c, len(h)), len(h)))
             cols = zip(*out, strict=True) if out else ((), (), ())

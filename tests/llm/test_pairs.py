@@ -106,6 +106,18 @@ def test_dedupe_keeps_one_of_each_group(spark, sf_dir):
     assert len(got - want) <= 0.02 * (len(rows) - len(want)) + 1  # recall of what must go
 
 
+def random_words(r, n):
+    return [f"w{x}" for x in r.integers(0, 10**6, n)]
+
+
+def test_dedupe_finds_a_text_and_its_double(spark):
+    r = np.random.default_rng(7)
+    texts = [" ".join(random_words(r, 150)) for _ in range(40)]
+    rows = [(2 * i, t) for i, t in enumerate(texts)] + [(2 * i + 1, f"{t} {t}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.dedupe(df).select("doc_id").collect()) == [2 * i for i in range(40)]
+
+
 def test_dedupe_odd_rows(odd, none):
     out = simhash.dedupe(odd)
     assert out.columns == odd.columns
