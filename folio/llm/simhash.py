@@ -8,12 +8,12 @@ and only surviving leaves are compared. A bucket gives at most one edge for each
 so groups of near copies never become all their pairs. Buckets that are too large are split by
 further blocks; after two splits 15 free bits at most remain, so that no bucket exceeds 2**15 fingerprints.
 
-``dedupe`` keeps one document of each group of texts whose shingles have a Jaccard similarity
-of ``similarity`` or more, which lets more bits differ than blocks can promise. There a
-fingerprint enters a bucket for each block of 16 bits with its three weakest bits (those whose
-counts are nearest to half, so the likeliest to differ) set either way, split by the number of
-shingles; in a bucket, Gray-ordered neighbours are compared and the nearest become candidates,
-which are verified on their shingles. The recall is measured in the tests.
+``dedupe`` keeps one document of each group of texts whose shingle sets have a Jaccard similarity
+of ``similarity`` or more. Fingerprints of the distinct shingles give likely links by the index above.
+What they miss is found exactly by a prefix filter: with all shingles in one order, two similar sets
+share one of their first n - ceil(similarity n) + 1. Texts that share one are compared, on all
+their shingles. Long lists of texts with one shingle are joined to families, unless the links found
+hold each list together, and families are compared in blocks, all pairs of them.
 
 Defined results: a null text is empty; texts without words have fingerprint zero and are
 linked like any other. Repeated rows are copies of each other. Empty tables give empty results.
@@ -231,128 +231,208 @@ def cluster(docs: DataFrame, words: int = 3, radius: int = RADIUS, doc_id: str =
 
 # Near-duplicates by similarity.
 
-WORDS, SIMILARITY, WEAK, REACH, NEAREST, FAR = 5, 0.8, 3, 64, 3, 18
-_LENGTH = np.log(1 / SIMILARITY)
+WORDS, SIMILARITY = 5, 0.8
+#: Texts sampled for the order of shingles; from how many of them on one is common; how many such are kept.
+SAMPLE, COMMON, MOST = 4_000, 3, 200_000
+#: Members from which a list of texts with one shingle is not paired in place; texts in a block.
+LONG, BLOCK = 16, 256
 
 
-def weakest(counts: np.ndarray, n: int) -> int:
-    """Places (4 bits each) of the three weakest bits of every 16-bit block, packed."""
-    out = 0
-    for k in range(4):
-        margin = np.abs(2 * counts[16 * k : 16 * k + 16] - n)
-        for place in np.argsort(margin, kind="stable")[:WEAK]:
-            out = out << 4 | int(place)
-    return out
+def common(docs: DataFrame, words: int, text: str) -> np.ndarray:
+    """Shingles that many texts of a sample have, the commonest last. It orders the shingles; any order finds the same pairs."""
+
+    def run(batches):
+        for b in batches:
+            for t in b["text"]:
+                yield pd.DataFrame({"h": np.unique(shingle_hashes(t, words)).view(np.int64)})
+
+    one_in = max(1, docs.count() // SAMPLE)
+    rows = docs.select(_node(text).alias("node"), F.col(text).alias("text")).filter(F.pmod(F.hash("node"), F.lit(one_in)) == 0).dropDuplicates(["node"])
+    counts = rows.select("text").mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    top = counts.orderBy(F.desc("n"), "h").limit(MOST).collect()
+    return np.array([r.h for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def probes(fp: np.ndarray, weak: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The buckets of fingerprints: 2 lengths x 4 blocks x 8 settings of the weak bits, one row each."""
-    out = []
-    length = np.floor(np.log(np.maximum(n, 1)) / _LENGTH).astype(np.int64)
-    for k in range(4):
-        value = (fp >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64)
-        shift = 12 * (3 - k)
-        places = [(weak >> (shift + 4 * (WEAK - 1 - j))) & 15 for j in range(WEAK)]
-        for setting in range(1 << WEAK):
-            v = value
-            for j in range(WEAK):
-                bit = np.int64(1) << places[j]
-                v = np.where(setting >> j & 1, v | bit, v & ~bit)
-            out += [((length + up) << 18) | (k << 16) | v for up in (0, 1)]
-    return np.stack(out, axis=1)
+def prefix(h: np.ndarray, by_value: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the distinct sorted hashes, common ones last: similar sets share one of their prefixes at least.
+
+    Sets that share ``similarity`` of the larger can't differ in all of the first n - ceil(similarity n) + 1 of both.
+    """
+    if len(by_value):
+        at = np.minimum(np.searchsorted(by_value, h), len(by_value) - 1)
+        known = by_value[at] == h
+        late = at[known]
+        h = np.concatenate([h[~known], h[known][np.argsort(place[late])]])
+    return h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1] if len(h) else h
 
 
-def _described(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, node (hash of the text), fp, weak, n (all three of the distinct shingles)."""
+def _described(docs: DataFrame, words: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """Per row: doc_id, node (hash of the text), and of its distinct shingles fp, n (how many) and pre (the prefix)."""
+    last = common(docs, words, text)
+    order = np.argsort(last)
+    shared = docs.sparkSession.sparkContext.broadcast((last[order], order))
 
     def run(batches):
         for b in batches:
             out = []
             for t in b["text"]:
                 h = np.unique(shingle_hashes(t, words))  # the set that similar() compares
-                c = bit_counts(h)
-                out.append((fingerprint(c, len(h)), weakest(c, len(h)), len(h)))
-            cols = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "node": b["node"]} | {k: np.array(v, np.int64) for k, v in zip(("fp", "weak", "n"), cols, strict=True)})
+                out.append((fingerprint(bit_counts(h), len(h)), len(h), prefix(h, *shared.value, similarity).view(np.int64)))
+            fp, n, pre = zip(*out, strict=True) if out else ((), (), ())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "node": b["node"], "fp": np.array(fp, np.int64), "n": np.array(n, np.int64), "pre": pd.Series(pre, dtype=object)})
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _node(text).alias("node"))
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, fp long, weak long, n long")
+    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, fp long, n long, pre array<long>")
 
 
 def _node(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: for each node (node, fp, weak, n) its nearest Gray-ordered neighbours in each bucket."""
+def _spread(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
-    def expand(batches):
-        for b in batches:
-            keys = probes(b["fp"].to_numpy(np.int64).view(np.uint64), b["weak"].to_numpy(np.int64), b["n"].to_numpy(np.int64))
-            times = keys.shape[1]
-            yield pd.DataFrame({"k": keys.reshape(-1), "node": np.repeat(b["node"].to_numpy(), times), "fp": np.repeat(b["fp"].to_numpy(), times)})
 
-    def near(batches):
-        rest = None
-        for b in batches:
-            cols = {c: b[c].to_numpy(np.int64) for c in ("k", "node", "fp")}
-            if rest is not None:
-                cols = {c: np.concatenate([rest[c], v]) for c, v in cols.items()}
-            k, node, fp = cols["k"], cols["node"], cols["fp"].view(np.uint64)
-            left, right, far = [], [], []
-            for lag in range(1, min(REACH, len(k) - 1) + 1):
-                i = np.flatnonzero(k[:-lag] == k[lag:])
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: likely links of the nodes (node, fp), by the exact index of fingerprints; a forest for each bucket."""
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = nodes.select("node", "fp").join(first, "fp").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    near = edges(first.select("fp"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))
+    return _spread(same.unionByName(near.join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))))
+
+
+def by_prefix(nodes: DataFrame, similarity: float, long: int) -> DataFrame:
+    """(h, a, b) of nodes (node, n, pre) whose prefixes share a shingle, h null: every such pair that can be similar.
+
+    A shingle of more than ``long`` nodes gives no pairs but its list: rows with h and each member as b, the first one as a.
+    """
+    def run(batches):
+        for rows, starts in groups(batches, ["h"]):
+            node, n, at = (rows[c].to_numpy(np.int64) for c in ("node", "n", "at"))
+            sizes = np.diff(np.append(starts, len(node)))
+            first = np.repeat(starts, sizes)
+            listed = np.repeat(sizes > long, sizes)
+            yield pd.DataFrame({"h": rows["h"][listed].astype("Int64"), "a": node[first[listed]], "b": node[listed]})
+            mine = ~listed
+            for lag in range(1, min(long, len(node))):
+                i = np.flatnonzero(mine[:-lag] & (first[:-lag] == first[lag:]))
                 if not len(i):
                     break
-                d = np.bitwise_count(fp[i] ^ fp[i + lag])
-                i, d = i[d <= FAR], d[d <= FAR]
-                left += [i, i + lag]
-                right += [i + lag, i]
-                far += [d, d]
-            if left:
-                i, j, d = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-                order = np.lexsort((node[j], d, i))
-                i, j = i[order], j[order]
-                begins = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.empty(0, np.int64)
-                rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
-                i, j = i[rank < NEAREST], j[rank < NEAREST]
-                yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
-            rest = {c: v[-REACH:] for c, v in cols.items()}
-
-    # Rotating by the block gives each block's buckets an order of their own.
-    block = F.shiftright("k", 16).bitwiseAND(F.lit(3)).cast("int")
-    turned = F.when(block == 0, F.col("fp"))
-    for b in (1, 2, 3):
-        turned = turned.when(block == b, F.shiftleft("fp", 16 * b).bitwiseOR(F.shiftrightunsigned("fp", BITS - 16 * b)))
-    rows = nodes.select("node", "fp", "weak", "n").mapInPandas(expand, "k long, node long, fp long").withColumn("g", gray_rank(turned))
-    placed = rows.repartitionByRange("k", "g").sortWithinPartitions("k", "g", "node").select("k", "node", "fp")
-    return placed.mapInPandas(near, "a long, b long").filter("a <> b").distinct()
+                j = i + lag
+                # at the first shingle that two prefixes share, only what follows can be shared beside it
+                need = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
+                keep = (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+                i, j = i[keep], j[keep]
+                yield pd.DataFrame({"h": pd.array([None] * len(i), "Int64"), "a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
 
+    rows = nodes.select("node", "n", F.posexplode("pre").alias("at", "h"))
+    placed = rows.select("h", "node", F.col("n").cast("int").alias("n"), F.col("at").cast("int").alias("at")).repartition("h").sortWithinPartitions("h", "node")
+    return placed.mapInPandas(run, "h long, a long, b long")
 
-def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' shingle sets have the similarity."""
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, text: str) -> DataFrame:
+    """(node, s): the shingle sets of the wanted nodes."""
 
     def sets(batches):
         for b in batches:
             yield pd.DataFrame({"node": b["node"], "s": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b["text"]]})
 
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     texts = docs.select(_node(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(small(wanted), "node", "left_semi").dropDuplicates(["node"])
-    of = written(texts.mapInPandas(sets, "node long, s array<long>"))
+    return written(texts.mapInPandas(sets, "node long, s array<long>"))
+
+
+def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    sizes = [len(s) for s in sets]
+    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = times[ids] > 1
+    _, ids = np.unique(ids[shared], return_inverse=True)
+    row = row[shared]
+    order = np.argsort(ids, kind="stable")
+    ids, row = ids[order], row[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
+        a, b = np.searchsorted(ids, (low, low + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[a:b], ids[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def in_families(docs: DataFrame, lists: DataFrame, root: DataFrame, words: int, similarity: float, text: str, block: int) -> DataFrame | None:
+    """(a, b): links of the long lists (h, a: first member, b) that root (node, root) does not hold together; None if it holds all.
+
+    Lists that share members are a family. Its texts are dealt in blocks by length, and each two blocks are
+    compared in full, which gives a forest of their similar pairs.
+    """
+    placed = lists.join(root.select(F.col("node").alias("b"), "root"), "b", "left").select("h", "b", F.coalesce("root", "b").alias("root"))
+    apart = lambda rows: rows.join(rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("b").alias("a")).filter("low <> high"), "h").select("h", "a", "b", "root")
+    mixed = written(apart(placed))
+    if not mixed.limit(1).count():
+        return None
+    of = _sets(docs, mixed.select(F.col("b").alias("node")).distinct(), words, text)
+    # A text that shares too few of its shingles with all others together is similar to none of them.
+    each = of.select("node", F.size("s").alias("n"), F.explode("s").alias("x"))
+    twice = each.groupBy("x").agg(F.count("*").alias("times")).filter("times > 1").select("x")
+    able = each.join(twice, "x").groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n")).filter(F.col("shared") >= similarity * F.col("n") - 1e-6)
+    able = written(able.select(F.col("node").alias("b"), F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(similarity)))).cast("int").alias("level")))
+    stars = written(apart(mixed.drop("a").join(able.select("b"), "b")).select("a", "b").distinct())
+    if not stars.limit(1).count():
+        return None
+    family = components(stars).withColumnRenamed("root", "family").join(able.withColumnRenamed("b", "node"), "node")
+    # Similar sets are of one length class or of two that follow each other.
+    family = written(family.select("family", "node", F.explode(F.array("level", F.col("level") + 1)).alias("level")))
+    blocks = family.groupBy("family", "level").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    own = F.pmod(F.hash("node"), F.col("blocks"))
+    dealt = family.join(blocks, ["family", "level"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", "level", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(of, "node")
+
+    def run(batches):
+        for rows, starts in groups(batches, ["family", "level", "i", "j"]):
+            node = rows["node"].to_numpy(np.int64)
+            for s, e in zip(starts, [*starts[1:], len(node)], strict=True):
+                sets = list(rows["s"].iloc[s:e])
+                both, n = overlaps(sets), np.array([len(x) for x in sets])
+                a, b = np.nonzero(np.triu((both > 0) & (both >= similarity * (n[:, None] + n - both) - 1e-6), 1))
+                label = roots(len(sets), a, b)
+                linked_to = np.flatnonzero(label != np.arange(len(sets)))
+                yield pd.DataFrame({"a": node[s + label[linked_to]], "b": node[s + linked_to]})
+
+    key = ["family", "level", "i", "j"]
+    spread = dealt.repartition(*key).sortWithinPartitions(*key, "node").select(*key, "node", "s")
+    return written(spread.mapInPandas(run, "a long, b long").distinct())
+
+
+def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' shingle sets have the similarity."""
+    of = _sets(docs, written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), words, text)
     both = pairs.join(of.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(of.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter((shared >= similarity * (F.size("sa") + F.size("sb") - shared)) & (shared > 0)).select("a", "b")
 
 
+def links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, text: str, long: int = LONG, block: int = BLOCK) -> DataFrame:
+    """(a, b) of similar nodes that connect all similar ones: every pair whose prefixes meet is compared, or already connected."""
+    met = written(by_prefix(nodes, similarity, long))
+    lists = met.filter("h IS NOT NULL")
+    pairs = written(_spread(met.select("a", "b").union(by_fingerprint(nodes))))
+    found = written(similar(docs, pairs, words, similarity, text))
+    if not lists.limit(1).count():
+        return found
+    more = in_families(docs, lists, components(found), words, similarity, text, block)
+    return found if more is None else found.union(more)
+
+
 def dedupe(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, without the near-duplicates: of each group the smallest doc_id stays, once.
 
     Groups are equal texts and texts that similar pairs join. A null text is an empty one.
     """
-    found = written(_described(docs, words, doc_id, text))
-    nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("weak").alias("weak"), F.first("n").alias("n")))
-    pairs = written(similar(docs, written(candidates(nodes)), words, similarity, text))
-    root = components(pairs)
+    found = written(_described(docs, words, similarity, doc_id, text))
+    nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("fp", "n", "pre"))))
+    root = components(links(docs, nodes, words, similarity, text))
     tagged = nodes.select("node", "first").join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     best = tagged.groupBy("root").agg(F.min(F.struct("first", "node")).alias("best"), F.count("*").alias("texts"))
     kept = tagged.join(best, "root").select("node", F.col("best.first").alias("first"), F.col("best.node").alias("keep"))

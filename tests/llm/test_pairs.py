@@ -118,6 +118,28 @@ def test_dedupe_finds_a_text_and_its_double(spark):
     assert sorted(x.doc_id for x in simhash.dedupe(df).select("doc_id").collect()) == [2 * i for i in range(40)]
 
 
+@pytest.mark.parametrize("n", [60, 1000, 3000])
+def test_dedupe_finds_every_link_of_a_large_group(spark, n):
+    r = np.random.default_rng(n)
+    base, rows = random_words(r, 300), []
+    for i in range(n):
+        ws = list(base)
+        for at in r.choice(300, 5, replace=False):
+            ws[at] = f"x{r.integers(10**9)}"
+        rows.append((i, " ".join(ws)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    place = {h: k for k, h in enumerate(sorted(h for h, c in Counter(h for s in sets for h in s).items() if c > 1))}
+    m = np.zeros((n, len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[h] for h in s if h in place]] = 1
+    both, size = m @ m.T, np.array([len(s) for s in sets])
+    a, b = np.nonzero(np.triu(both >= 0.8 * (size[:, None] + size - both), 1))
+    assert len(a)
+    want = sorted(set(components_of(range(n), zip(a.tolist(), b.tolist(), strict=True)).values()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.dedupe(df).select("doc_id").collect()) == want
+
+
 def test_dedupe_odd_rows(odd, none):
     out = simhash.dedupe(odd)
     assert out.columns == odd.columns
