@@ -8,12 +8,14 @@ and only surviving leaves are compared. A bucket gives at most one edge for each
 so groups of near copies never become all their pairs. Buckets that are too large are split by
 further blocks; after two splits 15 free bits at most remain, so that no bucket exceeds 2**15 fingerprints.
 
-``dedupe`` keeps one document of each group of texts whose shingle sets have a Jaccard similarity
-of ``similarity`` or more. Fingerprints of the distinct shingles give likely links by the index above.
-What they miss is found exactly by a prefix filter: with all shingles in one order, two similar sets
-share one of their first n - ceil(similarity n) + 1. Texts that share one are compared, on all
-their shingles. Long lists of texts with one shingle are joined to families, unless the links found
-hold each list together, and families are compared in blocks, all pairs of them.
+``dedupe`` keeps one document of each group of texts whose sets of shingles have a Jaccard similarity
+of ``similarity`` or more. Likely links come from the index above, over fingerprints of the distinct
+shingles. What it misses is found exactly by a prefix filter: with all shingles in one order, two similar
+sets share one of their first n - ceil(similarity n) + 1, so each list of texts with one such shingle must end
+up in one group or be compared. Before whole sets are compared, parity sketches (one bit for each hash value
+modulo the width: how many shingles fall there, odd or even) bound how much two sets differ; the bound
+is exact, so nothing is lost, and a sketch is some fiftieth of the set. A list is linked to its first text; lists that
+are not one group after that are compared in full, by sketches, and what passes, by sets.
 
 Defined results: a null text is empty; texts without words have fingerprint zero and are
 linked like any other. Repeated rows are copies of each other. Empty tables give empty results.
@@ -232,14 +234,19 @@ def cluster(docs: DataFrame, words: int = 3, radius: int = RADIUS, doc_id: str =
 # Near-duplicates by similarity.
 
 WORDS, SIMILARITY = 5, 0.8
-#: Texts sampled for the order of shingles; from how many of them on one is common; how many such are kept.
-SAMPLE, COMMON, MOST = 4_000, 3, 200_000
-#: Members from which a list of texts with one shingle is not paired in place; texts in a block.
-LONG, BLOCK = 16, 256
+#: Texts sampled for the order of shingles; from how many of them on one is common, or hot; how many such are kept.
+SAMPLE, COMMON, HOT, MOST = 4_000, 3, 20, 200_000
+#: Texts in a block of a list that is compared by sketches, and of a family that is compared by sets.
+LIST, BLOCK = 2048, 512
 
 
-def common(docs: DataFrame, words: int, text: str) -> np.ndarray:
-    """Shingles that many texts of a sample have, the commonest last. It orders the shingles; any order finds the same pairs."""
+def _key(text: str) -> Column:
+    """128 bits that stand for a text; null is empty."""
+    return F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
+
+
+def common(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray, int]:
+    """Shingles that many texts of a sample have, the commonest last, and from where on they are hot. It orders the shingles; any order finds the same pairs."""
 
     def run(batches):
         for b in batches:
@@ -247,46 +254,100 @@ def common(docs: DataFrame, words: int, text: str) -> np.ndarray:
                 yield pd.DataFrame({"h": np.unique(shingle_hashes(t, words)).view(np.int64)})
 
     one_in = max(1, docs.count() // SAMPLE)
-    rows = docs.select(_node(text).alias("node"), F.col(text).alias("text")).filter(F.pmod(F.hash("node"), F.lit(one_in)) == 0).dropDuplicates(["node"])
+    rows = docs.select(_key(text).alias("key"), F.col(text).alias("text")).filter(F.pmod(F.hash("key"), F.lit(one_in)) == 0).dropDuplicates(["key"])
     counts = rows.select("text").mapInPandas(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
-    top = counts.orderBy(F.desc("n"), "h").limit(MOST).collect()
-    return np.array([r.h for r in reversed(top)], np.int64).view(np.uint64)
+    top = counts.orderBy(F.desc("n"), "h").limit(MOST).collect()[::-1]
+    return np.array([r.h for r in top], np.int64).view(np.uint64), sum(r.n < HOT for r in top)
 
 
-def prefix(h: np.ndarray, by_value: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of the distinct sorted hashes, common ones last: similar sets share one of their prefixes at least.
+def prefix(h: np.ndarray, by_value: np.ndarray, place: np.ndarray, hot: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the distinct sorted hashes, common ones last: similar sets share one of their prefixes at least. In two parts, the hot ones after.
 
     Sets that share ``similarity`` of the larger can't differ in all of the first n - ceil(similarity n) + 1 of both.
     """
+    if not len(h):
+        return h, h
+    late = np.full(len(h), -1)
     if len(by_value):
         at = np.minimum(np.searchsorted(by_value, h), len(by_value) - 1)
-        known = by_value[at] == h
-        late = at[known]
-        h = np.concatenate([h[~known], h[known][np.argsort(place[late])]])
-    return h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1] if len(h) else h
+        late = np.where(by_value[at] == h, place[at], -1)
+    order = np.argsort(late, kind="stable")[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+    cold = int((late[order] < hot).sum())
+    return h[order[:cold]], h[order[cold:]]
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of how many of the hashes have each value modulo the width, the power of two from 3/4 of their number on (64 bits at least)."""
+    width = 64
+    while width < 0.75 * len(h):
+        width *= 2
+    return np.packbits(np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(m: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) at a smaller width."""
+    while m.shape[1] > words:
+        m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+    return m
+
+
+def _matrix(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), "<u8").reshape(len(sketches), -1)
+
+
+def possible(n1: np.ndarray, n2: np.ndarray, differ: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of so many elements that differ in so many at least can be similar; both have elements."""
+    low, high = np.minimum(n1, n2), np.maximum(n1, n2)
+    return (low > 0) & (low >= similarity * high - 1e-6) & (differ <= (1 - similarity) / (1 + similarity) * (n1 + n2) + 1e-6)
+
+
+def candidates(n: np.ndarray, sketches: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) of the sets that their numbers and sketches allow to be similar."""
+    width = np.array([len(s) for s in sketches])
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        own = own[np.argsort(n[own], kind="stable")]
+        own_bits = _matrix([sketches[i] for i in own])
+        for other_width in (w, 2 * w):
+            other = own if other_width == w else np.flatnonzero(width == other_width)
+            if not len(other):
+                continue
+            other = other[np.argsort(n[other], kind="stable")]
+            bits = own_bits if other_width == w else folded(_matrix([sketches[i] for i in other]), own_bits.shape[1])
+            for at in range(0, len(own), 64):
+                rows = own[at : at + 64]
+                end = int(np.searchsorted(n[other], n[rows[-1]] / similarity + 1e-6, "right"))
+                start = at if other_width == w else 0
+                if end <= start:
+                    continue
+                differ = np.bitwise_count(own_bits[at : at + 64, None, :] ^ bits[None, start:end, :]).sum(2, dtype=np.int64)
+                a, b = np.nonzero(possible(n[rows][:, None], n[other[start:end]][None, :], differ, similarity))
+                a, b = rows[a], other[start:end][b]
+                keep = np.ones(len(a), bool) if other_width > w else a != b
+                left.append(np.minimum(a, b)[keep])
+                right.append(np.maximum(a, b)[keep])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _described(docs: DataFrame, words: int, similarity: float, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, node (hash of the text), and of its distinct shingles fp, n (how many) and pre (the prefix)."""
-    last = common(docs, words, text)
+    """Per row: doc_id, key (of the text), and of its distinct shingles fp, n (how many), sketch, cold and hot (the prefix)."""
+    last, hot = common(docs, words, text)
     order = np.argsort(last)
-    shared = docs.sparkSession.sparkContext.broadcast((last[order], order))
+    shared = docs.sparkSession.sparkContext.broadcast((last[order], order, hot))
 
     def run(batches):
         for b in batches:
             out = []
             for t in b["text"]:
-                h = np.unique(shingle_hashes(t, words))  # the set that similar() compares
-                out.append((fingerprint(bit_counts(h), len(h)), len(h), prefix(h, *shared.value, similarity).view(np.int64)))
-            fp, n, pre = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "node": b["node"], "fp": np.array(fp, np.int64), "n": np.array(n, np.int64), "pre": pd.Series(pre, dtype=object)})
-
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _node(text).alias("node"))
-    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, fp long, n long, pre array<long>")
-
+                h = np.unique(shingle_hashes(t, words))  # the set that is compared in the end
+                cold, hot = prefix(h, *shared.value, similarity)
+                out.append((fingerprint(bit_counts(h), len(h)), len(h), sketch(h), cold.view(np.int64), hot.view(np.int64)))
+            of = dict(zip(("fp", "n", "sketch", "cold", "hot"), zip(*out, strict=True) if out else ((),) * 5, strict=True))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"]} | {c: pd.Series(of[c], b.index, np.int64 if c in ("fp", "n") else object) for c in of})
 
-def _node(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _key(text).alias("key"))
+    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, key binary, fp long, n int, sketch binary, cold array<long>, hot array<long>")
 
 
 def _spread(pairs: DataFrame) -> DataFrame:
@@ -302,44 +363,42 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return _spread(same.unionByName(near.join(of("a"), "a").join(of("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))))
 
 
-def by_prefix(nodes: DataFrame, similarity: float, long: int) -> DataFrame:
-    """(h, a, b) of nodes (node, n, pre) whose prefixes share a shingle, h null: every such pair that can be similar.
+def by_prefix(rows: DataFrame) -> DataFrame:
+    """(h, times, first, node) of the rows (h, node): shingles with several nodes, and the first of these; of shingles with the same nodes, one."""
+    same = (F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1))))
+    lists = rows.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("first"), *(x.alias(f"x{k}") for k, x in enumerate(same))).filter("times > 1")
+    lists = lists.groupBy("times", "first", "x0", "x1").agg(F.min("h").alias("h")).select("h", "times", "first")
+    return rows.join(lists.hint("merge"), "h").select("h", "times", "first", "node")
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sketches allow to be similar."""
 
-    A shingle of more than ``long`` nodes gives no pairs but its list: rows with h and each member as b, the first one as a.
-    """
     def run(batches):
-        for rows, starts in groups(batches, ["h"]):
-            node, n, at = (rows[c].to_numpy(np.int64) for c in ("node", "n", "at"))
-            sizes = np.diff(np.append(starts, len(node)))
-            first = np.repeat(starts, sizes)
-            listed = np.repeat(sizes > long, sizes)
-            yield pd.DataFrame({"h": rows["h"][listed].astype("Int64"), "a": node[first[listed]], "b": node[listed]})
-            mine = ~listed
-            for lag in range(1, min(long, len(node))):
-                i = np.flatnonzero(mine[:-lag] & (first[:-lag] == first[lag:]))
-                if not len(i):
-                    break
-                j = i + lag
-                # at the first shingle that two prefixes share, only what follows can be shared beside it
-                need = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
-                keep = (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
-                i, j = i[keep], j[keep]
-                yield pd.DataFrame({"h": pd.array([None] * len(i), "Int64"), "a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
-
-    rows = nodes.select("node", "n", F.posexplode("pre").alias("at", "h"))
-    placed = rows.select("h", "node", F.col("n").cast("int").alias("n"), F.col("at").cast("int").alias("at")).repartition("h").sortWithinPartitions("h", "node")
-    return placed.mapInPandas(run, "h long, a long, b long")
+        for p in batches:
+            widths = pd.DataFrame({"a": p["sa"].str.len(), "b": p["sb"].str.len()})
+            ok = np.zeros(len(p), bool)
+            for _, at in widths.groupby(["a", "b"]).indices.items():
+                x, y = _matrix(p["sa"].iloc[at].tolist()), _matrix(p["sb"].iloc[at].tolist())
+                least = min(x.shape[1], y.shape[1])
+                differ = np.bitwise_count(folded(x, least) ^ folded(y, least)).sum(1, dtype=np.int64)
+                ok[at] = possible(p["na"].to_numpy(np.int64)[at], p["nb"].to_numpy(np.int64)[at], differ, similarity)
+            yield p.loc[ok, ["a", "b"]]
+
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6)
+    return near.mapInPandas(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, text: str) -> DataFrame:
-    """(node, s): the shingle sets of the wanted nodes."""
+    """(node, s): the shingle sets of the wanted nodes (node, key)."""
 
     def sets(batches):
         for b in batches:
             yield pd.DataFrame({"node": b["node"], "s": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b["text"]]})
 
-    texts = docs.select(_node(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(small(wanted), "node", "left_semi").dropDuplicates(["node"])
-    return written(texts.mapInPandas(sets, "node long, s array<long>"))
+    texts = docs.select(_key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(small(wanted), "key").dropDuplicates(["node"])
+    return written(texts.select("node", "text").mapInPandas(sets, "node long, s array<long>"))
 
 
 def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -361,68 +420,91 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return out
 
 
-def in_families(docs: DataFrame, lists: DataFrame, root: DataFrame, words: int, similarity: float, text: str, block: int) -> DataFrame | None:
-    """(a, b): links of the long lists (h, a: first member, b) that root (node, root) does not hold together; None if it holds all.
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter((shared >= similarity * (F.size("sa") + F.size("sb") - shared)) & (shared > 0)).select("a", "b")
 
-    Lists that share members are a family. Its texts are dealt in blocks by length, and each two blocks are
-    compared in full, which gives a forest of their similar pairs.
-    """
-    placed = lists.join(root.select(F.col("node").alias("b"), "root"), "b", "left").select("h", "b", F.coalesce("root", "b").alias("root"))
-    apart = lambda rows: rows.join(rows.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("b").alias("a")).filter("low <> high"), "h").select("h", "a", "b", "root")
-    mixed = written(apart(placed))
-    if not mixed.limit(1).count():
-        return None
-    of = _sets(docs, mixed.select(F.col("b").alias("node")).distinct(), words, text)
-    # A text that shares too few of its shingles with all others together is similar to none of them.
-    each = of.select("node", F.size("s").alias("n"), F.explode("s").alias("x"))
-    twice = each.groupBy("x").agg(F.count("*").alias("times")).filter("times > 1").select("x")
-    able = each.join(twice, "x").groupBy("node").agg(F.count("*").alias("shared"), F.first("n").alias("n")).filter(F.col("shared") >= similarity * F.col("n") - 1e-6)
-    able = written(able.select(F.col("node").alias("b"), F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(similarity)))).cast("int").alias("level")))
-    stars = written(apart(mixed.drop("a").join(able.select("b"), "b")).select("a", "b").distinct())
-    if not stars.limit(1).count():
-        return None
-    family = components(stars).withColumnRenamed("root", "family").join(able.withColumnRenamed("b", "node"), "node")
-    # Similar sets are of one length class or of two that follow each other.
-    family = written(family.select("family", "node", F.explode(F.array("level", F.col("level") + 1)).alias("level")))
-    blocks = family.groupBy("family", "level").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    own = F.pmod(F.hash("node"), F.col("blocks"))
-    dealt = family.join(blocks, ["family", "level"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", "level", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(of, "node")
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Similar pairs that connect all that the pairs (a, b) connect: first each node with its first partner, then the pairs still apart."""
+    first = written(similar(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, similarity))
+    rest = apart(pairs, components(first))
+    if not rest.limit(1).count():
+        return first
+    return first.union(written(similar(rest, sets, similarity)))
+
+
+def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs (a, b) that root (node, root) does not put in one group."""
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _dealt(rows: DataFrame, members: Column, size: int) -> DataFrame:
+    """The rows of groups of so many members in blocks, once for each pair of blocks (i, j) that theirs is part of."""
+    placed = rows.withColumn("blocks", F.ceil(members / F.lit(size)).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
+
+
+def in_lists(lists: DataFrame, nodes: DataFrame, root: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): of the lists that root does not hold together, pairs of different roots that sketches allow, a forest for each block."""
+    placed = written(lists.filter("times > 2").join(root, "node", "left").select("h", "times", "node", F.coalesce("root", "node").alias("root")))
+    mixed = written(placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h"))
+    open_ = _dealt(placed.join(mixed, "h").join(nodes.select("node", "n", "sketch"), "node"), F.col("times"), block)
 
     def run(batches):
-        for rows, starts in groups(batches, ["family", "level", "i", "j"]):
+        for rows, starts in groups(batches, ["h", "i", "j"]):
+            node, own, n, bits = rows["node"].to_numpy(np.int64), rows["root"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["sketch"].tolist()
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+                a, b = candidates(n[s:e], bits[s:e], similarity)
+                differ = own[s + a] != own[s + b]
+                label = roots(e - s, a[differ], b[differ])
+                tied = np.flatnonzero(label != np.arange(e - s))
+                yield pd.DataFrame({"a": node[s + label[tied]], "b": node[s + tied]})
+
+    key = ["h", "i", "j"]
+    spread = open_.select(*key, "node", "root", "n", "sketch").repartition(*key).sortWithinPartitions(*key, "node")
+    return written(spread.mapInPandas(run, "a long, b long").distinct())
+
+
+def in_families(family: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): a forest of the similar pairs in each pair of blocks of the families (node, root)."""
+
+    def run(batches):
+        for rows, starts in groups(batches, ["root", "i", "j"]):
             node = rows["node"].to_numpy(np.int64)
             for s, e in zip(starts, [*starts[1:], len(node)], strict=True):
-                sets = list(rows["s"].iloc[s:e])
-                both, n = overlaps(sets), np.array([len(x) for x in sets])
+                own = list(rows["s"].iloc[s:e])
+                both, n = overlaps(own), np.array([len(x) for x in own])
                 a, b = np.nonzero(np.triu((both > 0) & (both >= similarity * (n[:, None] + n - both) - 1e-6), 1))
-                label = roots(len(sets), a, b)
-                linked_to = np.flatnonzero(label != np.arange(len(sets)))
-                yield pd.DataFrame({"a": node[s + label[linked_to]], "b": node[s + linked_to]})
+                label = roots(len(own), a, b)
+                tied = np.flatnonzero(label != np.arange(len(own)))
+                yield pd.DataFrame({"a": node[s + label[tied]], "b": node[s + tied]})
 
-    key = ["family", "level", "i", "j"]
-    spread = dealt.repartition(*key).sortWithinPartitions(*key, "node").select(*key, "node", "s")
+    key = ["root", "i", "j"]
+    members = family.groupBy("root").agg(F.count("*").alias("members"))
+    spread = _dealt(family.join(members, "root"), F.col("members"), block).join(sets, "node").select(*key, "node", "s").repartition(*key).sortWithinPartitions(*key, "node")
     return written(spread.mapInPandas(run, "a long, b long").distinct())
 
 
-def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' shingle sets have the similarity."""
-    of = _sets(docs, written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), words, text)
-    both = pairs.join(of.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(of.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter((shared >= similarity * (F.size("sa") + F.size("sb") - shared)) & (shared > 0)).select("a", "b")
-
-
-def links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, text: str, long: int = LONG, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, text: str, size: int = LIST, block: int = BLOCK) -> DataFrame:
     """(a, b) of similar nodes that connect all similar ones: every pair whose prefixes meet is compared, or already connected."""
-    met = written(by_prefix(nodes, similarity, long))
-    lists = met.filter("h IS NOT NULL")
-    pairs = written(_spread(met.select("a", "b").union(by_fingerprint(nodes))))
-    found = written(similar(docs, pairs, words, similarity, text))
-    if not lists.limit(1).count():
+    known = nodes.select("node", "key", "n", "sketch", "fp")
+    prefixes = lambda c: nodes.select(F.explode(c).alias("h"), "node")
+    # Cold shingles are shuffled once; hot ones are counted before the shuffle and their join can be split.
+    lists = written(by_prefix(prefixes("cold").repartition("h")).union(by_prefix(prefixes("hot"))))
+    pairs = _spread(lists.select(F.col("first").alias("a"), F.col("node").alias("b")).union(by_fingerprint(known)))
+    pairs = written(plausible(pairs, known, similarity))
+    of = lambda some: _sets(docs, written(some.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "key"), "node")), words, text)
+    found = verified(pairs, of(pairs), similarity)
+    more = in_lists(lists, known, components(found), similarity, size)
+    if not more.limit(1).count():
         return found
-    more = in_families(docs, lists, components(found), words, similarity, text, block)
-    return found if more is None else found.union(more)
+    return found.union(in_families(components(more), of(more), similarity, block))
 
 
 def dedupe(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -430,17 +512,16 @@ def dedupe(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
 
     Groups are equal texts and texts that similar pairs join. A null text is an empty one.
     """
-    found = written(_described(docs, words, similarity, doc_id, text))
-    nodes = written(found.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("fp", "n", "pre"))))
+    texts = _described(docs, words, similarity, doc_id, text).groupBy("key").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("fp", "n", "sketch", "cold", "hot")))
+    nodes = written(texts.withColumn("node", F.monotonically_increasing_id()))
     root = components(links(docs, nodes, words, similarity, text))
-    tagged = nodes.select("node", "first").join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    best = tagged.groupBy("root").agg(F.min(F.struct("first", "node")).alias("best"), F.count("*").alias("texts"))
-    kept = tagged.join(best, "root").select("node", F.col("best.first").alias("first"), F.col("best.node").alias("keep"))
-    rows = found.groupBy("node", "doc_id").agg(F.count("*").alias("times")).join(kept, "node")
-    stays = (F.col("node") == F.col("keep")) & F.col("doc_id").eqNullSafe(F.col("first"))
-    key, own = free(docs, "_node"), free(docs, "_own")
-    marked = written(rows.select(F.col("node").alias(key), F.col("doc_id").alias(own), stays.alias("stays"), "times"))
-    out = docs.withColumn(key, _node(text)).withColumn(own, F.col(doc_id))
+    tagged = nodes.select("key", "node", "first").join(root, "node", "left").select("key", "node", "first", F.coalesce("root", "node").alias("root"))
+    best = tagged.groupBy("root").agg(F.min(F.struct("first", "node")).alias("best"))
+    kept = tagged.join(best, "root").select("key", F.col("best.first").alias("first"), (F.col("node") == F.col("best.node")).alias("keep"))
+    rows = docs.select(_key(text).alias("key"), F.col(doc_id).alias("doc_id")).groupBy("key", "doc_id").agg(F.count("*").alias("times")).join(kept, "key")
+    key, own = free(docs, "_key"), free(docs, "_own")
+    marked = written(rows.select(F.col("key").alias(key), F.col("doc_id").alias(own), (F.col("keep") & F.col("doc_id").eqNullSafe(F.col("first"))).alias("stays"), "times"))
+    out = docs.withColumn(key, _key(text)).withColumn(own, F.col(doc_id))
     same = lambda d: (out[key] == d[key]) & out[own].eqNullSafe(d[own])
     gone = small(marked.filter("NOT stays").select(key, own))
     out = out.join(gone, same(gone), "left_anti")
