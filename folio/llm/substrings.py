@@ -27,12 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import BROADCAST_ROWS, small, written
+from folio.llm.common import small, written
 from folio.llm.simhash import groups
 
 WINDOW, PREFIX, LARGE = 35, 8, 500
-#: Suffixes whose lists may be broadcast to the texts; beyond, texts and lists are shuffled.
-BROADCAST_SUFFIXES = 3_000_000
 CACHE = 400_000
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -146,12 +144,6 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return out.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("id"), F.coalesce("copies", F.lit(1)).alias("copies"), (F.col("copies").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).alias("is_first"))
 
 
-def _beside(texts: DataFrame, lists: DataFrame, items: int, how: str) -> DataFrame:
-    """Joins per-document lists to texts: broadcast if their number is bounded, else by shuffle."""
-    few = items <= BROADCAST_SUFFIXES and lists.limit(BROADCAST_ROWS * 2 + 1).count() <= BROADCAST_ROWS * 2
-    return texts.join(F.broadcast(lists) if few else lists, "id", how)
-
-
 def covered(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX, large: int = LARGE) -> DataFrame:
     """(id, ranges): word ranges (from, to) of every text, first copies only, that repeated windows cover."""
 
@@ -173,7 +165,6 @@ def covered(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX, large:
     # Written, so that both sides of the join have exchanges of their own and a hot prefix can be split.
     often = written(seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     again = written(seen.join(often, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", (F.col("n") > large).alias("big"))).alias("suffixes")))
-    items = again.agg(F.coalesce(F.sum(F.size("suffixes")), F.lit(0)).alias("n")).first().n
 
     def cut(batches):
         for b in batches:
@@ -193,7 +184,7 @@ def covered(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX, large:
                     out = []
             yield pd.DataFrame(out, columns=["h", "h2", "big", "id", "at", "words"])
 
-    pieces = written(_beside(firsts, again, items, "inner").select("id", "text", "suffixes").mapInPandas(cut, "h long, h2 long, big boolean, id long, at long, words binary"))
+    pieces = written(firsts.join(again.hint("merge"), "id").select("id", "text", "suffixes").mapInPandas(cut, "h long, h2 long, big boolean, id long, at long, words binary"))
 
     def trees(batches):
         for rows, starts in groups(batches, ["h"]):
@@ -234,7 +225,6 @@ def dedupe(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, large: i
     """Per row: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     texts = _texts(docs, doc_id, text)
     ranges = written(covered(texts, window, prefix, large))
-    items = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0)).alias("n")).first().n
 
     def run(batches):
         for b in batches:
@@ -245,6 +235,6 @@ def dedupe(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, large: i
                 out.append((d, len(ws), len(ws) - len(left), b" ".join(left).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"])
 
-    rows = _beside(texts, ranges, items, "left").select("doc_id", "text", "copies", "ranges")
+    rows = texts.join(ranges.hint("merge"), "id", "left").select("doc_id", "text", "copies", "ranges")
     return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words long, n_removed long, kept string")
 
