@@ -5,7 +5,7 @@ are those of its merges: of all pieces that end at a position, exactly one conti
 path of the prefix before it, the one whose seam the merges would leave alone. So each
 position has one surviving backpointer, candidates reach back at most the longest piece,
 and ids are committed as soon as the paths of all positions in that window run through one
-boundary. No piece crosses from a non-space to a space or touches a line break (which no
+boundary. All text takes this pass. No piece crosses from a non-space to a space or touches a line break (which no
 piece contains), so paths always converge there; the stretches between such boundaries
 recur, and up to a bounded number their ids are remembered; the frequent ones outlive the rare.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MEMO, COMMIT_AT, ROWS_AT_ONCE = 150_000, 64, 500
+MEMO, BEGINNINGS, COMMIT_AT, ROWS_AT_ONCE = 150_000, 400_000, 64, 500
 _CHUNK = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -43,7 +43,8 @@ class Vocabulary:
         self.byte_of = {i: int(self.pieces[i][3:5], 16) for i in range(n) if sp.is_byte(i)}
         self.id_of = {p: i for i, p in enumerate(self.pieces) if i not in special and i not in self.byte_of}
         self.score = {p: sp.get_score(i) for p, i in self.id_of.items()}
-        self.whole: frozenset[str] = frozenset()
+        self.whole: frozenset[str] = frozenset()  # pieces that the merges can build
+        self.cut: dict[str, int] = {}  # where their last merge puts them together
         self.special = special
 
 
@@ -57,10 +58,9 @@ class Memo(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.older.get(word)
         if ids is None:
-            chunk = self.lead + word
-            if len(chunk) > COMMIT_AT:
-                return tuple(self.codec.stream(chunk))
-            ids = self.codec.short(chunk)
+            ids = tuple(self.codec.stream(self.lead + word))
+            if len(word) >= COMMIT_AT:
+                return ids
         if len(self) >= MEMO:
             self.older = dict(self)
             self.clear()
@@ -74,17 +74,20 @@ class Codec:
         self.width = max(map(len, vocabulary.id_of))
         self.byte_id = {b: i for i, b in vocabulary.byte_of.items()}
         self.seams: dict[tuple[str, str], bool] = {}
-        self.reach: dict[str, int] = {}  # last three characters -> the longest piece that ends in them
+        self.edges: dict[tuple[str, bool], list[tuple[str, float]]] = {}
+        lengths: dict[str, set[int]] = {}
         for p in vocabulary.id_of:
             if len(p) > 2:
-                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
+                lengths.setdefault(p[-3:], {1, 2}).add(len(p))
+        self.reach = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}  # last three characters -> how long pieces are that end in them
+        self.ends: dict[str, str] = {}  # beginning of a stretch -> the piece that ends there
         self.inner, self.bare = Memo(self, SPACE), Memo(self, "")
         self.text_of = ["" if i in vocabulary.special else p.replace(SPACE, " ") for i, p in enumerate(vocabulary.pieces)]
         for i, b in vocabulary.byte_of.items():
             self.text_of[i] = chr(b) if b < 128 else None  # other bytes need their neighbours
 
-    def merged(self, text: str) -> list[str]:
-        """The merges themselves, for the short strings on both sides of a seam."""
+    def merged(self, text: str, last: list[int] | None = None) -> list[str]:
+        """The merges themselves, for single pieces; ``last`` gets where the seams were that they took, in order."""
         parts, score = list(text), self.v.score
         while len(parts) > 1:
             best, at = None, -1
@@ -94,70 +97,100 @@ class Codec:
                     best, at = s, i
             if at < 0:
                 break
+            if last is not None:
+                last.append(len("".join(parts[: at + 1])))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def edge(self, piece: str, right: bool) -> list[tuple[str, float]]:
+        """The parts of a piece that lie at one of its ends while it is merged, each with the score of the merge that takes it in."""
+        found = self.edges.get((piece, right))
+        if found is None:
+            found, part, taken = [], piece, float("-inf")
+            while True:
+                found.append((part, taken))
+                cut = self.v.cut.get(part)
+                if cut is None:
+                    break
+                taken, part = self.v.score[part], part[cut:] if right else part[:cut]
+            self.edges[piece, right] = found
+        return found
+
     def holds(self, left: str, right: str) -> bool:
-        """Whether the merges keep the seam between two pieces."""
+        """Whether the merges keep the seam between two pieces.
+
+        They don't if two parts that lie at the seam at one time make a piece of a better score than the merges that
+        take them in; of equal scores the merge to the left comes first.
+        """
         key = (left, right)
         known = self.seams.get(key)
         if known is None:
             if len(self.seams) >= MEMO:
                 self.seams.clear()
-            whole = left + right
-            known = self.seams[key] = whole not in self.v.whole and self.merged(whole) == [left, right]
+            score, other, known = self.v.score, self.edge(right, False), True
+            for a, taken in self.edge(left, True):
+                for b, taken_b in other:
+                    s = score.get(a + b)
+                    if s is not None and s > taken and s >= taken_b:
+                        known = False
+                        break
+                if not known:
+                    break
+            self.seams[key] = known
         return known
 
-    def short(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a stretch of at most COMMIT_AT characters."""
-        vocab, seams, reach, last = self.v.id_of, self.seams, self.reach, [""]
-        for m in range(1, len(chunk) + 1):
-            for k in range(min(m, reach.get(chunk[m - 3 : m], 2) if m > 2 else 2), 0, -1):
+    def _ids(self, piece: str) -> list[int]:
+        i = self.v.id_of.get(piece)
+        return [i] if i is not None else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
+
+    def stream(self, chunk: str) -> list[int]:
+        """Ids of a stretch; those before a boundary are committed as soon as all paths of the window run through it."""
+        vocab, seams, reach, whole, ends = self.v.id_of, self.seams, self.reach, self.v.whole, self.ends
+        out, base, last = [], 0, [""]  # last[i]: the piece that ends at base + i
+        size = len(chunk)
+        if len(ends) >= BEGINNINGS:
+            ends.clear()
+        for m in range(1, min(size, COMMIT_AT - 1) + 1):  # stretches with one beginning share its pieces
+            piece = ends.get(chunk[:m])
+            if piece is None:
+                break
+            last.append(piece)
+        for m in range(len(last), size + 1):
+            for k in reach.get(chunk[m - 3 : m], (2, 1)) if m > 2 else (2, 1):
+                if k > m - base:
+                    continue
                 piece = chunk[m - k : m]
-                if piece not in vocab and k > 1:
+                if k > 1 and piece not in vocab:
                     continue
                 if m == k:
-                    kept = k == 1 or piece in self.v.whole
+                    kept = k == 1 or piece in whole
                 else:
-                    kept = seams.get((last[m - k], piece))
+                    left = last[m - k - base]
+                    kept = seams.get((left, piece))
                     if kept is None:
-                        kept = self.holds(last[m - k], piece)
+                        kept = self.holds(left, piece)
                 if kept:
                     last.append(piece)
                     break
-            else:
-                raise AssertionError(chunk)
-        return tuple(self._path(last, len(chunk)))
-
-    def _ids(self, piece: str) -> list[int]:
-        i = self.v.id_of.get(piece)
-        return [i] if i is not None else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
-
-    def stream(self, chars):
-        """Ids of an iterator of characters, committed as soon as no path can change them."""
-        vocab, width, holds = self.v.id_of, self.width, self.holds
-        text, base, last = "", 0, [""]  # last[i]: the piece that ends at base + i
-        for c in chars:
-            text += c
-            n = len(text)
-            found = None
-            for k in range(min(width, n), 0, -1):
-                piece = text[n - k :]
-                if (piece in vocab or k == 1) and (holds(last[n - k], piece) if n > k or base else k == 1 or piece in self.v.whole):
-                    found = piece
-                    break
-            last.append(found)
-            if n >= COMMIT_AT:
-                at = {n - k for k in range(min(width, n))}
-                while len(at) > 1:  # step the latest position back until the paths meet
-                    j = max(at)
-                    at.remove(j)
-                    at.add(j - len(last[j]))
-                cut = at.pop()
-                if cut > 0:
-                    yield from self._path(last, cut)
-                    text, last, base = text[cut:], last[cut:], base + cut
-        yield from self._path(last, len(text))
+            else:  # no vocabulary of merges gets here; the merges still give the ids
+                return [i for p in self.merged(chunk) for i in self._ids(p)]
+            if m < COMMIT_AT:
+                ends[chunk[:m]] = piece
+            elif m - base >= COMMIT_AT:
+                cut = self._met(last)
+                out += self._path(last, cut)
+                base, last = base + cut, last[cut:]
+        return out + self._path(last, len(chunk) - base)
+
+    def _met(self, last: list[str]) -> int:
+        """The boundary at which the paths of all positions meet that the next pieces can reach back to."""
+        n = len(last) - 1
+        at = {n - k for k in range(min(self.width, n))}
+        while len(at) > 1:  # step the latest position back until the paths meet
+            j = max(at)
+            at.remove(j)
+            at.add(j - len(last[j]))
+        return at.pop()
 
     def _path(self, last: list[str], end: int) -> list[int]:
         out = []
@@ -210,8 +243,9 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     """Reads a model file on the driver; its contents go to the tasks with the code."""
     with open(path, "rb") as f:
         v = Vocabulary(f.read())
-    merged = Codec(v).merged
-    v.whole = frozenset(p for p in v.id_of if merged(p) == [p])  # pieces that the merges can build
+    merged, seams = Codec(v).merged, {}
+    v.whole = frozenset(p for p in v.id_of if merged(p, seams.setdefault(p, [])) == [p])
+    v.cut = {p: seams[p][-1] for p in v.whole if len(p) > 1}
     return v
 
 
