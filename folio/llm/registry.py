@@ -50,8 +50,7 @@ def op8_simhash(spark, sf_dir):
 
 
 def op9_url_filters(spark, sf_dir):
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    return urls.judge(_table(spark, sf_dir, "pages"), labels)
+    return urls.judge(_table(spark, sf_dir, "pages"))
 
 
 def queries():

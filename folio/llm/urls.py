@@ -2,12 +2,16 @@
 
 FP-growth mines the token combinations of labelled urls together with their label; rules
 that pass the support, confidence and lift bounds are matched through an inverted index
-from token to rule. DataFrame functions only.
+from token to rule. A url that a fixed rule decides is a label of its verdict, without the
+tokens of that rule's own host, so that what is learnt holds for other hosts. More labels may be given.
+DataFrame functions only. Urls with equal tokens are matched once, so that a host or url that fills
+a third of the table costs no more than any other.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, matches
-nothing and gets the default verdict. Repeated rows are kept. An empty label table or one
-class of labels gives no mined rules. Of several matching rules the one of the highest
-confidence, then support, then the smallest tokens decides.
+nothing and gets the default verdict. Repeated rows are kept. No labels or one class of
+labels gives no mined rules. Of several matching rules the one of the highest
+confidence, then support, then the shortest and smallest text decides. Columns of the table
+other than the id and the url are not read, whatever their names. A page of conflicting labels is bad.
 """
 
 from __future__ import annotations
@@ -18,12 +22,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import small
+from folio.llm.common import small, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): the fixed rules of the registered query.
 FIXED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_ROWS = 0.002, 0.5, 1.5, 20
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_ROWS = 0.002, 0.8, 1.05, 20
 
 
 def host_path(url: str) -> tuple[Column, Column]:
@@ -36,13 +40,13 @@ def host_path(url: str) -> tuple[Column, Column]:
 
 
 def fixed_rule(rules: Sequence[tuple[str, str, str]]) -> Column:
-    """The longest fixed rule that fits (verdict, rule), or null; ties go to the first in text order."""
+    """The longest fixed rule that fits (rule, verdict, own: its host), or null; ties go to the first in text order."""
     out = None
     for verdict, host, path in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
-        value = F.struct(F.lit(host + path).alias("rule"), F.lit(verdict).alias("verdict"))
+        value = F.struct(F.lit(host + path).alias("rule"), F.lit(verdict).alias("verdict"), F.lit(host).alias("own"))
         out = F.when(fits, value) if out is None else out.when(fits, value)
-    return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
+    return F.lit(None).cast("struct<rule:string,verdict:string,own:string>") if out is None else out
 
 
 def tokens() -> Column:
@@ -73,22 +77,32 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return kept.select(F.array_join(toks, "+").alias("rule"), toks.alias("tokens"), F.expr("substring(consequent[0], 7)").alias("verdict"), "confidence", "support")
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, mined_rule, mined_verdict) of distinct urls (url, items): the best rule all of whose tokens the url has."""
+def match(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """(items, mined_rule, mined_verdict) of distinct token sets (items): the best rule all of whose tokens are there."""
     index = small(rules.select(F.explode("tokens").alias("token"), F.size("tokens").alias("need"), "rule", "verdict", "confidence", "support"))
-    hits = urls.select("url", F.explode("items").alias("token")).join(index, "token").groupBy("url", "rule", "verdict", "confidence", "support", "need").agg(F.count("*").alias("n"))
+    hits = found.select("items", F.explode("items").alias("token")).join(index, "token").groupBy("items", "rule", "verdict", "confidence", "support", "need").agg(F.count("*").alias("n"))
     best = F.max_by(F.struct("rule", "verdict"), F.struct("confidence", "support", F.expr("-length(rule)"), "rule"))
-    return hits.filter("n = need").groupBy("url").agg(best.alias("best")).select("url", F.col("best.rule").alias("mined_rule"), F.col("best.verdict").alias("mined_verdict"))
+    return hits.filter("n = need").groupBy("items").agg(best.alias("best")).select("items", F.col("best.rule").alias("mined_rule"), F.col("best.verdict").alias("mined_verdict"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, fixed: Sequence[tuple[str, str, str]] = FIXED, default: str = "allow", page_id: str = "page_id", url: str = "url", **bounds: float) -> DataFrame:
-    """Per row: page_id, host, path, rule, verdict, mined_rule. labels: (page_id, bad boolean), one row each."""
+def training(base: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(items, bad): rows that a fixed rule decides, without the tokens of its host, and rows of the labels."""
+    own = F.col("_f.own")
+    theirs = lambda x: (x.startswith("host:") & F.array_contains(F.split(own, r"\."), F.substring(x, 6, 255))) | (x.startswith("site:") & x.endswith(own))
+    rows = base.filter("_f IS NOT NULL").select(F.filter("items", lambda x: ~theirs(x)).alias("items"), (F.col("_f.verdict") == "block").alias("bad"))
+    if labels is not None:
+        truth = labels.select("page_id", "bad").filter("bad IS NOT NULL AND page_id IS NOT NULL").groupBy("page_id").agg(F.bool_or("bad").alias("bad"))
+        rows = rows.union(base.join(truth, "page_id").select("items", "bad"))
+    return rows
+
+
+def judge(pages: DataFrame, labels: DataFrame | None = None, fixed: Sequence[tuple[str, str, str]] = FIXED, default: str = "allow", page_id: str = "page_id", url: str = "url", **bounds: float) -> DataFrame:
+    """Per row: page_id, host, path, rule, verdict, mined_rule. labels: (page_id, bad boolean), beside the fixed rules' own."""
     host, path = host_path(url)
-    base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
-    truth = labels.select("page_id", "bad").filter("bad IS NOT NULL AND page_id IS NOT NULL").groupBy("page_id").agg(F.bool_or("bad").alias("bad"))
-    rules = mine(base.join(truth, "page_id").select(tokens().alias("items"), "bad"), **bounds)
-    urls = base.filter("host <> ''").select("url", tokens().alias("items")).distinct()
-    judged = base.withColumn("_f", fixed_rule(fixed)).join(match(urls, rules), "url", "left")
+    base = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("items", F.when(F.col("host") != "", tokens())).withColumn("_f", fixed_rule(fixed))
+    rules = written(mine(training(base, labels), **bounds))
+    matched = written(match(base.filter("items IS NOT NULL").select("items").distinct(), rules))
+    judged = base.join(small(matched), "items", "left")
     return judged.select(
         "page_id", "host", "path", F.col("_f.rule").alias("rule"),
         F.coalesce("_f.verdict", "mined_verdict", F.lit(default)).alias("verdict"), "mined_rule",

@@ -167,6 +167,52 @@ def test_url_rules_are_mined(spark):
     assert all(r.verdict == ("block" if r.page_id % 2 else "allow") and r.mined_rule for r in got)
 
 
+def brute_tokens(host, path):
+    labels = [x for x in host.split(".") if x]
+    out = [f"host:{x}" for x in labels] + ([f"site:{'.'.join(labels[-2:])}"] if len(labels) > 1 else [])
+    out += [f"path:{x}" for x in re.split(r"[/._-]+", path.lower()) if x and not re.search("[0-9]", x)]
+    return set(out) | {f"depth:{min(9, len([x for x in path.split('/') if x]))}"}
+
+
+def test_url_rules_of_the_pages(spark):
+    """Every page gets the best of the rules that a brute count finds; some are found."""
+    rows = registry.op9_url_filters(spark, "/root/testdata/sf0.01").collect()
+    known = []
+    for r in rows:
+        if r.rule:
+            own = r.rule[: r.rule.index("/")]
+            mine = {t for t in brute_tokens(r.host, r.path) if not (t.startswith("host:") and t[5:] in own.split(".") or t.startswith("site:") and t.endswith(own))}
+            known.append((mine, r.verdict))
+    share = {v: sum(x == v for _, x in known) / len(known) for v in ("block", "allow")}
+    mined = {r.mined_rule for r in rows if r.mined_rule}
+    assert mined
+    for rule in mined:
+        want = set(rule.split("+"))
+        hit = [v for t, v in known if want <= t]
+        assert any(hit.count(v) >= max(urls.MIN_ROWS, urls.MIN_SUPPORT * len(known)) - 1e-6 and hit.count(v) / len(hit) >= max(urls.MIN_CONFIDENCE, urls.MIN_LIFT * share[v]) - 1e-9 for v in share), rule
+    best = {}
+    for rule in mined:
+        want = set(rule.split("+"))
+        hit = [v for t, v in known if want <= t]
+        v = max(share, key=hit.count)
+        best[rule] = (want, hit.count(v) / len(hit), hit.count(v), v)
+    for r in rows:
+        if r.host:
+            fits = [(c, n, -len(k), k, v) for k, (want, c, n, v) in best.items() if want <= brute_tokens(r.host, r.path)]
+            if fits:
+                top = max(fits)
+                assert r.mined_rule == top[3] and (r.rule or r.verdict == top[4]), r
+            else:
+                assert r.mined_rule is None
+
+
+def test_urls_that_repeat_or_are_odd(spark):
+    rows = [(i, "http://hot.example.net/de/1") for i in range(300)] + [(i, None) for i in range(50)] + [(7, "http://" + "a." * 3000 + "org/fr/" + "x/" * 3000)] * 2 + [(8, "http://"), (9, "://"), (10, "")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == len(rows) and sum(r.rule == "net/" and r.verdict == "block" for r in got) == 300
+    assert sum(r.rule == "org/fr/" for r in got) == 2 and all(r.mined_rule is None for r in got if not r.host)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
