@@ -11,28 +11,35 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a side may be broadcast; it is counted first, and joined by shuffle beyond.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes (as JSON) up to which a side may be broadcast; both are counted first, and it is joined by shuffle beyond.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, is computed once, survives lost executors."""
+    """df as a table in the shared folder: cuts lineage, is computed once, survives lost executors; it goes when the session ends."""
     path = f"{shared_dir(df.sparkSession)}/folio-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = df.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else unchanged."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES, else unchanged."""
+    weight = F.coalesce(F.sum(F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count("*").alias("rows"), weight.alias("bytes")).first()
+    return F.broadcast(df) if found.rows <= rows and found.bytes <= BROADCAST_BYTES else df
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -79,4 +86,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         leaves = e.select(F.col("u").alias("v"))
         if n.n == n.d and e.select("v").distinct().join(leaves, "v", "left_semi").limit(1).count() == 0:
             break  # every node hangs on one centre, and no centre hangs on another
+    else:
+        raise RuntimeError(f"components: {rounds} rounds were not enough")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

@@ -65,7 +65,8 @@ def _round(linked: DataFrame, load: list[float], cap: float) -> tuple[DataFrame,
     shards = len(load)
     full = [k for k in range(shards) if load[k] >= cap]
     seats = linked.groupBy("g", "shard").agg(F.sum("size").alias("w"), F.count("*").alias("c"))
-    best = seats.groupBy("g").agg(F.max_by("shard", F.struct("c", "w", F.xxhash64("g", "shard"))).alias("to"))
+    # Written, so that the join has exchanges of its own and a hot group can be split.
+    best = written(seats.groupBy("g").agg(F.max_by("shard", F.struct("c", "w", F.xxhash64("g", "shard"))).alias("to")))
     asked = linked.join(best, "g")
     want = {(r.shard, r.to): float(r.s) for r in asked.filter("to <> shard").groupBy("shard", "to").agg(F.sum("size").alias("s")).collect()}
     if not want or all(t in full for _, t in want) and not any((t, s) in want for s, t in want):
@@ -85,8 +86,9 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 6, doc_id: str = "doc
     size = F.octet_length(body).cast("long") + 1
     rows = docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.xxhash64(body, F.md5(F.encode(body, "UTF-8"))).alias("g"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
-    counts = rows.groupBy("g").agg(F.count("*").alias("n"))
-    rows = written(rows.join(counts, "g").withColumn("shard", F.when(F.col("n") > 1, F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))))
+    counts = written(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"))
+    counted = rows.join(counts.hint("merge"), "g", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rows = written(counted.withColumn("shard", F.when(F.col("n") > 1, F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))))
     total = rows.agg(F.sum("size").alias("s")).first().s or 0
     cap = total / shards
     linked, single = rows.filter("n > 1"), rows.filter("n = 1")

@@ -5,7 +5,8 @@ canonical words are hashed and joined; hits on one diagonal (document position m
 position) are counted before any word moves. Where enough windows of an item lie on a
 diagonal, the words are compared again: the canonical words must be equal, and the
 values in the placeholders must map one to one, so that a question with other
-numbers and names is caught and a chance likeness of templates is not. DataFrame functions only.
+numbers and names is caught and a chance likeness of templates is not. A run most of whose words are
+equal is a copy even if a slot of it is not consistent. DataFrame functions only.
 
 A token is what stands between ASCII white space, without the marks ``.,;:!?"'()[]{}`` around
 it. ``<num>``: digits with points and commas, perhaps signed. ``<unit>``: a unit after a
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from folio.llm.common import free, small, written
 
 WINDOW, LITERALS, NEEDED = 8, 5, 6
+#: Share of equal words from which a run is a copy, whatever its slots.
+SAME = 0.8
 MARKS = ".,;:!?\"'()[]{}"
 # Unit words.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "years", "meters", "miles", "feet", "inches", "grams", "pounds", "liters", "dollars", "cents", "euros", "percent", "%")
@@ -112,7 +115,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
     one_to_one = (F.size(F.array_distinct(item_values)) == F.size("slots")) & (F.size(F.array_distinct(doc_values)) == F.size("slots"))
     exact = F.forall("zip", lambda z: bare(z["iw"]).eqNullSafe(bare(z["dw"])))
     enough = F.size("_agree") >= window
-    return checked.filter(one_to_one & enough).select("doc_id", "key", "item_id", F.col("n").alias("n_windows"), "from_word", (F.col("from_word") + F.col("size")).alias("to_word"), exact.alias("exact"))
+    same = F.size(F.filter("zip", lambda z: bare(z["iw"]).eqNullSafe(bare(z["dw"])))) >= SAME * F.size("zip")
+    return checked.filter((one_to_one | same) & enough).select("doc_id", "key", "item_id", F.col("n").alias("n_windows"), "from_word", (F.col("from_word") + F.col("size")).alias("to_word"), exact.alias("exact"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -156,7 +160,8 @@ pair AS (SELECT run.*, i.c AS ic, d.c AS dc, i.b AS ib, d.b AS db FROM run
   JOIN can d ON d.side = 'd' AND d.r = run.dr AND d.pos = i.pos + shift),
 ok AS (SELECT doc_id, dr, item_id, ir, shift, n, bool_and(ib = db) AS exact FROM pair GROUP BY ALL
   HAVING count(*) FILTER (ic = dc) >= {WINDOW}
-    AND count(DISTINCT (ic, ib, db)) FILTER (ic = dc AND starts_with(ic, '<')) = count(DISTINCT (ic, ib)) FILTER (ic = dc AND starts_with(ic, '<'))
-    AND count(DISTINCT (ic, ib, db)) FILTER (ic = dc AND starts_with(ic, '<')) = count(DISTINCT (ic, db)) FILTER (ic = dc AND starts_with(ic, '<')))
+    AND (count(*) FILTER (ib = db) >= {SAME} * count(*)
+      OR count(DISTINCT (ic, ib, db)) FILTER (ic = dc AND starts_with(ic, '<')) = count(DISTINCT (ic, ib)) FILTER (ic = dc AND starts_with(ic, '<'))
+      AND count(DISTINCT (ic, ib, db)) FILTER (ic = dc AND starts_with(ic, '<')) = count(DISTINCT (ic, db)) FILTER (ic = dc AND starts_with(ic, '<'))))
 SELECT doc_id, item_id, max(n) AS n_windows, bool_or(exact) AS exact FROM ok GROUP BY doc_id, item_id
 """

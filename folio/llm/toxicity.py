@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_ch
         part = truth.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.union(part)
     # At most 2 * per_class ids: a bounded side.
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").limit(4 * per_class).collect()
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").orderBy("doc_id", F.xxhash64("text"), "text").limit(4 * per_class).collect()
     once = {(r.text, int(r.toxic)) for r in rows}  # copies would make their own words look like cues
     texts, toxic = zip(*sorted(once), strict=True) if once else ((), ())
     return fit(list(texts), list(toxic), prior)

@@ -7,7 +7,9 @@ date, and carry block digests of their own; the conversion also keeps the digest
 payload it was made from. Identifiers are derived from content, so a rerun gives the same.
 
 Defined results: a null page counts as empty; its records are there, with empty bodies. A
-null url gives no WARC-Target-URI line. Repeated rows give repeated records with equal ids.
+null url gives no WARC-Target-URI line; white space and control characters in a url are percent-encoded, so
+that no header line breaks. Pages of different page_id have records of different ids, whatever they hold;
+rows that repeat with their id give repeated records. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|na
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
+_BREAKS = re.compile(r"[\x00-\x20\x7f-\xa0\u2028\u2029]")
 
 
 def digest(body: bytes) -> str:
@@ -56,6 +59,11 @@ def facts(page: str) -> list[tuple[str, str]]:
     return out + [("outlink", " ".join(x.split())) for x in links if x]
 
 
+def encoded(uri: str | None) -> str | None:
+    """A uri that fits a header line."""
+    return uri if uri is None else _BREAKS.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), uri)
+
+
 def fields(pairs: list[tuple[str, str | None]]) -> str:
     return "".join(f"{k}: {v}{CRLF}" for k, v in pairs if v is not None)
 
@@ -74,7 +82,7 @@ def responses(pages: DataFrame, date: str = DATE, page_id: str = "page_id", url:
     def run(batches):
         for b in batches:
             payload = [p or "" for p in b["payload"]]
-            ids = [record_id("response", u or "", date, p) for u, p in zip(b["uri"], payload, strict=True)]
+            ids = [record_id("response", str(i), u or "", date, p) for i, u, p in zip(b["page_id"], b["uri"], payload, strict=True)]
             http = [f"Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {len(p.encode('utf-8', 'surrogatepass'))}{CRLF}" for p in payload]
             yield pd.DataFrame({"page_id": b["page_id"], "record_id": ids, "uri": b["uri"], "date": date, "http": http, "payload": payload})
 
@@ -91,7 +99,7 @@ def derive(records: DataFrame) -> DataFrame:
             for r in b.itertuples(index=False):
                 payload = r.payload or ""
                 source = digest(payload.encode("utf-8", "surrogatepass"))
-                shared = [("WARC-Refers-To", r.record_id), ("WARC-Target-URI", r.uri), ("WARC-Date", r.date)]
+                shared = [("WARC-Refers-To", r.record_id), ("WARC-Target-URI", encoded(r.uri)), ("WARC-Date", r.date)]
                 http = [(f"source-{k.strip().lower()}", v.strip()) for k, _, v in (x.partition(":") for x in (r.http or "").split(CRLF) if x)]
                 meta = fields([*http, ("source-payload-digest", source), *facts(payload)])
                 text = visible(payload)
