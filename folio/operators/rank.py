@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.operators.order import running
+
 
 def bayesian(titles: DataFrame, prior: int) -> DataFrame:
     """Adds rank = v/(v+C)·R + C/(v+C)·m, with m the mean rating where votes >= C.
@@ -18,13 +20,18 @@ def bayesian(titles: DataFrame, prior: int) -> DataFrame:
     return titles.join(F.broadcast(mean), F.lit(True), "left").withColumn("rank", F.when((v > 0) & (F.col("rating") > 0), score)).drop("_m")
 
 
-def robust_z(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Adds (value - median) / max(1.4826 · MAD, 1e-9) within keys, in two aggregations."""
-    centre = rows.groupBy(*keys).agg(F.median(value).alias("_c"))
+def robust_z(rows: DataFrame, keys: list[str], values: dict[str, str], least: int = 1) -> DataFrame:
+    """Adds (value - median) / max(1.4826 · MAD, 1e-9) within keys, for {name: value}, in two aggregations.
+
+    Only groups of ``least`` rows or more stay.
+    """
+    centre = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.median(v).alias(f"_c{k}") for k, v in enumerate(values.values()))).filter(F.col("_n") >= least)
     away = rows.join(centre, keys)
-    spread = away.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("_c"))).alias("_d"))
-    scale = F.greatest(F.col("_d") * 1.4826, F.lit(1e-9))
-    return away.join(spread, keys).withColumn(name, (F.col(value) - F.col("_c")) / scale).drop("_c", "_d")
+    spread = away.groupBy(*keys).agg(*(F.median(F.abs(F.col(v) - F.col(f"_c{k}"))).alias(f"_d{k}") for k, v in enumerate(values.values())))
+    out = away.join(spread, keys)
+    for k, (name, v) in enumerate(values.items()):
+        out = out.withColumn(name, (F.col(v) - F.col(f"_c{k}")) / F.greatest(F.col(f"_d{k}") * 1.4826, F.lit(1e-9))).drop(f"_c{k}", f"_d{k}")
+    return out.drop("_n")
 
 
 def breakout(rows: DataFrame, rungs: list[list[str]], least: int, confidence: int) -> DataFrame:
@@ -36,8 +43,7 @@ def breakout(rows: DataFrame, rungs: list[list[str]], least: int, confidence: in
     base = rows.withColumn("_reach", F.log10("votes")).withColumn("_row", F.struct("id", "locale"))
     scored = None
     for level, keys in enumerate(rungs):
-        big = base.join(base.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n"), keys)
-        z = robust_z(robust_z(big, keys, "_reach", "_zr"), keys, "rating", "_zl").select("id", "locale", "votes", F.lit(level).alias("_level"), "_zr", "_zl")
+        z = robust_z(base, keys, {"_zr": "_reach", "_zl": "rating"}, least).select("id", "locale", "votes", F.lit(level).alias("_level"), "_zr", "_zl")
         scored = z if scored is None else scored.unionByName(z)
     first = scored.groupBy("id", "locale").agg(F.min_by(F.struct("votes", "_zr", "_zl"), "_level").alias("s"))
     damp = F.col("s.votes") / (F.col("s.votes") + confidence)
@@ -47,12 +53,11 @@ def breakout(rows: DataFrame, rungs: list[list[str]], least: int, confidence: in
 def at_index(rows: DataFrame, value: str, index: Column) -> DataFrame:
     """The value at a 0-based index of the ascending order, as one row; index may use n, the number of rows.
 
-    Values are counted first, so the ordered scan is over distinct values.
+    Values are counted first, so the ordered scan is over distinct values, in buckets.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("c").alias("n"))
-    placed = counts.withColumn("upto", F.sum("c").over(upto)).join(F.broadcast(total), F.lit(True), "inner").withColumn("at", index)
+    placed = running(counts, value, F.col("c"), "upto").crossJoin(F.broadcast(total)).withColumn("at", index)
     return placed.filter((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("c") <= F.col("at"))).select(F.col(value).alias("cutoff"))
 
 
@@ -74,12 +79,16 @@ def head_cutoff(rows: DataFrame, value: str, k: int) -> DataFrame:
 def impute(reference: DataFrame, targets: DataFrame) -> DataFrame:
     """Votes at the target's popularity quantile: reference (popularity, votes), targets (id, popularity).
 
-    The lower bound of a target in the sorted reference is a count, taken by one ordered pass over
-    reference and targets together; it is then an equi-join with the position among the votes.
+    The lower bound of a target in the sorted reference is a running count over reference and targets together, both
+    counted by value first. The votes at that place are a running maximum over places and the first place of each number of votes.
     """
-    both = reference.select("popularity", F.lit(None).cast("long").alias("id"), F.lit(1).alias("ref")).unionByName(targets.select("popularity", "id", F.lit(0).alias("ref")))
-    before = Window.orderBy("popularity", "ref").rowsBetween(Window.unboundedPreceding, 0)
-    low = both.withColumn("lo", F.sum("ref").over(before)).filter("ref = 0").select("id", "lo")
-    places = reference.select("votes", (F.row_number().over(Window.orderBy("votes")) - 1).alias("at"))
+    refs = reference.groupBy("popularity").agg(F.count("*").alias("c")).select("popularity", "c", F.lit(1).alias("ref"))
+    asked = targets.select("popularity").distinct().select("popularity", F.lit(0).cast("long").alias("c"), F.lit(0).alias("ref"))
+    low = running(refs.unionByName(asked), "popularity", F.col("c"), "lo", "ref").filter("ref = 0").select("popularity", "lo")
     n = reference.agg(F.count("*").alias("n"))
-    return low.join(F.broadcast(n), F.lit(True), "inner").withColumn("at", F.least("lo", F.col("n") - 1)).join(places, "at").select("id", F.col("votes").alias("imputed"))
+    at = low.crossJoin(F.broadcast(n)).select("popularity", F.least("lo", F.col("n") - 1).alias("at"))
+    votes = reference.groupBy("votes").agg(F.count("*").alias("c"))
+    starts = running(votes, "votes", F.col("c"), "upto").select((F.col("upto") - F.col("c")).alias("at"), "votes", F.lit(0).alias("asked"))
+    places = starts.unionByName(at.select("at").distinct().select("at", F.lit(None).cast("long").alias("votes"), F.lit(1).alias("asked")))
+    found = running(places, "at", F.col("votes"), "imputed", "asked", how=F.max).filter("asked = 1").select("at", "imputed")
+    return targets.select("id", "popularity").join(at, "popularity").join(found, "at").select("id", "imputed")

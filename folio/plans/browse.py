@@ -109,11 +109,11 @@ def not_in_multi(spark, sf_dir):
 
 
 def named_language(spark, sf_dir):
-    """Titles of a language, but not those that are in English as well."""
-    docs = table(spark, sf_dir, "documents").select("source", "lang")
-    named = docs.filter("lang = 'fr'").groupBy("source").agg(F.count("*").alias("n"))
-    english = docs.join(table(spark, sf_dir, "documents").filter("lang = 'en' AND n_chars > 15000").select("source").distinct(), "source", "left_semi").select("source").distinct()
-    return named.join(english, "source", "left_anti")
+    """Texts of a named language by source, but not those of sources that write English as well, unless the name is English."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    english = docs.filter("lang = 'en'").groupBy("source").agg(F.count("*").alias("n")).filter("n >= 5").select("source")
+    named = [docs.filter(F.col("lang") == x).select(F.lit(x).alias("asked"), "source") for x in ("fr", "en")]
+    return named[0].join(english, "source", "left_anti").select("asked", "source").unionByName(named[1]).groupBy("asked", "source").agg(F.count("*").alias("n"))
 
 
 def language_any(spark, sf_dir):
@@ -150,8 +150,8 @@ QUERIES = {
     "exists_semi": (exists_semi, "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
     "not_exists_anti": (not_exists_anti, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
     "not_in_multi": (not_in_multi, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')"),
-    "named_language": (named_language, """SELECT source, count(*) AS n FROM documents WHERE lang = 'fr' AND source NOT IN
-      (SELECT source FROM documents WHERE lang = 'en' AND n_chars > 15000) GROUP BY source"""),
+    "named_language": (named_language, """SELECT lang AS asked, source, count(*) AS n FROM documents WHERE lang = 'en' OR lang = 'fr' AND source NOT IN
+      (SELECT source FROM documents WHERE lang = 'en' GROUP BY 1 HAVING count(*) >= 5) GROUP BY 1, 2"""),
     "language_any": (language_any, "SELECT doc_id, coalesce(lang, '') AS lang FROM documents WHERE coalesce(lang, '') IN ('en', 'es', '')"),
     "ranked_non_english": (ranked_non_english, """SELECT lang, count(*) AS n FROM documents WHERE n_chars >= 1000 AND source NOT IN
       (SELECT source FROM documents GROUP BY source HAVING 2 * count(*) FILTER (lang = 'en') > count(*)) GROUP BY lang"""),

@@ -26,12 +26,13 @@ def refinements_lag(spark, sf_dir):
 
 
 def lead_intervals(spark, sf_dir):
-    """The interval from each event to the user's next."""
-    return _events(spark, sf_dir).withColumn("until", F.lead("sec").over(_by_user())).select("event_id", "sec", "until")
+    """The interval from each event to the user's next; the last one ends where the log does."""
+    rows = _events(spark, sf_dir)
+    return rows.crossJoin(F.broadcast(rows.agg(F.max("sec").alias("end")))).withColumn("until", F.coalesce(F.lead("sec").over(_by_user()), "end")).select("event_id", "sec", "until")
 
 
 def session_gap(spark, sf_dir):
-    """Sessions that end after a gap of half an hour; events and length of each."""
+    """Sessions that end after a gap of half an hour; events and length of each."""
     new = F.coalesce((F.col("sec") - F.lag("sec").over(_by_user()) > GAP).cast("int"), F.lit(1))
     rows = _events(spark, sf_dir).withColumn("new", new).withColumn("session", F.sum("new").over(_by_user()))
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("n"), (F.max("sec") - F.min("sec")).alias("seconds"))
@@ -69,19 +70,18 @@ def first_per_key(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("user_id").agg(F.min_by(F.struct("event_id", "event_type"), F.struct("sec", "ts", "event_id")).alias("f")).select("user_id", "f.event_id", "f.event_type")
 
 
-def _daily(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("day").agg(F.count("*").alias("n"))
-
-
 def moving_average(spark, sf_dir):
-    """V6: mean of a day and the six before; the window is over days, which are few."""
-    return _daily(spark, sf_dir).select("day", F.round(F.avg("n").over(Window.orderBy("day").rowsBetween(-6, 0)), 4).alias("mean"))
+    """V6: mean of a day and the two on either side, of each type of event; fewer at the edges."""
+    around = Window.partitionBy("event_type").orderBy("day").rowsBetween(-2, 2)
+    days = _events(spark, sf_dir).groupBy("event_type", "day").agg(F.count("*").alias("n"))
+    return days.select("event_type", "day", F.round(F.avg("n").over(around), 4).alias("mean"))
 
 
 def share_of_max(spark, sf_dir):
-    """A day's events as a share of the busiest day's."""
-    days = _daily(spark, sf_dir)
-    return days.join(F.broadcast(days.agg(F.max("n").alias("top"))), F.lit(True), "inner").select("day", F.round(F.col("n") / F.col("top"), 6).alias("share"))
+    """An hour's value as a percentage of the largest hour's, 1 at least unless it is none; and per event, null-safe."""
+    hours = _events(spark, sf_dir).groupBy("day", F.date_format("ts", "HH").alias("hour")).agg(F.count("*").alias("n"), F.coalesce(F.round(F.sum(F.when(F.col("event_type") == "error", F.col("value"))), 4), F.lit(0.0)).alias("total"))
+    bar = F.when(F.col("total") > 0, F.greatest(F.round(100 * F.try_divide("total", "top"), 2), F.lit(1.0))).otherwise(0.0)
+    return hours.crossJoin(F.broadcast(hours.agg(F.max("total").alias("top")))).select("day", "hour", bar.alias("bar"), F.round(F.try_divide("total", "n"), 4).alias("rate"))
 
 
 def islands_ranges(spark, sf_dir):
@@ -92,8 +92,9 @@ def islands_ranges(spark, sf_dir):
 
 
 def band_buckets(spark, sf_dir):
-    """V1: events by band of value; the floors are a parameter in descending order."""
-    v, band = F.col("value"), F.lit("none")
+    """V1: events by band: the first of the floors that a value reaches, the lowest for what is below all, null for null."""
+    v = F.col("value") - 5
+    band = F.when(v.isNotNull(), F.lit("0"))
     for floor in (0, 10, 50, 100):
         band = F.when(v >= floor, F.lit(str(floor))).otherwise(band)
     return _events(spark, sf_dir).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
@@ -114,7 +115,7 @@ E = "e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec, strftime(ts, '%Y-%
 U = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 QUERIES = {
     "log_refinements_lag": (refinements_lag, f"WITH {E} SELECT event_id, lag(event_type) OVER w AS before, sec - lag(sec) OVER w AS since FROM e {U}"),
-    "lead_intervals": (lead_intervals, f"WITH {E} SELECT event_id, sec, lead(sec) OVER w AS until FROM e {U}"),
+    "lead_intervals": (lead_intervals, f"WITH {E} SELECT event_id, sec, coalesce(lead(sec) OVER w, (SELECT max(sec) FROM e)) AS until FROM e {U}"),
     "session_gap": (session_gap, f"""WITH {E}, n AS (SELECT *, coalesce(CAST(sec - lag(sec) OVER w > {GAP} AS INT), 1) AS new FROM e {U}), s AS (SELECT *, CAST(sum(new) OVER w AS BIGINT) AS session FROM n {U})
       SELECT user_id, session, count(*) AS n, max(sec) - min(sec) AS seconds FROM s GROUP BY 1, 2"""),
     "tumbling_hour": (tumbling_hour, "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
@@ -125,11 +126,12 @@ QUERIES = {
       SELECT event_type, CAST(sum(c) AS BIGINT) AS n, count(*) AS users, round(sum(s) / sum(c), 4) AS mean, any_value(b.user_id) AS busiest FROM p JOIN b USING (event_type) GROUP BY 1"""),
     "retention_topn": (retention_topn, f"SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM events QUALIFY place <= {NEWEST}"),
     "first_per_key": (first_per_key, "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"),
-    "moving_average": (moving_average, f"WITH {E}, d AS (SELECT day, count(*) AS n FROM e GROUP BY 1) SELECT day, round(avg(n) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS mean FROM d"),
-    "share_of_max": (share_of_max, f"WITH {E}, d AS (SELECT day, count(*) AS n FROM e GROUP BY 1) SELECT day, round(n / (SELECT max(n) FROM d), 6) AS share FROM d"),
+    "moving_average": (moving_average, f"WITH {E}, d AS (SELECT event_type, day, count(*) AS n FROM e GROUP BY 1, 2) SELECT event_type, day, round(avg(n) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS mean FROM d"),
+    "share_of_max": (share_of_max, f"""WITH {E}, d AS (SELECT day, strftime(ts, '%H') AS hour, count(*) AS n, coalesce(round(sum(value) FILTER (event_type = 'error'), 4), 0) AS total FROM e GROUP BY 1, 2)
+      SELECT day, hour, CASE WHEN total > 0 THEN greatest(round(100 * total / (SELECT max(total) FROM d), 2), 1.0) ELSE 0.0 END AS bar, round(total / n, 4) AS rate FROM d"""),
     "islands_ranges": (islands_ranges, f"""WITH {E}, d AS (SELECT DISTINCT user_id, CAST(CAST(day AS DATE) - DATE '1970-01-01' AS INT) AS d FROM e), r AS (SELECT *, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS run FROM d)
       SELECT user_id, min(d) AS from_day, count(*) AS days FROM r GROUP BY user_id, run"""),
-    "band_buckets": (band_buckets, "SELECT CASE WHEN value >= 100 THEN '100' WHEN value >= 50 THEN '50' WHEN value >= 10 THEN '10' WHEN value >= 0 THEN '0' ELSE 'none' END AS band, count(*) AS n FROM events GROUP BY 1"),
+    "band_buckets": (band_buckets, "SELECT CASE WHEN value - 5 >= 100 THEN '100' WHEN value - 5 >= 50 THEN '50' WHEN value - 5 >= 10 THEN '10' WHEN value IS NOT NULL THEN '0' END AS band, count(*) AS n FROM events GROUP BY 1"),
     "pivot_grid": (pivot_grid, f"WITH {E} SELECT day, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM e GROUP BY 1"),
     "json_extract": (json_extract, "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1"),
 }

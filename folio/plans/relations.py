@@ -15,7 +15,7 @@ CREDITS = "credits AS (SELECT l_partkey AS title_id, l_suppkey AS person_id, l_r
 def left_coalesce_join(spark, sf_dir):
     """A left join whose result, or the row's own key, leads to the next table."""
     orders, cust, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    joined = orders.filter("o_orderkey % 7 = 0").join(cust.filter("c_acctbal > 0"), orders.o_custkey == cust.c_custkey, "left").withColumn("key", F.coalesce("c_nationkey", F.lit(0)))
+    joined = orders.join(cust.filter("c_acctbal > 0"), orders.o_custkey == cust.c_custkey, "left").withColumn("key", F.coalesce("c_nationkey", F.lit(0)))
     return joined.join(F.broadcast(nation), joined.key == nation.n_nationkey).groupBy("n_name").agg(F.count("*").alias("n"), F.count("c_custkey").alias("known"))
 
 
@@ -34,9 +34,9 @@ def composite_key_join(spark, sf_dir):
 
 
 def crosswalk_one_to_one(spark, sf_dir):
-    """Pairs that are unambiguous on both sides."""
-    pairs = table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k")).withColumn("slot", F.col("user_id") * 1000 + F.col("k"))
-    return graph.one_to_one(pairs.select("user_id", "slot").filter("slot % 3 = 0"), "user_id", "slot")
+    """Pairs that are unambiguous on both sides: orders of one line, and titles that one such order has."""
+    single = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    return graph.one_to_one(single, "l_orderkey", "l_partkey")
 
 
 def boolean_key_join(spark, sf_dir):
@@ -51,7 +51,7 @@ def collaborators(spark, sf_dir):
     credits = catalogue.credits(spark, sf_dir)
     votes = catalogue.titles(spark, sf_dir).select(F.col("id").alias("title_id"), "votes")
     shared = graph.collaborators(credits, 1, 2)
-    weight = credits.select("title_id", "person_id").distinct().join(votes, "title_id").groupBy("person_id").agg(F.sum("votes").alias("votes"))
+    weight = credits.join(shared.select("person_id"), "person_id", "left_semi").select("title_id", "person_id").distinct().join(votes, "title_id").groupBy("person_id").agg(F.sum("votes").alias("votes"))
     return shared.join(weight, "person_id").join(catalogue.people(spark, sf_dir), "person_id").orderBy(F.desc("shared"), F.desc("votes"), "name", "person_id").limit(12).select("person_id", "name", "shared", "votes")
 
 
@@ -119,7 +119,8 @@ def unordered_pairs(spark, sf_dir):
 def carry_forward(spark, sf_dir):
     """Credits of an earlier snapshot re-attached by the stable name of their title."""
     part = table(spark, sf_dir, "part")
-    old = catalogue.credits(spark, sf_dir).filter("title_id % 2 = 0").join(part.select(F.col("p_partkey").alias("title_id"), "p_name", "p_brand"), "title_id")
+    early = table(spark, sf_dir, "lineitem").filter("l_shipdate < '1997-01-01'").select(F.col("l_partkey").alias("title_id"), F.col("l_suppkey").alias("person_id"), F.col("l_returnflag").alias("category")).distinct()
+    old = early.join(part.select(F.col("p_partkey").alias("title_id"), "p_name", "p_brand"), "title_id")
     new = graph.single(part.withColumn("name", F.concat_ws("#", "p_name", "p_brand", "p_size")), "name", "p_partkey")
     names = part.select(F.col("p_partkey").alias("title_id"), F.concat_ws("#", "p_name", "p_brand", "p_size").alias("name"))
     return old.join(names, "title_id").join(new, "name").groupBy(F.col("p_partkey").alias("title_id")).agg(F.count("*").alias("n"))
@@ -127,15 +128,15 @@ def carry_forward(spark, sf_dir):
 
 QUERIES = {
     "left_coalesce_join": (left_coalesce_join, """SELECT n_name, count(*) AS n, count(c_custkey) AS known FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey
-      JOIN nation ON n_nationkey = coalesce(c_nationkey, 0) WHERE o_orderkey % 7 = 0 GROUP BY n_name"""),
+      JOIN nation ON n_nationkey = coalesce(c_nationkey, 0) GROUP BY n_name"""),
     "nulls_first_stale": (nulls_first_stale, """SELECT c_custkey, CAST(last AS DATE) AS last_day FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) o
       ON o_custkey = c_custkey ORDER BY last ASC NULLS FIRST, c_custkey LIMIT 40"""),
     "composite_key_join": (composite_key_join, """SELECT a.l_suppkey, a.l_returnflag, a.l_linestatus, a.n, b.large FROM
       (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) a JOIN
       (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS large FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2, 3) b
       ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus"""),
-    "crosswalk_one_to_one": (crosswalk_one_to_one, """WITH p AS (SELECT DISTINCT user_id, user_id * 1000 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS slot FROM events),
-      q AS (SELECT * FROM p WHERE slot % 3 = 0) SELECT user_id, slot FROM q WHERE user_id IN (SELECT user_id FROM q GROUP BY 1 HAVING count(*) = 1) AND slot IN (SELECT slot FROM q GROUP BY 1 HAVING count(*) = 1)"""),
+    "crosswalk_one_to_one": (crosswalk_one_to_one, """WITH q AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+      SELECT l_orderkey, l_partkey FROM q WHERE l_orderkey IN (SELECT l_orderkey FROM q GROUP BY 1 HAVING count(*) = 1) AND l_partkey IN (SELECT l_partkey FROM q GROUP BY 1 HAVING count(*) = 1)"""),
     "boolean_key_join": (boolean_key_join, """SELECT p.promo, count(*) AS n, count(DISTINCT p_partkey) AS parts FROM (SELECT p_partkey, p_type = 'PROMO' AS promo, CASE WHEN p_type = 'PROMO' THEN p_size ELSE p_partkey % 50 END AS key FROM part) p
       JOIN (SELECT s_acctbal > 5000 AS promo, s_suppkey % 50 AS key FROM supplier) s ON p.promo = s.promo AND p.key = s.key GROUP BY p.promo"""),
     "collaborators": (collaborators, f"""WITH {TITLES}, {CREDITS}, pairs AS (SELECT DISTINCT title_id, person_id FROM credits),
@@ -160,6 +161,6 @@ QUERIES = {
       AND title_id IN (SELECT id FROM titles WHERE votes >= 35 OR year >= 1994) GROUP BY 1"""),
     "unordered_pairs": (unordered_pairs, """WITH k AS (SELECT DISTINCT l_orderkey, p_type FROM lineitem JOIN part ON p_partkey = l_partkey)
       SELECT a.p_type || '|' || b.p_type AS pair, count(*) AS n FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND a.p_type < b.p_type GROUP BY 1"""),
-    "carry_forward": (carry_forward, f"""WITH {CREDITS}, names AS (SELECT p_partkey, p_name || '#' || p_brand || '#' || p_size AS name FROM part), new AS (SELECT name, min(p_partkey) AS id FROM names GROUP BY 1 HAVING count(*) = 1)
-      SELECT id AS title_id, count(*) AS n FROM credits JOIN names ON p_partkey = title_id JOIN new USING (name) WHERE title_id % 2 = 0 GROUP BY 1"""),
+    "carry_forward": (carry_forward, """WITH names AS (SELECT p_partkey, p_name || '#' || p_brand || '#' || p_size AS name FROM part), new AS (SELECT name, min(p_partkey) AS id FROM names GROUP BY 1 HAVING count(*) = 1)
+      SELECT id AS title_id, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey, l_returnflag FROM lineitem WHERE l_shipdate < '1997-01-01') JOIN names ON p_partkey = l_partkey JOIN new USING (name) GROUP BY 1"""),
 }

@@ -12,9 +12,15 @@ RIPE, WIDTH, STEP, CAP = 3600, 3600, 600, 150.0
 
 
 def log_debounce(spark, sf_dir):
-    """An event goes if the user has a later one of the same type within the window."""
-    later = F.lead("sec").over(Window.partitionBy("user_id", "event_type").orderBy("sec", "event_id"))
-    return _events(spark, sf_dir).withColumn("later", later).filter(F.col("later").isNull() | (F.col("later") - F.col("sec") > RIPE)).select("event_id", "user_id", "event_type")
+    """What a user typed goes if a later query of the same filters within the window begins with it; only rows older than the window are ripe."""
+    typed = F.lower(F.get_json_object("props", "$.k"))
+    rows = _events(spark, sf_dir).withColumn("typed", typed)
+    near = Window.partitionBy("user_id", "event_type").orderBy("sec").rangeBetween(0, RIPE)
+    later = F.collect_list(F.struct("sec", "event_id", "typed")).over(near)
+    own = F.struct("sec", "event_id")
+    goes = F.exists("later", lambda x: (F.struct(x["sec"], x["event_id"]) > own) & x["typed"].startswith(F.col("typed")))
+    ripe = rows.crossJoin(F.broadcast(rows.agg(F.max("sec").alias("now")))).withColumn("later", later)
+    return ripe.filter((F.col("sec") <= F.col("now") - RIPE) & ~goes).select("event_id", "user_id", "event_type", "typed")
 
 
 def sliding_meter(spark, sf_dir):
@@ -80,8 +86,9 @@ def leaderboards(spark, sf_dir):
 
 EV = "ev AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec, strftime(ts, '%Y-%m-%d') AS day FROM events)"
 QUERIES = {
-    "log_debounce": (log_debounce, f"""WITH {EV}, n AS (SELECT *, lead(sec) OVER (PARTITION BY user_id, event_type ORDER BY sec, event_id) AS later FROM ev)
-      SELECT event_id, user_id, event_type FROM n WHERE later IS NULL OR later - sec > {RIPE}"""),
+    "log_debounce": (log_debounce, f"""WITH {EV}, n AS (SELECT *, lower(json_extract_string(props, '$.k')) AS typed FROM ev)
+      SELECT event_id, user_id, event_type, typed FROM n WHERE sec <= (SELECT max(sec) FROM n) - {RIPE} AND NOT EXISTS (SELECT 1 FROM n m WHERE m.user_id = n.user_id AND m.event_type = n.event_type
+      AND (m.sec > n.sec OR m.sec = n.sec AND m.event_id > n.event_id) AND m.sec - n.sec <= {RIPE} AND starts_with(m.typed, n.typed))"""),
     "sliding_meter": (sliding_meter, f"""WITH {EV}, s AS (SELECT user_id, unnest(generate_series(sec - sec % {STEP} - {WIDTH - STEP}, sec - sec % {STEP}, {STEP})) AS start FROM ev)
       SELECT user_id, start, count(*) AS n FROM s GROUP BY 1, 2"""),
     "spend_cap": (spend_cap, f"WITH {EV} SELECT user_id, day, round(sum(value), 2) AS spent FROM ev GROUP BY 1, 2 HAVING round(sum(value), 2) > {CAP}"),

@@ -34,7 +34,7 @@ def _cutoffs(scores, column, p):
 
 def breakout_shelf(spark, sf_dir):
     """Titles beyond both percentiles, in a band of votes, outside the ranked head."""
-    scores = _breakout(spark, sf_dir).persist()  # one small row per title, read three times
+    scores = _breakout(spark, sf_dir)
     head = rank.bayesian(catalogue.titles(spark, sf_dir), PRIOR)
     limits = _cutoffs(scores, "reach", 0.6).withColumnRenamed("cutoff", "_r").join(_cutoffs(scores, "love", 0.5).withColumnRenamed("cutoff", "_l"), F.lit(True), "inner").join(rank.head_cutoff(head, "rank", 100).withColumnRenamed("cutoff", "_h"), F.lit(True), "inner")
     rows = scores.join(head, "id").join(F.broadcast(limits), F.lit(True), "inner")
@@ -56,21 +56,22 @@ def rank_head_cutoff(spark, sf_dir):
 
 
 def quantile_impute(spark, sf_dir):
-    """Votes of settled titles at the popularity quantile of recent ones, kept if higher."""
+    """Votes of recent titles at the popularity quantile of settled ones, kept if higher."""
     titles = catalogue.titles(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("popularity")), "id")
-    reference = titles.filter("id % 5 <> 0 AND votes > 0").select("popularity", "votes")
-    targets = titles.filter("id % 5 = 0").select("id", "popularity", "votes")
+    reference = titles.filter("year <= 1995 AND votes > 0").select("popularity", "votes")
+    targets = titles.filter("year > 1995").select("id", "popularity", "votes")
     return rank.impute(reference, targets).join(targets, "id").filter("imputed > votes").select("id", "votes", "imputed")
 
 
 def facet_counts(spark, sf_dir):
-    """Facets of a candidate set: genre, year, kind, each with its own order and size."""
+    """Facets of a candidate set: genre, decade, year, kind, each with its own order and size."""
     rows = catalogue.titles(spark, sf_dir).filter("votes >= 28")
     genre = rows.select(F.explode("genres").alias("value")).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(10)
     year = rows.filter("year IS NOT NULL").groupBy(F.col("year").cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("value")).limit(10)
+    decade = rows.filter("year IS NOT NULL").groupBy((F.floor(F.col("year") / 10) * 10).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("value"))
     kind = rows.groupBy(F.col("kind").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(5)
-    out = [df.select(F.lit(name).alias("facet"), "value", "n") for name, df in (("genre", genre), ("year", year), ("kind", kind))]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    out = [df.select(F.lit(name).alias("facet"), "value", "n") for name, df in (("genre", genre), ("decade", decade), ("year", year), ("kind", kind))]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def shelf_genres(spark, sf_dir):
@@ -93,12 +94,13 @@ QUERIES = {
       AND votes BETWEEN 20 AND 60 AND rank < (SELECT rank FROM r WHERE rank IS NOT NULL ORDER BY rank DESC LIMIT 1 OFFSET 99)"""),
     "percentile_cutoff": (percentile_cutoff, """WITH o AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice) - 1 AS i, count(*) OVER () AS n FROM part)
       SELECT 'floor' AS kind, v AS cutoff FROM o WHERE i = least(n - 1, CAST(floor(n * 0.92) AS BIGINT)) UNION ALL SELECT 'nearest', v FROM o WHERE i = greatest(CAST(ceil(n * 0.95) AS BIGINT) - 1, 0)"""),
-    "rank_head_cutoff": (rank_head_cutoff, f"WITH {RANKED} SELECT 250 AS k, rank AS cutoff FROM (SELECT rank FROM ranked WHERE rank IS NOT NULL ORDER BY rank DESC LIMIT 1 OFFSET 249) UNION ALL SELECT 10000000, -1.0"),
-    "quantile_impute": (quantile_impute, f"""WITH {TITLES}, p AS (SELECT t.id, t.votes, p_retailprice AS pop FROM titles t JOIN part ON p_partkey = t.id), ref AS (SELECT * FROM p WHERE id % 5 <> 0 AND votes > 0),
-      byv AS (SELECT votes, row_number() OVER (ORDER BY votes) - 1 AS i FROM ref), tgt AS (SELECT id, votes, (SELECT count(*) FROM ref WHERE ref.pop < p.pop) AS lo FROM p WHERE id % 5 = 0)
+    "rank_head_cutoff": (rank_head_cutoff, f"WITH {RANKED}, o AS (SELECT rank, row_number() OVER (ORDER BY rank DESC) AS i FROM ranked WHERE rank IS NOT NULL) SELECT k, coalesce((SELECT rank FROM o WHERE i = k), -1.0) AS cutoff FROM (VALUES (250), (10000000)) ks(k)"),
+    "quantile_impute": (quantile_impute, f"""WITH {TITLES}, p AS (SELECT t.id, t.votes, t.year, p_retailprice AS pop FROM titles t JOIN part ON p_partkey = t.id), ref AS (SELECT * FROM p WHERE year <= 1995 AND votes > 0),
+      byv AS (SELECT votes, row_number() OVER (ORDER BY votes) - 1 AS i FROM ref), tgt AS (SELECT id, votes, (SELECT count(*) FROM ref WHERE ref.pop < p.pop) AS lo FROM p WHERE year > 1995)
       SELECT id, tgt.votes, byv.votes AS imputed FROM tgt JOIN byv ON i = least(lo, (SELECT count(*) FROM ref) - 1) WHERE byv.votes > tgt.votes"""),
     "facet_counts": (facet_counts, f"""WITH {TITLES}, c AS (SELECT * FROM titles WHERE votes >= 28)
       SELECT * FROM (SELECT 'genre' AS facet, value, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(title, ' '))) AS value FROM c) GROUP BY 2 ORDER BY n DESC, value LIMIT 10)
+      UNION ALL SELECT 'decade', CAST(year // 10 * 10 AS VARCHAR), count(*) FROM c WHERE year IS NOT NULL GROUP BY 2
       UNION ALL SELECT * FROM (SELECT 'year', CAST(year AS VARCHAR) AS v, count(*) FROM c WHERE year IS NOT NULL GROUP BY 2 ORDER BY v DESC LIMIT 10)
       UNION ALL SELECT * FROM (SELECT 'kind', kind, count(*) AS n FROM c GROUP BY 2 ORDER BY n DESC, kind LIMIT 5)"""),
     "shelf_genres": (shelf_genres, f"WITH {TITLES} SELECT genre, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(title, ' '))) AS genre FROM titles WHERE votes >= 25 AND rating >= 5) GROUP BY 1 ORDER BY n DESC, genre LIMIT 12"),
