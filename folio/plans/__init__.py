@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folio.plans import browse, logs, relations, shelves, statistics, text
+from folio.plans import browse, logs, records, relations, shelves, statistics, text
 
-MODULES = (browse, relations, statistics, logs, text, shelves)
+MODULES = (browse, relations, statistics, logs, text, shelves, records)
 
 
 def _all() -> dict:
