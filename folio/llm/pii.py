@@ -31,6 +31,8 @@ from folio.llm.common import BROADCAST_ROWS, free, small, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT, SUPPORT, DISCLOSE, REMOVE = 5, 3, 0.8, 0.95
+#: Words whose folded form a task remembers.
+CACHE = 100_000
 STRIP = ".,;:!?*#%$&|\"'()[]{}<>"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -139,7 +141,7 @@ def _frequencies(docs: DataFrame, terms: DataFrame, text: str) -> DataFrame:
             seen: Counter = Counter()
             for t in batch["text"]:
                 words = set(_WORD.findall(t))
-                if len(folds) > 400_000:
+                if len(folds) > CACHE:
                     folds.clear()
                 for w in words.difference(folds):
                     folds[w] = fold(w)

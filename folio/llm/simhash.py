@@ -237,7 +237,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Texts sampled for the order of shingles; from how many of them on one is common, or hot; how many such are kept.
 SAMPLE, COMMON, HOT, MOST = 4_000, 3, 20, 200_000
 #: Texts in a block of a list that is compared by sketches, and of a family that is compared by sets.
-LIST, BLOCK = 2048, 512
+LIST, BLOCK = 2048, 256
 
 
 def _key(text: str) -> Column:
@@ -315,8 +315,9 @@ def candidates(n: np.ndarray, sketches: list[bytes], similarity: float) -> tuple
                 continue
             other = other[np.argsort(n[other], kind="stable")]
             bits = own_bits if other_width == w else folded(_matrix([sketches[i] for i in other]), own_bits.shape[1])
-            for at in range(0, len(own), 64):
-                rows = own[at : at + 64]
+            step = max(1, 2_000_000 // (len(other) * bits.shape[1]))  # bounds the memory of a comparison
+            for at in range(0, len(own), step):
+                rows = own[at : at + step]
                 end = int(np.searchsorted(n[other], n[rows[-1]] / similarity + 1e-6, "right"))
                 start = at if other_width == w else 0
                 if end <= start:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 PER_CLASS, MAX_CHARS, STEPS, THRESHOLD, SPAN_AT = 1200, 20_000, 50, 0.3, 0.5
 MIN_DOCS, MIN_SHARE, MIN_RATIO = 3, 0.02, 12.0
-CACHE = 400_000
+CACHE = 150_000
 #: Characters of the texts that a task scores at once.
 AT_ONCE = 1_000_000
 STRIP = ".,;:!?*#%$&|\"'()[]{}<>"
