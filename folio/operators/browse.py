@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANY = ""  # the genre of the any-genre grain
@@ -59,3 +59,8 @@ def cube_total(cube_: DataFrame, genre: str = ANY, kind: str | None = None, year
     if years is not None:
         cells = cells.filter(F.col("year").between(*years))
     return cells.agg(F.coalesce(F.sum(column), F.lit(0)).alias("total"))
+
+
+def project(rows: DataFrame, wanted: dict[str, Column | None]) -> DataFrame:
+    """The wanted columns; one that the table lacks is its stand-in, and without a stand-in an error."""
+    return rows.select(*(F.col(c) if c in rows.columns or other is None else other.alias(c) for c, other in wanted.items()))

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions import keys as K
+from folio.functions import queries as Q
 from folio.functions import text as T
+from folio.session import saved
 
 K1, B, RAREST, REACH = 1.2, 0.75, 8, 2
 
@@ -103,4 +106,77 @@ def scored(candidates: DataFrame) -> DataFrame:
     exact = F.greatest(F.when(F.col("_twin"), 0.0).otherwise(12.0), 14 * F.least(F.lit(1.0), F.ln(F.col("votes") + 10) / F.ln(F.lit(50_000.0))))
     match = F.when(F.col("_q") == F.col("_t"), exact).when(F.startswith("_t", "_q"), 9.0).when(F.col("_cov") >= 0.999, 12.0).otherwise(10 * F.col("_cov"))
     popular = 2.4 * F.ln(F.least("votes", F.lit(300_000)) + 10)
-    return rows.withColumn("score", F.round(22 * F.col("_sim") + match + popular, 4)).drop("_q", "_t", "_sim", "_cov", "_twin")
+    return rows.withColumn("score", F.round(22 * F.col("_sim") + match + popular, 4)).withColumn("coverage", F.col("_cov")).drop("_q", "_t", "_sim", "_cov", "_twin")
+
+
+def signalled(hits: DataFrame, this_year: int) -> DataFrame:
+    """Adds to the score of (qid, title, votes, buzz, year, kind, query, want_year, want_decade, want_kind) what year, kind, recency and anticipation say.
+
+    Votes that are only expected count as far as the title is looked forward to. A name that matches whole but is of another
+    year than asked loses its match.
+    """
+    year, want = F.col("year"), F.col("want_year")
+    base = scored(hits.withColumn("votes", F.greatest("votes", F.col("buzz"))))
+    sat = lambda v: 2.4 * F.ln(F.least(v, F.lit(300_000)) + 10)
+    ahead = Q.anticipation(year, this_year) * F.greatest(F.lit(0.0), sat(F.lit(1500)) - sat(F.col("votes")))
+    same = T.normalize(F.col("query")) == T.normalize(F.col("title"))
+    wrong = same & want.isNotNull() & year.isNotNull() & (F.abs(year - want) > 2)
+    lost = F.when(wrong, F.least(F.lit(14.0), F.greatest(F.lit(12.0), 14 * F.ln(F.col("votes") + 10) / F.ln(F.lit(50_000.0))))).otherwise(0.0)
+    more = ahead + Q.year_score(year, want, F.col("want_decade")) + Q.kind_score(F.col("kind"), F.col("want_kind")) + Q.recency_score(year)
+    return base.withColumn("score", F.round(F.col("score") + more - lost, 4))
+
+
+def stopword_hits(titles: DataFrame, queries: DataFrame, floor: int) -> DataFrame:
+    """(qid, id): popular titles that begin with a query of stopwords only, whatever the case; such a query is not looked for in any other way."""
+    asked = queries.filter(K.stopword_only(F.col("query"))).select("qid", F.lower(F.trim("query")).alias("_q"))
+    first = titles.filter(F.col("votes") >= floor).select("id", F.lower("title").alias("_t"))
+    words = lambda c: F.split(c, " ")[0]
+    near = asked.withColumn("_w", words(F.col("_q"))).join(first.withColumn("_w", words(F.col("_t"))), "_w")
+    return near.filter(F.startswith("_t", "_q")).select("qid", "id")
+
+
+def weak(hits: DataFrame, votes: int) -> DataFrame:
+    """(qid, weak) of ranked hits (qid, score, coverage, votes, place): a low score, little coverage, few votes, or no clear winner."""
+    of = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    top_ = hits.filter("place <= 2").groupBy("qid").agg(of(1, "score").alias("s1"), of(2, "score").alias("s2"), of(1, "coverage").alias("c"), of(1, "votes").alias("v"))
+    close = F.coalesce((F.col("s1") - F.col("s2") < 1.0) & (F.col("s1") < 26), F.lit(False))
+    return top_.select("qid", ((F.col("s1") < 20) | (F.col("c") < 0.6) | (F.col("v") < votes) | close).alias("weak"))
+
+
+def ladder(titles: DataFrame, queries: DataFrame, k: int, votes: int, floor: int) -> DataFrame:
+    """(qid, id, tier, score, place): hits of the first tiers that are not weak; titles (id, title, votes), queries (qid, query).
+
+    Stopword queries and quoted ones have a tier of their own. The others climb: all words, any word, near words; a query
+    climbs on only while its hits are weak, and each hit keeps the first tier that found it.
+    """
+    docs = titles.select("id", F.col("title").alias("text"))
+    parsed = saved(Q.parse(queries, "query", 2024).select("qid", F.col("parsed.text").alias("query"), F.col("parsed.exact").alias("exact"), K.stopword_only(F.col("query")).alias("stop")))
+    climbers = parsed.filter("NOT stop AND NOT exact").select("qid", "query")
+    terms = saved(postings(docs).select("term", "id"))
+
+    def near_words(open_):
+        return fuzzy(terms.select("term").distinct(), open_).join(terms, "term").select("qid", "id").distinct()
+
+    def judged(found):
+        rows = found.join(titles, "id").join(parsed.select("qid", "query"), "qid")
+        return saved(top(scored(rows), k, F.desc("score"), F.desc("votes")).select("qid", "id", "tier", "score", "coverage", "votes", "place"))
+
+    out = judged(stopword_hits(titles, parsed.filter("stop"), floor).withColumn("tier", F.lit(0)).union(phrase(docs, parsed.filter("exact AND NOT stop").select("qid", "query")).withColumn("tier", F.lit(1))))
+    open_, found = climbers, None
+    for tier, find in ((2, lambda q: prefix_all(docs, q)), (3, lambda q: any_word(docs, q).select("qid", "id")), (4, near_words)):
+        new = find(open_).withColumn("tier", F.lit(tier))
+        found = new if found is None else found.join(open_.select("qid"), "qid", "left_semi").unionByName(new)
+        found = saved(found.groupBy("qid", "id").agg(F.min("tier").alias("tier")))
+        hits = judged(found)
+        still = saved(open_.join(weak(hits, votes).filter("NOT weak"), "qid", "left_anti")) if tier < 4 else open_.limit(0)
+        out = out.unionByName(hits.join(still.select("qid"), "qid", "left_anti"))
+        open_ = still
+    return out.select("qid", "id", "tier", "score", "place")
+
+
+def sounds_like(vocabulary: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(qid, token, term, distance): the nearest words that sound like a token, so many at most."""
+    tokens = query_terms(queries).withColumnRenamed("term", "token").withColumn("_p", Q.phonetic(F.col("token")))
+    near = tokens.join(vocabulary.select("term", Q.phonetic(F.col("term")).alias("_p")), "_p").withColumn("distance", F.levenshtein("token", "term"))
+    place = F.row_number().over(Window.partitionBy("qid", "token").orderBy("distance", "term"))
+    return near.withColumn("place", place).filter(F.col("place") <= most).select("qid", "token", "term", "distance")

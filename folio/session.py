@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +26,22 @@ def session(name: str = "folio", cores: str = "*", partitions: int = 8) -> Spark
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return found.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: computed once, lineage cut, safe from lost executors; it goes when the session ends."""
+    path = f"{shared_dir(df.sparkSession)}/folio-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
