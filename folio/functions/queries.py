@@ -85,7 +85,7 @@ def parse(rows: DataFrame, query: str, this_year: int) -> DataFrame:
         c("_stripped").alias("stripped"), F.when(c("_dated"), F.regexp_extract("_last", r"\d+", 0).cast("int")).alias("year"), number(c("_decade")[1]).alias("decade"),
         kind.alias("kind"), season.alias("season"), number(c("_season")[2]).alias("episode"), (F.size("_phrases") > 0).alias("exact"),
     )
-    return rows.select(*own, parsed.alias("parsed"))
+    return rows.select(*own, F.explode(F.array(parsed)).alias("parsed"))  # filters on it stay above, where it is known
 
 
 def year_score(year: Column, want: Column, decade: Column) -> Column:
@@ -133,7 +133,7 @@ def intent(rows: DataFrame, query: str, this_year: int) -> DataFrame:
     decade = F.when(has(RECENT) & p["year"].isNull() & p["decade"].isNull(), F.lit(this_year // 10 * 10)).when(p["year"].isNull(), p["decade"])
     found = F.struct(of(genre).alias("genre"), of(LANGUAGES).alias("lang"), p["kind"].alias("kind"), decade.alias("decade"), p["year"].alias("year"))
     ok = F.forall(words, lambda t: t.isin(known)) & ~p["exact"] & has(shelf)
-    return rows.select(*own, "parsed", F.when(ok, found).alias("intent"))
+    return rows.select(*own, "parsed", F.explode(F.array(F.when(ok, found))).alias("intent"))
 
 
 def _plain(word: str) -> str:
