@@ -322,7 +322,7 @@ def candidates(n: np.ndarray, sketches: list[bytes], similarity: float) -> tuple
                 start = at if other_width == w else 0
                 if end <= start:
                     continue
-                differ = np.bitwise_count(own_bits[at : at + 64, None, :] ^ bits[None, start:end, :]).sum(2, dtype=np.int64)
+                differ = np.bitwise_count(own_bits[at : at + step, None, :] ^ bits[None, start:end, :]).sum(2, dtype=np.int64)
                 a, b = np.nonzero(possible(n[rows][:, None], n[other[start:end]][None, :], differ, similarity))
                 a, b = rows[a], other[start:end][b]
                 keep = np.ones(len(a), bool) if other_width > w else a != b

@@ -106,6 +106,20 @@ def test_dedupe_keeps_one_of_each_group(spark, sf_dir):
     assert len(got - want) <= 0.02 * (len(rows) - len(want)) + 1  # recall of what must go
 
 
+@pytest.mark.parametrize("n", [3, 90, 700])
+def test_sketches_lose_no_similar_pair(n):
+    r = np.random.default_rng(n)
+    base = r.integers(0, 2**63, 40 * n, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k * n : (k + 1) * n][: int(n * f)], r.integers(0, 2**63, int(n * g), dtype=np.uint64)])) for k in range(40) for f, g in ((1, 0), (0.95, 0.02), (0.9, 0.1), (0.5, 0.5), (0.82, 0))]
+    size = np.array([len(s) for s in sets])
+    a, b = simhash.candidates(size, [simhash.sketch(s) for s in sets], 0.8)
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    both = simhash.overlaps(sets)
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if both[i, j] > 0 and both[i, j] >= 0.8 * (size[i] + size[j] - both[i, j]) - 1e-6}
+    assert want and want <= got and len(got) == len({tuple(sorted(p)) for p in got})
+    assert len(got) <= 4 * len(want) + 40 or n < 10
+
+
 def random_words(r, n):
     return [f"w{x}" for x in r.integers(0, 10**6, n)]
 
