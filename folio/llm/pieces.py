@@ -58,7 +58,7 @@ class Memo(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.older.get(word)
         if ids is None:
-            ids = tuple(self.codec.stream(self.lead + word))
+            ids = self.codec.stream(self.lead + word)
             if len(word) >= COMMIT_AT:
                 return ids
         if len(self) >= MEMO:
@@ -73,14 +73,18 @@ class Codec:
         self.v = vocabulary
         self.width = max(map(len, vocabulary.id_of))
         self.byte_id = {b: i for i, b in vocabulary.byte_of.items()}
-        self.seams: dict[tuple[str, str], bool] = {}
+        self.seams: dict[int, bool] = {}
         self.edges: dict[tuple[str, bool], list[tuple[str, float]]] = {}
         lengths: dict[str, set[int]] = {}
         for p in vocabulary.id_of:
             if len(p) > 2:
                 lengths.setdefault(p[-3:], {1, 2}).add(len(p))
         self.reach = {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}  # last three characters -> how long pieces are that end in them
-        self.ends: dict[str, str] = {}  # beginning of a stretch -> the piece that ends there
+        self.ends: dict[str, tuple[int, tuple[int, ...]]] = {}  # beginning of a stretch -> the piece that ends there, all ids up to there
+        # Pieces by number: those of the model, then characters that it lacks, as they come up.
+        self.names, self.number = list(vocabulary.pieces), dict(vocabulary.id_of)
+        self.out = [(i,) for i in range(len(self.names))]
+        self.built = frozenset(vocabulary.id_of[p] for p in vocabulary.whole)
         self.inner, self.bare = Memo(self, SPACE), Memo(self, "")
         self.text_of = ["" if i in vocabulary.special else p.replace(SPACE, " ") for i, p in enumerate(vocabulary.pieces)]
         for i, b in vocabulary.byte_of.items():
@@ -116,90 +120,123 @@ class Codec:
             self.edges[piece, right] = found
         return found
 
-    def holds(self, left: str, right: str) -> bool:
+    def holds(self, left: int, right: int) -> bool:
         """Whether the merges keep the seam between two pieces.
 
         They don't if two parts that lie at the seam at one time make a piece of a better score than the merges that
         take them in; of equal scores the merge to the left comes first.
         """
-        key = (left, right)
-        known = self.seams.get(key)
-        if known is None:
-            if len(self.seams) >= MEMO:
-                self.seams.clear()
-            score, other, known = self.v.score, self.edge(right, False), True
-            for a, taken in self.edge(left, True):
-                for b, taken_b in other:
-                    s = score.get(a + b)
-                    if s is not None and s > taken and s >= taken_b:
-                        known = False
-                        break
-                if not known:
+        if len(self.seams) >= MEMO:
+            self.seams.clear()
+        score, other, known = self.v.score, self.edge(self.names[right], False), True
+        for a, taken in self.edge(self.names[left], True):
+            for b, taken_b in other:
+                s = score.get(a + b)
+                if s is not None and s > taken and s >= taken_b:
+                    known = False
                     break
-            self.seams[key] = known
+            if not known:
+                break
+        self.seams[left << 24 | right] = known
         return known
 
-    def _ids(self, piece: str) -> list[int]:
-        i = self.v.id_of.get(piece)
-        return [i] if i is not None else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
-
-    def stream(self, chunk: str) -> list[int]:
-        """Ids of a stretch; those before a boundary are committed as soon as all paths of the window run through it."""
-        vocab, seams, reach, whole, ends = self.v.id_of, self.seams, self.reach, self.v.whole, self.ends
-        out, base, last = [], 0, [""]  # last[i]: the piece that ends at base + i
-        size = len(chunk)
-        if len(ends) >= BEGINNINGS:
-            ends.clear()
-        for m in range(1, min(size, COMMIT_AT - 1) + 1):  # stretches with one beginning share its pieces
-            piece = ends.get(chunk[:m])
-            if piece is None:
-                break
-            last.append(piece)
-        for m in range(len(last), size + 1):
+    def _char(self, c: str) -> int:
+        """The number of a character that is no piece; its ids are its bytes."""
+        i = self.number[c] = len(self.names)
+        self.names.append(c)
+        self.out.append(tuple(self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")))
+        return i
+
+    def _begin(self, chunk: str, end: int) -> None:
+        """Puts the pieces that end at each place up to ``end`` of a stretch into ``ends``; beginnings that were seen before are there."""
+        number, seams, reach, ends = self.number, self.seams, self.reach, self.ends
+        m = end
+        while m and chunk[:m] not in ends:
+            m -= 1
+        for m in range(m + 1, end + 1):
             for k in reach.get(chunk[m - 3 : m], (2, 1)) if m > 2 else (2, 1):
-                if k > m - base:
+                if k > m:
                     continue
-                piece = chunk[m - k : m]
-                if k > 1 and piece not in vocab:
+                i = number.get(chunk[m - k : m])
+                if i is None:
+                    if k > 1:
+                        continue
+                    i = self._char(chunk[m - 1])
+                if m == k:
+                    if k == 1 or i in self.built:
+                        ends[chunk[:m]] = i, self.out[i]
+                        break
+                    continue
+                left, before = ends[chunk[: m - k]]
+                kept = seams.get(left << 24 | i)
+                if self.holds(left, i) if kept is None else kept:
+                    ends[chunk[:m]] = i, before + self.out[i]
+                    break
+            else:
+                raise LookupError(chunk)
+
+    def stream(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a stretch; those before a boundary are committed as soon as all paths of the window run through it."""
+        if len(self.ends) >= BEGINNINGS:
+            self.ends.clear()
+        try:
+            return self._stream(chunk)
+        except LookupError:  # no vocabulary of merges gets here; the merges still give the ids
+            return tuple(i for p in self.merged(chunk) for i in (self.out[self.number[p]] if p in self.number else self.out[self._char(p)]))
+
+    def _stream(self, chunk: str) -> tuple[int, ...]:
+        first = min(len(chunk), COMMIT_AT)
+        self._begin(chunk, first)
+        if len(chunk) == first:
+            return self.ends[chunk][1] if chunk else ()
+        last = [0, *(self.ends[chunk[:m]][0] for m in range(1, first + 1))]  # last[i]: the piece that ends at base + i
+        out: list[int] = []
+        base = self._commit(last, out)
+        for m in range(first + 1, len(chunk) + 1):
+            for k in self.reach.get(chunk[m - 3 : m], (2, 1)):
+                i = self.number.get(chunk[m - k : m])
+                if i is None and k == 1:
+                    i = self._char(chunk[m - 1])
+                if i is None or k > m - base:
                     continue
                 if m == k:
-                    kept = k == 1 or piece in whole
+                    kept = k == 1 or i in self.built
                 else:
-                    left = last[m - k - base]
-                    kept = seams.get((left, piece))
+                    kept = self.seams.get(last[m - k - base] << 24 | i)
                     if kept is None:
-                        kept = self.holds(left, piece)
+                        kept = self.holds(last[m - k - base], i)
                 if kept:
-                    last.append(piece)
+                    last.append(i)
                     break
-            else:  # no vocabulary of merges gets here; the merges still give the ids
-                return [i for p in self.merged(chunk) for i in self._ids(p)]
-            if m < COMMIT_AT:
-                ends[chunk[:m]] = piece
-            elif m - base >= COMMIT_AT:
-                cut = self._met(last)
-                out += self._path(last, cut)
-                base, last = base + cut, last[cut:]
-        return out + self._path(last, len(chunk) - base)
-
-    def _met(self, last: list[str]) -> int:
+            else:
+                raise LookupError(chunk)
+            if m - base >= COMMIT_AT:
+                base += self._commit(last, out)
+        return tuple(out + self._path(last, len(last) - 1))
+
+    def _commit(self, last: list[int], out: list[int]) -> int:
+        """Moves what lies before the boundary at which the window's paths meet from the window to the ids; how many characters."""
+        cut = self._met(last)
+        out += self._path(last, cut)
+        del last[:cut]
+        return cut
+
+    def _met(self, last: list[int]) -> int:
         """The boundary at which the paths of all positions meet that the next pieces can reach back to."""
         n = len(last) - 1
         at = {n - k for k in range(min(self.width, n))}
         while len(at) > 1:  # step the latest position back until the paths meet
             j = max(at)
             at.remove(j)
-            at.add(j - len(last[j]))
+            at.add(j - len(self.names[last[j]]))
         return at.pop()
 
-    def _path(self, last: list[str], end: int) -> list[int]:
-        out = []
+    def _path(self, last: list[int], end: int) -> list[int]:
+        found = []
         while end > 0:
-            out.append(last[end])
-            end -= len(last[end])
-        out.reverse()
-        ids = list(map(self.v.id_of.get, out))
-        return ids if None not in ids else [i for p in out for i in self._ids(p)]
+            found.append(last[end])
+            end -= len(self.names[last[end]])
+        return [i for p in reversed(found) for i in self.out[p]]
 
     def encode(self, text: str) -> array:
         if not text:
