@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folio.plans import browse, episodes, facets, ladder, logs, records, relations, scalars, shelves, statistics, text
+from folio.plans import browse, episodes, facets, ladder, logs, records, relations, scalars, shelves, statistics, stores, text
 
-MODULES = (browse, relations, statistics, logs, text, shelves, records, scalars, episodes, facets, ladder)
+MODULES = (browse, relations, statistics, logs, text, shelves, records, scalars, episodes, facets, ladder, stores)
 
 
 def _all() -> dict:
