@@ -189,6 +189,37 @@ def test_pivots_recall(spark, sf_dir):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("pivot_count", [92, 300, 1000, 2048])
+def test_pivots_planted_pairs_share_enough(pivot_count):
+    """Recall at the bound, at the pivot counts of 20 thousand to 200 million rows."""
+    r = np.random.default_rng(pivot_count)
+    norm = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b, p = norm(r.standard_normal((1500, 64))), norm(r.standard_normal((1500, 64))), norm(r.standard_normal((pivot_count, 64)))
+    b = norm(b - (a * b).sum(1, keepdims=True) * a)
+    c = r.uniform(0.9, 0.905, (1500, 1))
+    b = c * a + np.sqrt(1 - c * c) * b
+    k = pivots.prefix_length(pivot_count)
+    x, y = pivots.prefixes(a, p, k), pivots.prefixes(b, p, k)
+    assert ((x[:, :, None] == y[:, None, :]).any(2).sum(1) >= pivots.SHARED).mean() >= 0.95
+    d = np.random.default_rng(1).standard_normal((64, pivots.SIGNS))
+    assert (((a @ d > 0) != (b @ d > 0)).sum(1) <= pivots.reach(0.9)).mean() >= 0.999
+
+
+def test_pivots_find_planted_pairs(spark):
+    r = np.random.default_rng(5)
+    v = r.standard_normal((3000, 64))
+    near = v[:300] / np.linalg.norm(v[:300], axis=1, keepdims=True)
+    side = r.standard_normal((300, 64))
+    side -= (side * near).sum(1, keepdims=True) * near
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = r.uniform(0.9, 0.95, (300, 1))
+    rows = [(i, x.tolist()) for i, x in enumerate([*v, *(c * near + np.sqrt(1 - c * c) * side)])]
+    want, links = brute_pivots(rows)
+    got = pivots.cluster(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    found = sum(x.n_links for x in got) / 2
+    assert links >= 300 and 0.9 * links <= found <= links
+
+
 def test_pivots_large_lists_and_odd_vectors(spark):
     r = np.random.default_rng(1)
     centre = r.normal(size=8)
