@@ -119,3 +119,26 @@ def test_alignment_anchors_and_fills():
     assert align.aligned(["a", "x", "d"], ["a", "p", "q", "d"]) == [0, None, 3]
     assert align.aligned(["b", "a", "c"], ["a", "b", "c"])[2] == 2
     assert align.aligned([], ["a"]) == []
+
+
+def test_cube_answers_equal_live_counts(spark, sf_dir):
+    from folio.operators import browse, catalogue, rank
+
+    titles = rank.bayesian(catalogue.titles(spark, sf_dir), 25)
+    cells = browse.cube(titles, 25).cache()
+    live = titles.select("kind", F.coalesce("year", F.lit(0)).alias("year"), "genres", "votes", "rank").collect()
+    for genre, kind, years, column in (("", None, None, "n"), ("red", None, None, "n_floor"), ("", "PROMO", None, "n_ranked"), ("red", "PROMO", (1995, 1995), "n"), ("none such", None, None, "n")):
+        fits = [r for r in live if (not genre or genre in r.genres) and (kind is None or r.kind == kind) and (years is None or years[0] <= r.year <= years[1])]
+        want = sum(r.votes >= 25 if column == "n_floor" else r.rank is not None if column == "n_ranked" else 1 for r in fits)
+        assert browse.cube_total(cells, genre, kind, years, column).first().total == want
+    cells.unpersist()
+
+
+def test_no_query_orders_all_rows_in_one_task(spark, sf_dir):
+    """Windows of the order statistics are over buckets (a bounded number) or within one."""
+    from folio import plans
+
+    for name in ("percentile_cutoff", "rank_head_cutoff", "quantile_impute"):
+        lines = plans.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        windows = [x for x in lines if x.lstrip(" +-:").startswith("Window [")]
+        assert windows and all("_bucket#" in x for x in windows), name
