@@ -285,3 +285,25 @@ def test_pipeline(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step.limit(20), sf_dir)
         assert step.columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, odd, odd_texts, none):
+    """Nulls, blanks, copies, very long texts, clashing columns and empty tables through every stage."""
+    import corpus_pipeline
+
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf_dir)
+        rows, empty = out.collect(), stage(spark, none, sf_dir)
+        left[name] = sorted((r.doc_id or 0) for r in rows)
+        assert empty.collect() == []
+        if stage is not corpus_pipeline.STAGES[-1][1]:
+            assert out.columns == odd.columns == empty.columns
+            assert all(r[c] == "clash" for r in rows for c in odd.columns[5:])
+    every = sorted((i or 0) for i, _ in odd_texts)
+    assert left["pii"] == left["sentencepiece"] == every and left["benchmark decontamination"] == every
+    assert set(left["toxicity"]) == set(every)
+    # null, empty and blank text have no shingles: null and empty are one text, a blank one is another; 7 to 9 are one group
+    assert left["simhash near-dedup"] == [0, 1, 3, 4, 5, 6, 7, 10, 11]
+    cleaned = {r.doc_id: r.text for r in corpus_pipeline.sanitise(spark, odd, sf_dir).collect()}
+    assert cleaned[1] is None and cleaned[2] == "" and cleaned[11] == "Mail [EMAIL] now" and cleaned[6] == odd_texts[5][1]
