@@ -22,7 +22,9 @@ def capped(credits: DataFrame, key: str, other: str, cap: int) -> DataFrame:
 
 def paths(credits: DataFrame, start: int, goal: int, cap: int) -> DataFrame:
     """Paths between two people over one bridge (a shared title) or two (a person between), with their length."""
-    of_person, of_title = capped(credits, "person_id", "title_id", cap), capped(credits, "title_id", "person_id", cap)
+    of_person = capped(credits.filter(F.col("person_id").isin(start, goal)), "person_id", "title_id", cap)
+    # Two lists of at most ``cap`` titles: only their casts are ranked.
+    of_title = capped(credits.join(F.broadcast(of_person.select("title_id").distinct()), "title_id", "left_semi"), "title_id", "person_id", cap)
     a = of_person.filter(F.col("person_id") == start).select(F.col("title_id").alias("t1"))
     b = of_person.filter(F.col("person_id") == goal).select(F.col("title_id").alias("t2"))
     one = a.join(b, a.t1 == b.t2).select("t1", F.lit(None).cast("long").alias("via"), F.lit(None).cast("long").alias("t2"), F.lit(1).alias("hops"))
