@@ -338,7 +338,7 @@ def _described(docs: DataFrame, words: int, similarity: float, doc_id: str, text
     shared = docs.sparkSession.sparkContext.broadcast((last[order], order, hot))
 
     def run(batches):
-        for b in batches:
+        for b in _smaller(batches):
             out = []
             for t in b["text"]:
                 h = np.unique(shingle_hashes(t, words))  # the set that is compared in the end
@@ -351,6 +351,13 @@ def _described(docs: DataFrame, words: int, similarity: float, doc_id: str, text
     return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, key binary, fp long, n int, sketch binary, cold array<long>, hot array<long>")
 
 
+def _smaller(batches, rows: int = 1000):
+    """Batches of at most so many rows: what is made of a batch is some times its size."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.iloc[k : k + rows]
+
+
 def _spread(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
@@ -395,7 +402,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, text: str) -> DataFram
     """(node, s): the shingle sets of the wanted nodes (node, key)."""
 
     def sets(batches):
-        for b in batches:
+        for b in _smaller(batches):
             yield pd.DataFrame({"node": b["node"], "s": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b["text"]]})
 
     texts = docs.select(_key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(small(wanted), "key").dropDuplicates(["node"])
