@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.llm import pieces, pii, pivots, sharding, simhash, substrings, templates, toxicity, urls, warc
+from folio.llm import pieces, pii, pivots, sharding, simhash, substrings, templates, tiered, toxicity, urls, warc
 
 
 def _table(spark, sf_dir, name):
@@ -53,6 +53,10 @@ def op9_url_filters(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_tiered(spark, sf_dir):
+    return tiered.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tier")
+
+
 def queries():
     return {
         "op1_toxicity": op1_toxicity,
@@ -65,8 +69,9 @@ def queries():
         "op8_simhash": op8_simhash,
         "op9_url_filters": op9_url_filters,
         "op10_pii": op10_pii,
+        "op11_tiered": op11_tiered,
     }
 
 
 def oracle_sql():
-    return {"op3_templates": templates.SQL}
+    return {"op3_templates": templates.SQL, "op11_tiered": tiered.SQL}
