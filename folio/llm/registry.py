@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.llm import pieces, pii, pivots, sharding, simhash, substrings, templates, tiered, toxicity, urls, warc
+from folio.llm import pieces, pii, pivots, sharding, simhash, substrings, templates, tiered, toxicity, urls, variants, warc
 
 
 def _table(spark, sf_dir, name):
@@ -57,6 +57,10 @@ def op11_tiered(spark, sf_dir):
     return tiered.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tier")
 
 
+def op12_variants(spark, sf_dir):
+    return variants.group(_table(spark, sf_dir, "documents"), variants.EVERY)
+
+
 def queries():
     return {
         "op1_toxicity": op1_toxicity,
@@ -70,8 +74,9 @@ def queries():
         "op9_url_filters": op9_url_filters,
         "op10_pii": op10_pii,
         "op11_tiered": op11_tiered,
+        "op12_variants": op12_variants,
     }
 
 
 def oracle_sql():
-    return {"op3_templates": templates.SQL, "op11_tiered": tiered.SQL}
+    return {"op3_templates": templates.SQL, "op11_tiered": tiered.SQL, "op12_variants": variants.SQL}
