@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.llm import pieces, pii, pivots, sharding, simhash, substrings, templates, tiered, toxicity, urls, variants, warc
+from folio.llm import pieces, pii, pivots, sharding, simhash, substrings, templates, tiered, toxicity, urls, variants, warc, wrappers
 
 
 def _table(spark, sf_dir, name):
@@ -61,6 +61,10 @@ def op12_variants(spark, sf_dir):
     return variants.group(_table(spark, sf_dir, "documents"), variants.EVERY)
 
 
+def op13_wrappers(spark, sf_dir):
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {
         "op1_toxicity": op1_toxicity,
@@ -75,8 +79,9 @@ def queries():
         "op10_pii": op10_pii,
         "op11_tiered": op11_tiered,
         "op12_variants": op12_variants,
+        "op13_wrappers": op13_wrappers,
     }
 
 
 def oracle_sql():
-    return {"op3_templates": templates.SQL, "op11_tiered": tiered.SQL, "op12_variants": variants.SQL}
+    return {"op3_templates": templates.SQL, "op11_tiered": tiered.SQL, "op12_variants": variants.SQL, "op13_wrappers": wrappers.SQL}
