@@ -11,11 +11,11 @@ round, so no task gets a host whole. All pages are then read along the wrapper o
 share of it in links, and how many titles (pages of one title count once) show the very same text. A slot is dropped
 if it is under an element that is no article text by its tag or its names (menus, headers, footers, sidebars, notices, adverts,
 forms, comments). Of the rest the slots in ``article``, else in ``main``, are kept; where a host has neither, those under the element that gathers most of the
-text, but for slots that are mostly links or show one text under most titles.
+text that differs from title to title, but for slots that are mostly links (and, if that element is the whole body, slots that show one text under most titles).
 
 Defined results: a null or empty html has an empty text, as has a page without any text that is kept. A null url has an
 empty host. Repeated rows are extracted each. A page that its host's wrapper finds nothing in is read along its own.
-Elements nested more than ``DEPTH`` deep count as part of the one at that depth. Empty tables give an empty result.
+A tag without its end is text. Elements nested more than ``DEPTH`` deep count as part of the one at that depth. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -48,6 +48,9 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript", "xmp"))
+#: Elements that follow each other as items, whatever each holds; share of what two containers hold beyond which one is the other again.
+ITEMS = frozenset("# dd dt h1 h2 h3 h4 h5 h6 li option p pre tbody td th tr".split())
+SAME = 0.5
 #: What stands between two cells or lines of a block counts as white space.
 SPACED = frozenset(("br", "td", "th", "img", "hr", "wbr"))
 #: Open elements that a start tag ends.
@@ -66,7 +69,7 @@ NAMES = frozenset(
 #: Such words that stand for a part of the article when they are inside of it.
 HEADS = frozenset(("header", "heading", "head"))
 
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>"']*+)((?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>|<(/?)([a-zA-Z][^\s/<>"']*+)([^<>]*+)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -175,6 +178,17 @@ def shape(part: list) -> str:
     return part[0] if part[0] != "()" else "(" + " ".join(shape(p) for p in part[3]) + ")"
 
 
+def alike(a: list, b: list) -> float:
+    """Shapes that two parts have in common inside, of all that they have."""
+    x, y = {shape(p) for p in a[3]}, {shape(p) for p in b[3]}
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def follows(a: list, b: list) -> bool:
+    """Whether b, of the shape of a, is a again: items of text always are, containers if they hold the same for the most part."""
+    return tag_of(a[0]) in ITEMS or alike(a, b) > SAME
+
+
 def join(a: list, b: list, repeated: int) -> list:
     """One expression for both of two that have the same shape."""
     return [a[0], repeated | a[1] | b[1], a[2] | b[2], align(a[3], b[3])]
@@ -187,7 +201,7 @@ def fold(parts: list) -> list:
         while at < len(parts):
             group, n = parts[at : at + period], 1
             own = names[at : at + period]
-            while len(own) == period and (period == 1 or len(set(own)) > 1) and names[at + n * period : at + (n + 1) * period] == own:
+            while len(own) == period and (period == 1 or len(set(own)) > 1) and names[at + n * period : at + (n + 1) * period] == own and all(map(follows, group, parts[at + n * period :])):
                 group = [join(x, y, period == 1) for x, y in zip(group, parts[at + n * period : at + (n + 1) * period], strict=True)]
                 n += 1
             if n > 1:
@@ -201,7 +215,7 @@ def fold(parts: list) -> list:
 
 
 def align(a: list, b: list) -> list:
-    """The parts of both sides in one order (a longest common subsequence by shape); what one side lacks becomes optional."""
+    """The parts of both sides in one order (a common subsequence of most shapes, alike inside); what one side lacks becomes optional."""
     if a == b:
         return a
     x, y = [shape(p) for p in a], [shape(p) for p in b]
@@ -210,10 +224,10 @@ def align(a: list, b: list) -> list:
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 + alike(a[i], b[j]) if x[i] == y[j] else 0)
     out, i, j = [], 0, 0
     while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
+        if i < len(x) and j < len(y) and x[i] == y[j] and best[i][j] > max(best[i + 1][j], best[i][j + 1]):
             out.append(join(a[i], b[j], 0))
             i, j = i + 1, j + 1
         elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
@@ -241,13 +255,14 @@ def regex(part: list) -> str:
 class Wrapper:
     """A node of an expression to read pages along: numbered, with its parts by label; groups are dissolved in their order."""
 
-    __slots__ = ("at", "label", "number", "parts")
+    __slots__ = ("at", "inside", "label", "number", "parts")
 
     def __init__(self, part: list, count: list[int]):
         self.label, self.number = part[0], count[0]
         count[0] += 1
         self.parts, self.at = [], {}
         self._take(part[3], count)
+        self.inside = frozenset(self.at)
 
     def _take(self, parts: list, count: list[int]) -> None:
         for p in parts:
@@ -259,16 +274,19 @@ class Wrapper:
 
 
 def follow(page: Node, wrapper: Wrapper) -> None:
-    """Sets the place of every node of the page that the wrapper has: the next one of its label, or the first when a group begins again."""
+    """Sets the place of every node of the page that the wrapper has: of those of its label the next one that holds most of the same, or any when a group begins again."""
     page.place = wrapper.number
     at = 0
     for kid in page.kids:
-        if type(kid) is Node:
-            found = wrapper.at.get(kid.label)
-            if found:
-                k = bisect_left(found, at)
-                at = found[k] if k < len(found) else found[0]
-                follow(kid, wrapper.parts[at])
+        if type(kid) is Node and (found := wrapper.at.get(kid.label)):
+            if len(found) > 1:
+                own = {k.label for k in kid.kids if type(k) is Node}
+                fits = lambda k, own=own: len(own & wrapper.parts[k].inside) / max(1, len(own | wrapper.parts[k].inside)) if own or wrapper.parts[k].inside else 1.0
+                found = found[bisect_left(found, at) :] or found
+                at = max(found, key=lambda k: (fits(k), -k))
+            else:
+                at = found[0]
+            follow(kid, wrapper.parts[at])
 
 
 def texts(node: Node):
@@ -321,11 +339,12 @@ def decide(wrapper: Wrapper, stats: dict[int, tuple[int, int, float, int]]) -> s
     if kind:
         return "".join("k" if not out and k == kind else "d" for _, out, k in nodes)
     weight = [0.0] * len(nodes)
-    good = [False] * len(nodes)
+    good, own = [False] * len(nodes), [False] * len(nodes)
     for w, out, _ in nodes:
         chars, linked, share, titles = stats.get(w.number, none)
-        good[w.number] = not out and linked <= LINKS * chars and not (titles >= TITLES and share >= TEMPLATE)
-        if good[w.number]:
+        good[w.number] = not out and linked <= LINKS * chars
+        own[w.number] = good[w.number] and not (titles >= TITLES and share >= TEMPLATE)
+        if own[w.number]:
             at = w.number
             while at >= 0:
                 weight[at] += chars
@@ -344,7 +363,8 @@ def decide(wrapper: Wrapper, stats: dict[int, tuple[int, int, float, int]]) -> s
             take(p)
 
     take(at)
-    return "".join("k" if good[w.number] and w.number in inside else "d" for w, _, _ in nodes)
+    kept = own if tag_of(at.label) in ("html", "body") else good  # an element of the article's own may hold a text on every page
+    return "".join("k" if kept[w.number] and w.number in inside else "d" for w, _, _ in nodes)
 
 
 def main_text(page: Node, decision: str, keep: bool = False) -> list[str]:
@@ -394,7 +414,7 @@ def infer(rows: DataFrame) -> DataFrame:
     each = rows.select("host", "html").mapInPandas(outline, "host string, wrapper string")
     level = written(each.groupBy("host", "wrapper").agg(F.count("*").alias("pages")))
 
-    def together(key, own: pd.DataFrame) -> pd.DataFrame:
+    def together(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         trees = [json.loads(w) for w in sorted(own["wrapper"])]
         out = trees[0]
         for t in trees[1:]:
