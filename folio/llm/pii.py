@@ -6,11 +6,12 @@ documents the pointwise mutual information of a context term with the protected
 PMI(t; e) = log2(N n(t,e) / (n(t) n(e))), says how much of the value's information content
 IC(e) = log2(N / n(e)) the term discloses. A term that co-occurs with the value in
 ``support`` documents or more and discloses ``disclose`` of its content or more is
-generalised, one that discloses ``remove`` or more is removed.
+generalised, one that discloses ``remove`` or more is removed: near the value and wherever else the term
+stands in a document that holds the value.
 
 Counts are of documents over the whole table. No text moves between tasks for them: only the
 contexts of base spans are written, and the document frequency of terms is counted for the
-terms that some pair needs.
+terms that some pair needs. Texts are read again only where a term of theirs was found to disclose.
 
 Defined results: a null text is empty and has no spans. Repeated rows have equal spans and
 count as documents of their own. An empty table gives an empty result.
@@ -70,7 +71,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p := part.lstrip("0") or "0") <= 3 and int(p) <= 255 for part in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -84,30 +85,43 @@ def fold(word: str) -> str:
     return word.lower().strip(STRIP)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], width: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within ``width`` words of a span that touch no span."""
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts = [a for a, _ in words]
+def words_apart(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, bool]]:
+    """(start, end, free) of every word; free if it touches no span."""
     covered: list[list[int]] = []
-    for a, b in sorted((a, b) for _, a, b in spans):  # disjoint
+    for a, b in sorted((a, b) for _, a, b in spans):
         if covered and a <= covered[-1][1]:
             covered[-1][1] = max(covered[-1][1], b)
         else:
             covered.append([a, b])
     ends = [b for _, b in covered]
+    out = []
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        near = bisect_right(ends, x)  # the first that ends after x
+        out.append((x, y, not (near < len(covered) and covered[near][0] < y)))
+    return out
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]], width: int) -> list[tuple[str, str]]:
+    """(entity, term) of the words within ``width`` words of a span that touch no span."""
+    words = words_apart(text, spans)
+    starts = [a for a, _, _ in words]
     out = set()
     for kind, a, b in spans:
         entity = f"{kind}:{fold(text[a:b])}"
         left, right = bisect_left(starts, a), bisect_left(starts, b)
-        for x, y in words[max(0, left - width - 1) : right + width]:
-            near = bisect_right(ends, x)  # the first that ends after x
-            term = fold(text[x:y])
-            if term and not (near < len(covered) and covered[near][0] < y):
-                out.add((entity, term, x, y))
+        for x, y, free_ in words[max(0, left - width - 1) : right + width]:
+            if free_ and (term := fold(text[x:y])):
+                out.add((entity, term))
     return sorted(out)
 
 
-_FOUND = "key string, doc_id {id}, spans array<struct<kind:string,start:int,end:int>>, ctx array<struct<entity:string,term:string,start:int,end:int>>"
+def located(text: str, spans: list[tuple[str, int, int]], shares: dict[str, float]) -> list[tuple[int, int, float]]:
+    """(start, end, share) of the words of the whole text that are such terms and touch no span."""
+    return [(x, y, shares[t]) for x, y, free_ in words_apart(text, spans) if free_ and (t := fold(text[x:y])) in shares]
+
+
+_FOUND = "key string, doc_id {id}, spans array<struct<kind:string,start:int,end:int>>, ctx array<struct<entity:string,term:string>>"
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -116,7 +130,7 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = CONTEXT) -> DataFrame:
-    """Per row: key (of the text), doc_id, base spans and their context words; no text."""
+    """Per row: key (of the text), doc_id, base spans and the terms around them; no text."""
 
     def run(batches):
         for batch in batches:
@@ -167,17 +181,31 @@ def revealing(docs: DataFrame, found: DataFrame, text: str = "text", support: in
     return pairs.join(owned, "entity").join(freq, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).filter(F.col("share") >= disclose).select("entity", "term", "share")
 
 
-def term_spans(found: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(key, terms: array of (start, end, share)) of the distinct texts that have revealing terms."""
-    ctx = found.filter(F.size("ctx") > 0).select("key", F.explode("ctx").alias("c")).select("key", "c.entity", "c.term", "c.start", "c.end").distinct()
-    hits = ctx.join(small(flagged), ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
-    return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+def flags(found: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(key, flags: array of (term, share)): for each distinct text the terms that disclose a value it holds."""
+    held = found.filter(F.size("ctx") > 0).select("key", F.explode(F.array_distinct(F.transform("ctx", lambda c: c.entity))).alias("entity")).distinct()
+    hits = held.join(small(flagged), "entity").groupBy("key", "term").agg(F.max("share").alias("share"))
+    return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "share"))).alias("flags"))
+
+
+def term_spans(docs: DataFrame, marked: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, terms: array of (start, end, share)) of the distinct texts that hold flagged terms."""
+
+    def run(batches):
+        for batch in batches:
+            found = [located(t, base_spans(t), {f["term"]: f["share"] for f in x}) for t, x in zip(batch["text"], batch["flags"], strict=True)]
+            yield pd.DataFrame({"key": batch["key"], "terms": found})
+
+    texts = _rows(docs, doc_id, text).select("key", "text").join(small(marked), "key")
+    each = texts.mapInPandas(run, "key string, terms array<struct<start:int,end:int,share:double>>")
+    return each.groupBy("key").agg(F.first("terms").alias("terms")).filter(F.size("terms") > 0)
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
     """Per row: key, doc_id, base spans and revealing terms."""
     found = written(find(docs, doc_id, text))
-    terms = term_spans(found, written(revealing(docs, found, text, **bounds)))
+    marked = written(flags(found, written(revealing(docs, found, text, **bounds))))
+    terms = written(term_spans(docs, marked, doc_id, text))
     return found.select("key", "doc_id", "spans").join(small(terms), "key", "left")
 
 
@@ -213,20 +241,21 @@ def rewrite(text: str, spans: list[tuple[str, int, int, float]], remove: float)
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", remove: float = REMOVE, **bounds) -> DataFrame:
     """docs with the text sanitised; rows and other columns stay as they are."""
     found = written(find(docs, doc_id, text))
-    terms = small(written(term_spans(found, written(revealing(docs, found, text, **bounds)))))
-    key, flags = free(docs, "_key"), free(docs, "_terms")
-    keyed = docs.withColumn(key, F.md5(F.encode(F.col(text), "UTF-8"))).join(terms.withColumnsRenamed({"key": key, "terms": flags}), key, "left").drop(key)
+    marked = small(written(flags(found, written(revealing(docs, found, text, **bounds)))))
+    key, own = free(docs, "_key"), free(docs, "_flags")
+    keyed = docs.withColumn(key, F.md5(F.encode(F.col(text), "UTF-8"))).join(marked.withColumnsRenamed({"key": key, "flags": own}), key, "left").drop(key)
 
-    def clean(t, found):
+    def clean(t, flagged):
         if t is None:
             return None
-        spans = [(*s, 0.0) for s in base_spans(t)] + [("term", x["start"], x["end"], x["share"]) for x in found or ()]
+        base = base_spans(t)
+        spans = [(*s, 0.0) for s in base] + [("term", *x) for x in located(t, base, {f["term"]: f["share"] for f in flagged})] if flagged else [(*s, 0.0) for s in base]
         return rewrite(t, spans, remove) if spans else t
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            texts = [clean(t, found) for t, found in zip(batch.column(text).to_pylist(), batch.column(flags).to_pylist(), strict=True)]
-            yield batch.drop_columns([flags]).set_column(at, text, pa.array(texts, pa.string()))
+            texts = [clean(t, flagged) for t, flagged in zip(batch.column(text).to_pylist(), batch.column(own).to_pylist(), strict=True)]
+            yield batch.drop_columns([own]).set_column(at, text, pa.array(texts, pa.string()))
 
-    return keyed.select(*(F.col(f"`{c}`") for c in docs.columns), flags).mapInArrow(run, docs.schema)
+    return keyed.select(*(F.col(f"`{c}`") for c in docs.columns), own).mapInArrow(run, docs.schema)

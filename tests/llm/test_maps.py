@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -229,7 +231,7 @@ def brute_spans(t):
         return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(ds)) % 10 == 0
 
     out = [("email", *m.span()) for m in EMAIL.finditer(t)]
-    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p[-4300:]) <= 255 and not p[:-4300].strip("0") for p in m[0].split("."))]
     for m in CARD.finditer(t):
         digits = re.sub("[ -]", "", m[0])
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -237,7 +239,7 @@ def brute_spans(t):
     return out + [("phone", *m.span()) for m in PHONE.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
 
 
-TRICKY = ["a@b@c.de x@y.z..w", "1.2.3.4.5.6.7.8 300.1.1.1 001.002.003.004", "4111 1111 1111 1111 4111-1111-1111-1112", "+49 (0) 30 123456 +1-2 +12345678", "%+-@a.b-.c ü@ü.de", "1.2.3 @ a@ @b.c", "٣.٣.٣.٣ +٣٣٣٣٣٣٣٣٣٣"]
+TRICKY = ["a@b@c.de x@y.z..w", "1.2.3.4.5.6.7.8 300.1.1.1 001.002.003.004", "4111 1111 1111 1111 4111-1111-1111-1112", "+49 (0) 30 123456 +1-2 +12345678", "%+-@a.b-.c ü@ü.de", "1.2.3 @ a@ @b.c", "٣.٣.٣.٣ +٣٣٣٣٣٣٣٣٣٣", "0" * 5000 + ".0.0.0", "1" + "0" * 5000 + ".1.1.1 7.7.7." + "0" * 5000 + "7"]
 
 
 def test_pii_base_spans(spark, sf_dir):
@@ -264,7 +266,59 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert "zorblatt" not in clean[0].text and "[EMAIL]" in clean[0].text and clean[10].text == rows[10][1] and clean[60].text is None and clean[60].key == "x"
 
 
-def test_pii_odd_rows(odd, none):
+def brute_terms(rows, width=5, support=3, disclose=0.8):
+    """{doc_id: spans of terms}: shares of information from counts over all documents, then every word of every document."""
+    words = lambda t: [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+    spans = {i: brute_spans(t) for i, t in rows}
+    entity = lambda t, s: f"{s[0]}:{pii.fold(t[s[1] : s[2]])}"
+    touches = lambda i, a, b: any(a < y and x < b for _, x, y in spans[i])
+    nt, ne, nte = Counter(), Counter(), Counter()
+    for i, t in rows:
+        nt.update({pii.fold(t[a:b]) for a, b in words(t)})
+        near = set()
+        for s in spans[i]:
+            own = [k for k, (a, b) in enumerate(words(t)) if a < s[2] and s[1] < b]
+            first, last = own[0], own[-1]
+            near |= {(entity(t, s), pii.fold(t[a:b])) for k, (a, b) in enumerate(words(t)) if first - width <= k <= last + width and not touches(i, a, b)}
+        nte.update(p for p in near if p[1])
+        ne.update({e for e, term in near if term})
+    share = {(e, w): math.log2(len(rows) * n / (nt[w] * ne[e])) / math.log2(len(rows) / ne[e]) for (e, w), n in nte.items() if n >= support and len(rows) > ne[e]}
+    flagged = {p for p, x in share.items() if x >= disclose}
+    out = {}
+    for i, t in rows:
+        held = {entity(t, s) for s in spans[i]}
+        out[i] = [(a, b) for a, b in words(t) if not touches(i, a, b) and any((e, pii.fold(t[a:b])) in flagged for e in held)]
+    return out
+
+
+def test_pii_term_spans_equal_brute_force(spark):
+    """A term that discloses a value is marked wherever it stands in the documents that hold the value, and nowhere else."""
+    r = random.Random(4)
+    filler = [f"w{k}" for k in range(40)]
+    rows = []
+    for i in range(150):
+        text = r.choices(filler, k=r.randrange(5, 30))
+        who = r.randrange(6)
+        if r.random() < 0.7:
+            text.insert(r.randrange(len(text)), f"Name{who}, n{who}@corp.example")
+        if r.random() < 0.4:
+            text += r.choices(filler, k=12) + [f"(name{who})"]
+        if r.random() < 0.2:
+            text.append(f"+49 30 12345{who}0 Name{who}")
+        rows.append((i, " ".join(text)))
+    want = brute_terms(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: [(t.start, t.end) for t in x.terms or ()] for x in pii.detect(df).collect()}
+    assert got == want
+    far = [i for i, t in rows if len(want[i]) > 1 and t.endswith(")")]
+    assert far and not any(want[i] for i, t in rows if "@" not in t and "+49" not in t)
+    clean = {x.doc_id: x.text.lower() for x in pii.sanitise(df).collect()}
+    assert all(rows[i][1][a:b].lower() not in clean[i].split() for i in want for a, b in want[i])
+
+
+def test_pii_odd_rows(odd, none, spark):
+    long = spark.createDataFrame([(1, "0" * 5000 + ".0.0.0 is an address")], "doc_id long, text string")
+    assert pii.digest(pii.detect(long)).first().n_ip == 1 and pii.sanitise(long).first().text == "[IP] is an address"
     assert pii.digest(pii.detect(odd)).count() == 13
     assert pii.sanitise(odd).columns == odd.columns
     assert pii.detect(none).count() == 0 and pii.sanitise(none).count() == 0
