@@ -10,12 +10,14 @@ the list get their vector in a second step, and are verified by cosine in double
 The pivots are fitted on a bounded sample (``SAMPLE`` vectors by hash of the id), chosen
 so that no two are similar; every row is indexed. Their number grows with the cube root of
 the rows, which keeps lists short, and the prefix with their number, which keeps recall: of pairs at
-cosine 0.900 to 0.905 among random vectors of 64 dimensions, 0.99 share three of 8 of 92 pivots, 0.97 of 8 of 300,
-0.98 of 10 of 1,000 and 0.99 of 12 of 2,048. Sketches miss one pair in 100,000 at that cosine. Lists beyond ``large`` rows are
+cosine 0.900 to 0.905 among random vectors of 64 dimensions, 0.99 share two of 6 of 92 pivots, 0.97 of 6 of 300, 0.98 of 7 of 732,
+0.99 of 8 of 1,000 and 0.99 of 9 of 2,048; that is 15 to 36 lists for a vector. Sketches miss one pair in 100,000 at that cosine. Lists beyond ``large`` rows are
 dealt in blocks, every pair of blocks to a task of its own. Equal vectors are one entry with a multiplicity.
 
-Defined results: a vector that is null, zero, holds null or non-finite components, or has
-another length than the pivots links with nothing: n_links 0, itself as component, kept.
+Vectors of one length are indexed together, those of each length for themselves, however few they are.
+
+Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing: n_links 0, itself as
+component, kept. Vectors of different lengths never link. A chain of links that forty rounds of joins can't follow stops the job.
 Repeated rows link with each other. Empty tables give empty results.
 """
 
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 from folio.llm.common import components, small, written
 from folio.llm.simhash import groups, roots
 
-COSINE, SHARED, LARGE, BLOCK = 0.9, 3, 1500, 750
-#: Prefix up to so many pivots; two more pivots in it for every further factor.
-PREFIX, UP_TO, FACTOR = 8, 300, 3.5
+COSINE, SHARED, LARGE, BLOCK = 0.9, 2, 1500, 750
+#: Prefix up to so many pivots; one more pivot in it for every further factor.
+PREFIX, UP_TO, FACTOR = 6, 300, 2.6
 #: Signs in a sketch, and standard deviations beyond the mean distance of vectors at the cosine that still count as near.
 SIGNS, SPREAD = 128, 4.4
 SAMPLE, PER_CUBE_ROOT, PIVOTS, APART = 2000, 3.4, (24, 2048), 0.5
@@ -70,7 +72,7 @@ def prefixes(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray
 
 
 def prefix_length(pivots: int) -> int:
-    return min(pivots, PREFIX + 2 * max(0, math.ceil(math.log(max(pivots, 1) / UP_TO, FACTOR))))
+    return min(pivots, PREFIX + max(0, math.ceil(math.log(max(pivots, 1) / UP_TO, FACTOR))))
 
 
 def reach(cosine: float) -> int:
@@ -110,23 +112,17 @@ def owned(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (first == (a[:, :, None] == keys[:, None, :]).any(2)).all(1)
 
 
-def cluster(table: DataFrame, cosine: float = COSINE, shared: int = SHARED, large: int = LARGE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept."""
-    rows = table.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    good = rows.filter(usable("v"))
-    entries = good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
-    entries = written(entries)
-    n = entries.count()
+def links(entries: DataFrame, n: int, size: int, cosine: float, shared: int, large: int) -> DataFrame:
+    """(id, root, links) of n entries (v, id, m) of one length: what each links with, by the pivot lists of that length."""
     sample = entries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-    lengths = pd.Series([len(r.v) for r in sample])
-    size = int(lengths.mode().iloc[0]) if len(lengths) else 0
-    picked = unit(np.array([r.v for r in sample if len(r.v) == size]).reshape(-1, max(size, 1))) if size else np.empty((0, 1))
+    picked = unit(np.array([r.v for r in sample], np.float64))
     wanted = int(min(max(PIVOTS[0], PER_CUBE_ROOT * n ** (1 / 3)), PIVOTS[1]))
     pivots = choose(picked, wanted)
     k = prefix_length(len(pivots))
     s = min(shared, k)
     combos = list(combinations(range(k), s))
-    directions = np.random.default_rng(1).standard_normal((max(size, 1), SIGNS))
+    kind = dict(entries.dtypes)["id"]
+    directions = np.random.default_rng(1).standard_normal((size, SIGNS))
 
     def index(batches):
         for b in batches:
@@ -141,8 +137,7 @@ def cluster(table: DataFrame, cosine: float = COSINE, shared: int = SHARED, larg
             times = len(combos)
             yield pd.DataFrame({"key": code.reshape(-1), "id": np.repeat(b["id"].to_numpy(), times), "mark": [x for x in marks for _ in range(times)]})
 
-    fitting = entries.filter(F.size("v") == size)
-    indexed = fitting.mapInPandas(index, "key long, id long, mark binary")
+    indexed = entries.mapInPandas(index, f"key long, id {kind}, mark binary")
     lists = written(indexed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     few = lists.filter(F.col("n") <= large)
     many = lists.filter(F.col("n") > large).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -168,8 +163,8 @@ def cluster(table: DataFrame, cosine: float = COSINE, shared: int = SHARED, larg
             own = np.concatenate(found)
             yield rows_.iloc[own][["key", "part", "side", "id"]]
 
-    alive = written(dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInPandas(near, "key long, part int, side int, id long"))
-    vectors = alive.join(fitting.select("id", "m", "v"), "id").select("key", "part", "side", "id", "m", "v")
+    alive = written(dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInPandas(near, f"key long, part int, side int, id {kind}"))
+    vectors = alive.join(entries.select("id", "m", "v"), "id").select("key", "part", "side", "id", "m", "v")
 
     def verify(batches):
         for rows_, starts in groups(batches, ["key", "part"]):
@@ -193,12 +188,22 @@ def cluster(table: DataFrame, cosine: float = COSINE, shared: int = SHARED, larg
             own = np.flatnonzero(count)
             yield pd.DataFrame({"id": ids[own], "links": count[own].astype(np.int64), "root": ids[label[own]]})
 
-    found = written(vectors.repartition("key", "part").sortWithinPartitions("key", "part").mapInPandas(verify, "id long, links long, root long").groupBy("id", "root").agg(F.sum("links").alias("links")))
+    return written(vectors.repartition("key", "part").sortWithinPartitions("key", "part").mapInPandas(verify, f"id {kind}, links long, root {kind}").groupBy("id", "root").agg(F.sum("links").alias("links")))
+
+
+def cluster(table: DataFrame, cosine: float = COSINE, shared: int = SHARED, large: int = LARGE, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Per row: vec_id, n_links, component_id, kept."""
+    rows = table.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("good", usable("v"))
+    entries = written(rows.filter("good").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")))
+    found = entries.select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("links")).limit(0)
+    for r in entries.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).filter("n > 1").orderBy("size").collect():
+        found = found.unionByName(links(entries.filter(F.size("v") == r.size), r.n, r.size, cosine, shared, large))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     classes = entries.join(counts, "id", "left").join(comps, entries.id == comps.node, "left").select(
         "v", F.coalesce("root", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")
     )
-    out = rows.withColumn("_v", F.when(usable("v"), F.col("v"))).join(classes.withColumnRenamed("v", "_v"), "_v", "left")
+    plain = rows.filter(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = rows.filter("good").join(classes, "v", "left").select("vec_id", "n_links", "component_id").unionByName(plain)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

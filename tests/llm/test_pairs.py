@@ -232,6 +232,18 @@ def test_pivots_large_lists_and_odd_vectors(spark):
     assert pivots.cluster(df.limit(0)).collect() == []
 
 
+def test_pivots_of_every_length(spark):
+    """Vectors link with those of their own length, however rare it is."""
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(20)]
+    rows += [(30, [1.0, 0.0, 0.0, 0.0]), (31, [1.0, 0.014, 0.0, 0.0]), (32, [0.0, 0.0, 1.0, 0.0]), (33, [2.0, 1.0]), (34, [2.0, 1.0]), (35, [5.0]), (36, [2.5]), (37, [-1.0])]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in pivots.cluster(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = {i: (0, i) for i, _ in rows} | {30: (1, 30), 31: (1, 30), 33: (1, 33), 34: (1, 33), 35: (1, 35), 36: (1, 35)}
+    for size in (8,):
+        want |= brute_pivots([x for x in rows if len(x[1]) == size])[0]
+    assert got == want
+
+
 def brute_substrings(rows, window=35):
     words = [WORD.findall(t or "") for _, t in rows]
     seen = Counter(tuple(ws[i : i + window]) for ws in words for i in range(len(ws) - window + 1))
