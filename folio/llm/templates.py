@@ -6,7 +6,8 @@ position) are counted before any word moves. Where enough windows of an item lie
 diagonal, the words are compared again: the canonical words must be equal, and the
 values in the placeholders must map one to one, so that a question with other
 numbers and names is caught and a chance likeness of templates is not. A run most of whose words are
-equal is a copy even if a slot of it is not consistent. DataFrame functions only.
+equal is a copy even if a slot of it is not consistent. An item none of whose windows holds enough literals (sums, lists of names,
+capitals throughout) says too little as a template: its windows are hashed and joined by the words themselves. DataFrame functions only.
 
 A token is what stands between ASCII white space, without the marks ``.,;:!?"'()[]{}`` around
 it. ``<num>``: digits with points and commas, perhaps signed. ``<unit>``: a unit after a
@@ -72,18 +73,33 @@ def window_hashes(raw: str, window: int) -> Column:
     return F.when(F.size(c) >= window, per_window[0]).otherwise(F.array().cast("array<long>"))
 
 
+def bare(t: Column) -> Column:
+    """A token without the marks around it, in lower case; the token itself if it is all marks."""
+    found = F.btrim(t, F.lit(MARKS))
+    return F.lower(F.when(found == "", t).otherwise(found))
+
+
+def verbatim_hashes(raw: str, window: int) -> Column:
+    """Hash of every window of the words themselves."""
+    c = F.col(raw)
+    per_window = F.transform(F.array(F.transform(c, lambda t: F.xxhash64(F.lit("verbatim"), bare(t)))), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), lambda i: F.xxhash64(F.slice(h, i, F.lit(window)))))
+    return F.when(F.size(c) >= window, per_window[0]).otherwise(F.array().cast("array<long>"))
+
+
 def _literals(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: ~w.startswith("<")))
 
 
-def items(benchmark: DataFrame, window: int, literals: int, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Items (item_id, item, words, canon), and their windows (hash, item, ipos, need) that hold enough literals."""
+def items(benchmark: DataFrame, window: int, literals: int, item_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items (item_id, item, words, canon), and windows (hash, item, ipos, total): of templates with enough literals, and of the words of items that have none."""
     raw = benchmark.select(F.col(item_id).alias("item_id"), tokens(text).alias("words"))
     base = written(raw.withColumn("canon", canon("words")).withColumn("item", F.xxhash64("item_id", "words")))
-    at = base.filter(F.size("words") >= window).select("item", "canon", F.posexplode(window_hashes("words", window)).alias("ipos", "hash"))
-    good = at.filter(_literals(F.slice("canon", F.col("ipos") + 1, F.lit(window))) >= literals).select("hash", "item", "ipos").distinct()
+    long = base.filter(F.size("words") >= window)
+    at = long.select("item", "canon", F.posexplode(window_hashes("words", window)).alias("ipos", "hash"))
+    good = written(at.filter(_literals(F.slice("canon", F.col("ipos") + 1, F.lit(window))) >= literals).select("hash", "item", "ipos").distinct())
     total = good.groupBy("item").agg(F.count("*").alias("total"))
-    return base, written(good.join(total, "item"))
+    poor = long.join(total, "item", "left_anti").select("item", F.posexplode(verbatim_hashes("words", window)).alias("ipos", "hash")).select("hash", "item", "ipos").distinct()
+    return base, written(good.join(total, "item")), written(poor.join(poor.groupBy("item").agg(F.count("*").alias("total")), "item"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, needed: int = NEEDED, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -91,10 +107,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
 
     key is the hash of the document id and text. An item with fewer good windows than needed must have all of them.
     """
-    base, index = items(benchmark, window, literals, item_id, item_text)
+    base, index, verbatim = items(benchmark, window, literals, item_id, item_text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("key"))
     at = rows.select("key", tokens("text").alias("words")).select("key", F.posexplode(window_hashes("words", window)).alias("dpos", "hash"))
     hits = at.join(small(index), "hash")
+    if verbatim.limit(1).count():
+        said = rows.select("key", tokens("text").alias("words")).select("key", F.posexplode(verbatim_hashes("words", window)).alias("dpos", "hash"))
+        hits = hits.unionByName(said.join(small(verbatim), "hash"))
     runs = hits.groupBy("key", "item", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(
         F.count_distinct("ipos").alias("n"), F.min("ipos").alias("first"), F.max("ipos").alias("last"), F.max("total").alias("total")
     )
@@ -108,14 +127,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal
         F.arrays_zip(cut("words", F.col("first")).alias("iw"), cut("canon", F.col("first")).alias("ic"), cut("dwords", F.col("first") + F.col("shift")).alias("dw"), cut("dcanon", F.col("first") + F.col("shift")).alias("dc")).alias("zip"),
     )
     agree = F.filter("zip", lambda z: z["ic"] == z["dc"])
-    bare = lambda w: F.btrim(w, F.lit(MARKS))
-    slots = F.transform(F.filter(agree, lambda z: z["ic"].startswith("<")), lambda z: F.struct(z["ic"].alias("kind"), bare(z["iw"]).alias("i"), bare(z["dw"]).alias("d")))
+    trimmed = lambda w: F.btrim(w, F.lit(MARKS))
+    slots = F.transform(F.filter(agree, lambda z: z["ic"].startswith("<")), lambda z: F.struct(z["ic"].alias("kind"), trimmed(z["iw"]).alias("i"), trimmed(z["dw"]).alias("d")))
     checked = both.withColumn("_agree", agree).withColumn("slots", F.array_distinct(slots))
     item_values, doc_values = F.transform("slots", lambda s: F.struct(s.kind, s.i)), F.transform("slots", lambda s: F.struct(s.kind, s.d))
     one_to_one = (F.size(F.array_distinct(item_values)) == F.size("slots")) & (F.size(F.array_distinct(doc_values)) == F.size("slots"))
-    exact = F.forall("zip", lambda z: bare(z["iw"]).eqNullSafe(bare(z["dw"])))
-    enough = F.size("_agree") >= window
-    same = F.size(F.filter("zip", lambda z: bare(z["iw"]).eqNullSafe(bare(z["dw"])))) >= SAME * F.size("zip")
+    exact = F.forall("zip", lambda z: trimmed(z["iw"]).eqNullSafe(trimmed(z["dw"])))
+    enough = (F.size("_agree") >= window) | F.forall("zip", lambda z: F.lower(trimmed(z["iw"])).eqNullSafe(F.lower(trimmed(z["dw"]))))
+    same = F.size(F.filter("zip", lambda z: trimmed(z["iw"]).eqNullSafe(trimmed(z["dw"])))) >= SAME * F.size("zip")
     return checked.filter((one_to_one | same) & enough).select("doc_id", "key", "item_id", F.col("n").alias("n_windows"), "from_word", (F.col("from_word") + F.col("size")).alias("to_word"), exact.alias("exact"))
 
 
@@ -141,7 +160,7 @@ WITH src AS (
   UNION ALL SELECT 'i', item_id, row_number() OVER (), list_filter({_T}, lambda t: t <> '') FROM benchmark),
 tok AS (SELECT side, id, r, unnest(w) AS t, unnest(range(len(w))) AS pos FROM src),
 prev AS (SELECT *, lag(t) OVER (PARTITION BY side, r ORDER BY pos) AS p, trim(t, '{_MARKS}') AS b FROM tok),
-can AS (SELECT side, id, r, pos, b, CASE
+can AS (SELECT side, id, r, pos, b, lower(CASE WHEN b = '' THEN t ELSE b END) AS v, CASE
     WHEN b = '' THEN t
     WHEN regexp_matches(b, '^{_NUM}$') THEN '<num>'
     WHEN regexp_matches(b, '^{_NUM}({"|".join(UNITS)})$') THEN '<num><unit>'
@@ -150,16 +169,19 @@ can AS (SELECT side, id, r, pos, b, CASE
     ELSE lower(b) END AS c FROM prev),
 win AS (SELECT side, id, r, pos,
     array_agg(c) OVER (PARTITION BY side, r ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS k,
+    array_agg(v) OVER (PARTITION BY side, r ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS kv,
     sum(CASE WHEN starts_with(c, '<') THEN 0 ELSE 1 END) OVER (PARTITION BY side, r ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS lits FROM can),
 iw AS (SELECT id AS item_id, r AS ir, pos AS ipos, k, count(*) OVER (PARTITION BY r) AS total FROM win WHERE side = 'i' AND len(k) = {WINDOW} AND lits >= {LITERALS}),
-hit AS (SELECT d.id AS doc_id, d.r AS dr, item_id, ir, d.pos - ipos AS shift, count(DISTINCT ipos) AS n, min(ipos) AS f, max(ipos) AS l, max(total) AS total
-  FROM win d JOIN iw ON d.k = iw.k WHERE d.side = 'd' GROUP BY ALL),
+vw AS (SELECT id AS item_id, r AS ir, pos AS ipos, kv, count(*) OVER (PARTITION BY r) AS total FROM win WHERE side = 'i' AND len(k) = {WINDOW} AND r NOT IN (SELECT ir FROM iw)),
+found AS (SELECT d.id AS doc_id, d.r AS dr, item_id, ir, d.pos, ipos, total FROM win d JOIN iw ON d.k = iw.k WHERE d.side = 'd'
+  UNION ALL SELECT d.id, d.r, item_id, ir, d.pos, ipos, total FROM win d JOIN vw ON d.kv = vw.kv WHERE d.side = 'd'),
+hit AS (SELECT doc_id, dr, item_id, ir, pos - ipos AS shift, count(DISTINCT ipos) AS n, min(ipos) AS f, max(ipos) AS l, max(total) AS total FROM found GROUP BY ALL),
 run AS (SELECT * FROM hit WHERE n >= least({NEEDED}, total)),
 pair AS (SELECT run.*, i.c AS ic, d.c AS dc, i.b AS ib, d.b AS db FROM run
   JOIN can i ON i.side = 'i' AND i.r = run.ir AND i.pos BETWEEN f AND l + {WINDOW - 1}
   JOIN can d ON d.side = 'd' AND d.r = run.dr AND d.pos = i.pos + shift),
 ok AS (SELECT doc_id, dr, item_id, ir, shift, n, bool_and(ib = db) AS exact FROM pair GROUP BY ALL
-  HAVING count(*) FILTER (ic = dc) >= {WINDOW}
+  HAVING (count(*) FILTER (ic = dc) >= {WINDOW} OR bool_and(lower(ib) = lower(db)))
     AND (count(*) FILTER (ib = db) >= {SAME} * count(*)
       OR count(DISTINCT (ic, ib, db)) FILTER (ic = dc AND starts_with(ic, '<')) = count(DISTINCT (ic, ib)) FILTER (ic = dc AND starts_with(ic, '<'))
       AND count(DISTINCT (ic, ib, db)) FILTER (ic = dc AND starts_with(ic, '<')) = count(DISTINCT (ic, db)) FILTER (ic = dc AND starts_with(ic, '<'))))

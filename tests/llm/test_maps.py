@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -74,6 +75,23 @@ def test_templates_catch_new_numbers_and_names_but_not_inconsistent_slots(spark,
     assert templates.clean(df, bench.limit(0)).count() == 7
 
 
+def test_templates_find_items_without_literals(spark):
+    """Sums, capitals and lists of names hold no window of a template; they are found by their words."""
+    items = ["Calculate 12 + 7 + 30 - 4 + 18 + 22 - 6 + 5", "THE QUICK BROWN FOX JUMPS OVER THE LAZY DOG NEAR THE OLD STONE BRIDGE", "Anna Berta Clara Dora Emma Frieda Greta Hanna"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(10 + k, f"Some words before. {t} and a few after it.") for k, t in enumerate(items)]
+    docs += [(20, items[0].replace("12", "13").replace("7", "9").replace("18", "2")), (21, " ".join(items[1].split()[::-1])), (22, "Anna Berta Clara Dora Emma Frieda Greta Ida"), (23, items[1].lower()), (24, "LOUD WORDS " * 500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.exact) for r in templates.report(templates.matches(df, bench)).collect()}
+    assert {(d, i) for d, i, _ in got} == {(10, 0), (11, 1), (12, 2), (23, 1)}
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    con.register("benchmark", bench.toArrow())
+    names = [x[0] for x in con.execute(templates.SQL).description]
+    want = [dict(zip(names, x, strict=True)) for x in con.execute(templates.SQL).fetchall()]
+    assert got == {(x["doc_id"], x["item_id"], x["exact"]) for x in want}
+
+
 @pytest.fixture(scope="module")
 def codec():
     return pieces.Codec(pieces.vocabulary())
