@@ -1,12 +1,12 @@
 """Rules that depend on what was taken before: each key is one ordered fold over its rows.
 
-A key's rows are sorted by Spark and read in order, batch by batch, so that no key has to fit in memory.
+A key's rows are sorted by Spark and read in order, batch by batch, so that no key has to fit in memory. Null is a key like any
+other; a row without a time belongs nowhere in the order and is left out.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +19,14 @@ def _folded(rows: DataFrame, key: str, at: str, tie: str, step, columns: str, *n
         last = object()
         for b in batches:
             out = []
-            for k, t in zip(b[key].tolist(), b[at].tolist(), strict=True):
+            for k, t in zip(b.column(key).to_pylist(), b.column(at).to_pylist(), strict=True):
                 out.append(step(k != last, t))
                 last = k
-            b[list(names)] = pd.DataFrame(out, columns=list(names), index=b.index) if out else np.empty((0, len(names)))
-            yield b[[key, tie, at, *names]]
+            found = [pa.array(x) for x in zip(*out, strict=True)] if out else [pa.nulls(0) for _ in names]
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column(tie), b.column(at), *found], names=[key, tie, at, *names])
 
-    placed = rows.select(key, tie, at).repartition(key).sortWithinPartitions(key, at, tie)
-    return placed.mapInPandas(run, f"{key} {types[key]}, {tie} {types[tie]}, {at} {types[at]}, {columns}")
+    placed = rows.filter(F.col(at).isNotNull()).select(key, tie, at).repartition(key).sortWithinPartitions(key, at, tie)
+    return placed.mapInArrow(run, f"{key} {types[key]}, {tie} {types[tie]}, {at} {types[at]}, {columns}")
 
 
 class Anchored:

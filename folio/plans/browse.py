@@ -97,8 +97,8 @@ def exists_semi(spark, sf_dir):
 
 
 def not_exists_anti(spark, sf_dir):
-    """Customers without orders."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order in 1995."""
+    orders = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") == 1995).select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -123,11 +123,10 @@ def language_any(spark, sf_dir):
 
 
 def ranked_non_english(spark, sf_dir):
-    """Long documents per language without those of sources that write English mainly."""
+    """Long documents per language, without those that have an English version."""
     docs = table(spark, sf_dir, "documents")
-    by = docs.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"))
-    mainly = by.filter(F.col("en") * 2 > F.col("n")).select("source")
-    return docs.filter("n_chars >= 1000").join(mainly, "source", "left_anti").groupBy("lang").agg(F.count("*").alias("n"))
+    english = docs.filter("lang = 'en'").select("doc_id")
+    return docs.filter("n_chars >= 1000").join(english, "doc_id", "left_anti").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -148,11 +147,11 @@ QUERIES = {
     "exclude_owned": (exclude_owned, f"""WITH {RANKED} SELECT id, title, kind, votes, rank FROM ranked WHERE rank IS NOT NULL
       AND id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45) ORDER BY rank DESC, id LIMIT 50"""),
     "exists_semi": (exists_semi, "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
-    "not_exists_anti": (not_exists_anti, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "not_exists_anti": (not_exists_anti, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1995)"),
     "not_in_multi": (not_in_multi, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')"),
     "named_language": (named_language, """SELECT lang AS asked, source, count(*) AS n FROM documents WHERE lang = 'en' OR lang = 'fr' AND source NOT IN
       (SELECT source FROM documents WHERE lang = 'en' GROUP BY 1 HAVING count(*) >= 5) GROUP BY 1, 2"""),
     "language_any": (language_any, "SELECT doc_id, coalesce(lang, '') AS lang FROM documents WHERE coalesce(lang, '') IN ('en', 'es', '')"),
-    "ranked_non_english": (ranked_non_english, """SELECT lang, count(*) AS n FROM documents WHERE n_chars >= 1000 AND source NOT IN
-      (SELECT source FROM documents GROUP BY source HAVING 2 * count(*) FILTER (lang = 'en') > count(*)) GROUP BY lang"""),
+    "ranked_non_english": (ranked_non_english, """SELECT coalesce(lang, '') AS lang, count(*) AS n FROM documents d WHERE n_chars >= 1000
+      AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id AND e.lang = 'en') GROUP BY 1"""),
 }

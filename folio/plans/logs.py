@@ -78,10 +78,13 @@ def moving_average(spark, sf_dir):
 
 
 def share_of_max(spark, sf_dir):
-    """An hour's value as a percentage of the largest hour's, 1 at least unless it is none; and per event, null-safe."""
-    hours = _events(spark, sf_dir).groupBy("day", F.date_format("ts", "HH").alias("hour")).agg(F.count("*").alias("n"), F.coalesce(F.round(F.sum(F.when(F.col("event_type") == "error", F.col("value"))), 4), F.lit(0.0)).alias("total"))
-    bar = F.when(F.col("total") > 0, F.greatest(F.round(100 * F.try_divide("total", "top"), 2), F.lit(1.0))).otherwise(0.0)
-    return hours.crossJoin(F.broadcast(hours.agg(F.max("total").alias("top")))).select("day", "hour", bar.alias("bar"), F.round(F.try_divide("total", "n"), 4).alias("rate"))
+    """An hour's value as a percentage of the largest hour's, 1 at least unless it is none; and per event, null-safe.
+
+    Values count in hundredths and are divided as whole numbers, so a result doesn't hang on the order of a sum.
+    """
+    hours = _events(spark, sf_dir).groupBy("day", F.date_format("ts", "HH").alias("hour")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("event_type") == "error", F.round(100 * F.col("value")).cast("long"))), F.lit(0)).alias("total"))
+    bar = F.when(F.col("total") > 0, F.greatest(F.expr("(10000 * total + top div 2) div top") / 100, F.lit(1.0))).otherwise(0.0)
+    return hours.crossJoin(F.broadcast(hours.agg(F.max("total").alias("top")))).select("day", "hour", bar.alias("bar"), (F.expr("(100 * total + n div 2) div n") / 10000).alias("rate"))
 
 
 def islands_ranges(spark, sf_dir):
@@ -127,8 +130,8 @@ QUERIES = {
     "retention_topn": (retention_topn, f"SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM events QUALIFY place <= {NEWEST}"),
     "first_per_key": (first_per_key, "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1"),
     "moving_average": (moving_average, f"WITH {E}, d AS (SELECT event_type, day, count(*) AS n FROM e GROUP BY 1, 2) SELECT event_type, day, round(avg(n) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS mean FROM d"),
-    "share_of_max": (share_of_max, f"""WITH {E}, d AS (SELECT day, strftime(ts, '%H') AS hour, count(*) AS n, coalesce(round(sum(value) FILTER (event_type = 'error'), 4), 0) AS total FROM e GROUP BY 1, 2)
-      SELECT day, hour, CASE WHEN total > 0 THEN greatest(round(100 * total / (SELECT max(total) FROM d), 2), 1.0) ELSE 0.0 END AS bar, round(total / n, 4) AS rate FROM d"""),
+    "share_of_max": (share_of_max, f"""WITH {E}, d AS (SELECT day, strftime(ts, '%H') AS hour, count(*) AS n, coalesce(sum(round(100 * value)::BIGINT) FILTER (event_type = 'error'), 0)::BIGINT AS total FROM e GROUP BY 1, 2), t AS (SELECT max(total) AS top FROM d)
+      SELECT day, hour, CASE WHEN total > 0 THEN greatest(((10000 * total + top // 2) // top) / 100, 1.0) ELSE 0.0 END AS bar, ((100 * total + n // 2) // n) / 10000 AS rate FROM d, t"""),
     "islands_ranges": (islands_ranges, f"""WITH {E}, d AS (SELECT DISTINCT user_id, CAST(CAST(day AS DATE) - DATE '1970-01-01' AS INT) AS d FROM e), r AS (SELECT *, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS run FROM d)
       SELECT user_id, min(d) AS from_day, count(*) AS days FROM r GROUP BY user_id, run"""),
     "band_buckets": (band_buckets, "SELECT CASE WHEN value - 5 >= 100 THEN '100' WHEN value - 5 >= 50 THEN '50' WHEN value - 5 >= 10 THEN '10' WHEN value IS NOT NULL THEN '0' END AS band, count(*) AS n FROM events GROUP BY 1"),

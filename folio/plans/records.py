@@ -10,8 +10,8 @@ from folio.plans.logs import _events
 from folio.session import table
 
 AS_OF, NOW = "1998-09-01", "2024-01-30 00:00:00"
-# Minutes between attempts, most attempts, days that an entry of a class stays fresh.
-DELAYS, MOST = (1, 5, 15, 30, 60), 24
+# Minutes between attempts, most attempts, attempts beyond which a day without a release is enough to give up, days that an entry of a class stays fresh.
+DELAYS, MOST, GIVEN_UP = (1, 5, 15, 30, 60), 24, 9
 FRESH = (("volatile", 7), ("recent", 14), ("settled", 90))
 
 
@@ -36,9 +36,9 @@ def case_standing(spark, sf_dir):
 
 def request_log(spark, sf_dir):
     """Requests in ordered states with a line of evidence, news first, then newest; given up only after many attempts and a day."""
-    r = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("attempts"), F.max("l_shipdate").alias("last")), F.col("o_orderkey") == F.col("l_orderkey"))
+    r = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("attempts"), F.max("l_shipdate").alias("last")), F.col("o_orderkey") == F.col("l_orderkey"))
     old = F.datediff(F.lit(AS_OF).cast("date"), F.to_date("last")) > 1
-    state_ = F.when(F.col("o_orderstatus") == "F", "done").when((F.col("attempts") > 5) & old, "no_release").when(F.col("o_orderstatus") == "P", "waiting").otherwise("open")
+    state_ = F.when(F.col("o_orderstatus") == "F", "done").when((F.col("attempts") > GIVEN_UP) & old, "no_release").when(F.col("o_orderstatus") == "P", "waiting").otherwise("open")
     rows = r.withColumn("state", state_).withColumn("bucket", F.array_position(F.array(*map(F.lit, ("no_release", "waiting", "open", "done"))), F.col("state")).cast("int"))
     news = F.to_date("last") > F.lit("1998-08-01").cast("date")
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(news.cast("int").desc(), F.desc("o_orderdate"), F.desc("o_orderkey")))
@@ -254,8 +254,8 @@ QUERIES = {
     "expiry_filter": (expiry_filter, f"SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'P' OR CAST(o_orderdate AS DATE) + 90 > {DAY} GROUP BY 1"),
     "date_window": (date_window, f"SELECT l_orderkey, l_linenumber, CAST(CAST(l_shipdate AS DATE) - {DAY} AS INT) AS away FROM lineitem WHERE CAST(l_shipdate AS DATE) - {DAY} BETWEEN -4 AND 14"),
     "case_standing": (case_standing, f"SELECT CASE WHEN l_linestatus = 'F' THEN 'owned' WHEN CAST(l_shipdate AS DATE) > {DAY} THEN 'unknown' WHEN l_returnflag <> 'N' THEN 'wanted' ELSE 'missing' END AS standing, count(*) AS n FROM lineitem GROUP BY 1"),
-    "request_log": (request_log, f"""WITH l AS (SELECT l_orderkey, count(*) AS attempts, CAST(max(l_shipdate) AS DATE) AS last FROM lineitem GROUP BY 1),
-      s AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN attempts > 5 AND {DAY} - last > 1 THEN 'no_release' WHEN o_orderstatus = 'P' THEN 'waiting' ELSE 'open' END AS state FROM orders JOIN l ON l_orderkey = o_orderkey)
+    "request_log": (request_log, f"""WITH l AS (SELECT l_orderkey, sum(l_linenumber)::BIGINT AS attempts, CAST(max(l_shipdate) AS DATE) AS last FROM lineitem GROUP BY 1),
+      s AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN attempts > {GIVEN_UP} AND {DAY} - last > 1 THEN 'no_release' WHEN o_orderstatus = 'P' THEN 'waiting' ELSE 'open' END AS state FROM orders JOIN l ON l_orderkey = o_orderkey)
       SELECT o_custkey, o_orderkey, state, CAST(list_position(['no_release', 'waiting', 'open', 'done'], state) AS INT) AS bucket, attempts || ' attempts, last ' || strftime(last, '%Y-%m-%d') AS evidence,
       CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY last > DATE '1998-08-01' DESC, o_orderdate DESC, o_orderkey DESC) AS INT) AS place FROM s"""),
     "finished_flags": (finished_flags, "SELECT l_returnflag, count(*) FILTER (l_extendedprice * l_discount <= least(0.05 * l_extendedprice, 180.0)) AS finished, count(*) AS n FROM lineitem GROUP BY 1"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folio.session import shared_dir, table
@@ -18,6 +19,22 @@ def _place(spark) -> str:
     return path
 
 
+def _arrays(rows):
+    """The JSON texts in the column value as lines of one array a file."""
+
+    def brackets(batches):
+        mark = "["
+        for b in batches:
+            lines = []
+            for v in b.column("value").to_pylist():
+                lines.append(mark + v)
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], names=["value"])
+
+    return rows.select("value").mapInArrow(brackets, "value string")
+
+
 def tsv_scan(spark, sf_dir):
     """Parts through a gzipped TSV with unknown values."""
     path, part = _place(spark), table(spark, sf_dir, "part")
@@ -54,18 +71,22 @@ def ndjson_scan(spark, sf_dir):
 
 
 def json_array_scan(spark, sf_dir):
-    """Regions and their nations through one JSON array."""
+    """Regions and their nations, and orders, through files that hold one JSON array each."""
     path = _place(spark)
     per = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))  # as many rows as regions
-    per.agg(F.to_json(F.collect_list(F.struct("n_regionkey", "names"))).alias("value")).coalesce(1).write.text(path)
-    return files.json_array(spark, path, "n_regionkey int, names array<string>").select("n_regionkey", F.explode("names").alias("n_name"))
+    _arrays(per.select(F.to_json(F.struct("n_regionkey", "names")).alias("value"))).write.text(f"{path}/a")
+    regions = files.json_array(spark, f"{path}/a", "n_regionkey int, names array<string>").select(F.lit("nation").alias("what"), F.explode("names").alias("name"))
+    orders = table(spark, sf_dir, "orders").select(F.to_json(F.struct("o_orderkey", F.concat(F.lit('a "quoted" [, \\'), "o_orderstatus").alias("status"))).alias("value"))
+    _arrays(orders).write.text(f"{path}/b")
+    again = files.json_array(spark, f"{path}/b", "o_orderkey long, status string")
+    return regions.unionByName(again.select(F.lit("order").alias("what"), F.concat_ws(":", "o_orderkey", "status").alias("name")))
 
 
 def awards_scan(spark, sf_dir):
-    """Orders as ceremonies through TSV with lists, numbered in the order of the file."""
+    """Orders as ceremonies through TSV with lists, numbered in the order of the file that holds the ceremony."""
     path, o = _place(spark), table(spark, sf_dir, "orders")
     rows = o.select(F.col("o_custkey").cast("string").alias("ceremony"), F.col("o_orderkey").cast("string").alias("id"), F.concat_ws("|", "o_orderstatus", F.lit(" x "), F.lit("")).alias("films"))
-    rows.coalesce(1).sortWithinPartitions(F.col("id").cast("long").desc()).write.options(sep="\t", quote="", header=True).csv(path)
+    rows.repartition("ceremony").sortWithinPartitions(F.col("id").cast("long").desc()).write.options(sep="\t", quote="", header=True).csv(path)
     return files.awards(spark, path, ["ceremony", "id", "films"], ["films"], "ceremony").select("ceremony", "id", F.array_join("films", "+").alias("films"), "seq")
 
 
@@ -115,7 +136,7 @@ QUERIES = {
     "entity_scan": (entity_scan, """SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS label, CASE WHEN n_nationkey % 6 <> 5 THEN CAST(-n_nationkey - 1 AS DOUBLE) END AS lat, CASE WHEN n_nationkey % 6 <> 5 THEN CAST((n_nationkey * 2 - 20) || '.5' AS DOUBLE) END AS lon,
       CASE WHEN n_regionkey = 1 THEN 'caption' WHEN n_regionkey < 3 THEN 'area' ELSE 'site' END AS kind FROM nation"""),
     "ndjson_scan": (ndjson_scan, "SELECT p_partkey - 3 AS id, p_retailprice - 950 AS popularity FROM part WHERE p_size <> 7 AND p_partkey > 3 AND p_retailprice >= 950"),
-    "json_array_scan": (json_array_scan, "SELECT n_regionkey, n_name FROM nation"),
+    "json_array_scan": (json_array_scan, "SELECT 'nation' AS what, n_name AS name FROM nation UNION ALL SELECT 'order', o_orderkey || ':a \"quoted\" [, \\' || o_orderstatus FROM orders"),
     "awards_scan": (awards_scan, "SELECT CAST(o_custkey AS VARCHAR) AS ceremony, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus || '+x' AS films, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS INT) AS seq FROM orders"),
     "insert_or_ignore": (insert_or_ignore, """SELECT 'first' AS how, * FROM (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1)
       UNION ALL SELECT 'last', * FROM (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)"""),

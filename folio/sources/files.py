@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from folio.session import few, saved
+
 
 class SchemaDrift(ValueError):
     """A file's header is not the expected one."""
@@ -21,8 +23,8 @@ def int_or_null(c: Column) -> Column:
     return F.regexp_extract(c, r"^\s*([+-]?\d+)", 1).try_cast("int")
 
 
-def tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of (gzipped) TSV files as text, ``\\N`` and empty fields as null.
+def tsv(spark: SparkSession, path: str, columns: list[str], place: str | None = None) -> DataFrame:
+    """Rows of (gzipped) TSV files as text, ``\\N`` and empty fields as null; ``place`` names a column for a row's place in the order of files and lines.
 
     Every file's header must be the columns, else SchemaDrift. Blank lines are skipped, a last line without
     a line end counts, quotes are ordinary characters; a broken gzip stream fails the job.
@@ -32,7 +34,12 @@ def tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     if found != columns:
         raise SchemaDrift(f"{path}: header {found} is not {columns}")
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.options(**options).schema(schema).csv(path).select(*(nullable(F.col(f"`{c}`")).alias(c) for c in columns))
+    return spark.read.options(**options).schema(schema).csv(path).select(*(nullable(F.col(f"`{c}`")).alias(c) for c in columns), *([_place().alias(place)] if place else []))
+
+
+def _place() -> Column:
+    """A row's file, byte range, and place within the rows that its task reads: together the order of the file, however it is split and dealt out."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"))
 
 
 def csv_lines(spark: SparkSession, path: str, columns: list[str], ids: dict[str, str]) -> DataFrame:
@@ -73,14 +80,53 @@ def popularity(spark: SparkSession, path: str) -> DataFrame:
     return ndjson(spark, path, "id long, popularity double", F.col("id") > 0, (p >= 0) & ~F.isnan(p) & (p < float("inf")))
 
 
+class CutArray(ValueError):
+    """A JSON array that ends within a string or before its last bracket."""
+
+
+def _along(rows: DataFrame, amount: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` over a file's pieces before this one. A task sees the pieces of one byte range, or one row for each range of a file."""
+    rows = rows.withColumn("_amount", amount)
+    ranges = rows.groupBy("file", "range").agg(F.sum("_amount").alias("_own"))
+    upto = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select("file", "range", F.coalesce(F.sum("_own").over(upto), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("file", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    here = rows.withColumn("_here", F.coalesce(F.sum("_amount").over(within), F.lit(0)))
+    return here.join(few(before), ["file", "range"]).withColumn(name, F.col("_before") + F.col("_here")).drop("_amount", "_here", "_before")
+
+
 def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Elements of files that are one JSON array each; an array that is cut off is an error."""
-    return spark.read.options(multiLine=True, mode="FAILFAST").schema(schema).json(path)
+    """Elements of files that are one JSON array each, however long; an array that is cut off is an error (CutArray).
+
+    A file is read in byte ranges by many tasks, in pieces that end at commas. A piece tells its number of quotes that no backslash escapes, and
+    how far its brackets lead in or out, once for a start outside of a string and once for one inside. Running sums put the pieces together:
+    of quotes, which side a piece starts on; of the brackets on that side, its depth; of the commas at depth one, its element.
+    """
+    pieces = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"), "value")
+    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
+    count = lambda x, which: F.length(F.regexp_replace(x, which, ""))
+    depth = lambda x: count(x, r"[^\[{]") - count(x, r"[^\]}]")
+    deeper = lambda side: F.aggregate(F.filter("parts", lambda x, i: i % 2 == side), F.lit(0), lambda n, x: n + depth(x))
+    found = pieces.withColumn("parts", parts).select("file", "range", "at", "value", (F.size("parts") - 1).alias("quotes"), deeper(0).alias("outside"), deeper(1).alias("inside"))
+    rows = _along(saved(found), F.col("quotes"), "before")
+    rows = rows.withColumn("step", F.when(F.col("before") % 2 == 0, F.col("outside")).otherwise(F.col("inside")))
+    rows = _along(rows, F.col("step"), "depth")
+    cut = ((F.col("before") + F.col("quotes")) % 2 == 0) & (F.col("depth") + F.col("step") == 1)
+    rows = saved(_along(rows.withColumn("cut", cut.cast("int")), F.col("cut"), "element").select("file", "range", "at", "value", "quotes", "step", "cut", "element"))
+    whole = rows.groupBy("file").agg((F.sum("quotes") % 2).alias("open"), F.sum("step").alias("depth"), F.max("element").alias("last"))
+    if broken := whole.filter("open <> 0 OR depth <> 0").first():
+        raise CutArray(broken.file)
+    texts = rows.groupBy("file", "element").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "at", "value"))), lambda x: x.value), ",").alias("text"))
+    texts = texts.join(few(whole.select("file", "last")), "file")
+    head = F.when(F.col("element") == 0, F.regexp_replace("text", r"^\s*\[", "")).otherwise(F.col("text"))
+    body = F.when(F.col("element") == F.col("last"), F.regexp_replace(head, r"\]\s*$", "")).otherwise(head)
+    empty = (F.col("last") == 0) & (F.trim("body") == "")
+    return texts.withColumn("body", body).filter(~empty).select(F.from_json("body", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def awards(spark: SparkSession, path: str, columns: list[str], lists: list[str], key: str) -> DataFrame:
     """Rows of an awards TSV: fields of pipe-separated lists as arrays, and ``seq``, the place within the key in the order of the file."""
-    rows = tsv(spark, path, columns).withColumn("_at", F.monotonically_increasing_id())
+    rows = saved(tsv(spark, path, columns, "_at"))
     for c in lists:
         rows = rows.withColumn(c, F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("_at")) - 1).drop("_at")
@@ -111,6 +157,6 @@ def by_key(rows: DataFrame, key: str, value: object) -> DataFrame:
 
 
 def hydrated(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of a table of ids (a request's, at most a page of them), in their order."""
+    """The rows of a table of ids, in their order; the ids are broadcast if they are few, and all are looked up in any case."""
     placed = ids.select(key, F.monotonically_increasing_id().alias("_at"))
-    return rows.join(F.broadcast(placed.limit(1000)), key).orderBy("_at").drop("_at")
+    return rows.join(few(placed), key).orderBy("_at").drop("_at")

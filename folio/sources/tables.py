@@ -54,13 +54,14 @@ class Versions:
         return self.spark.read.text(f"{self.path}/{name}").first().value
 
     def _point(self, name: str, build: str) -> None:
-        """Writes a pointer file whole, then renames it over the old one."""
+        """Writes a pointer file whole, then renames it over the old one in one step, so that readers see the one or the other."""
         out = self._fs.create(self._at(f".{name}.new"), True)
         out.write(bytearray(build.encode()))
         out.close()
-        if self._fs.exists(self._at(name)):
-            self._fs.delete(self._at(name), False)
-        self._fs.rename(self._at(f".{name}.new"), self._at(name))
+        files = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
+        options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(self._at(f".{name}.new"), self._at(name), options)
 
     def write(self, rows: DataFrame, build: str) -> None:
         rows.write.mode("error").parquet(f"{self.path}/{build}")
