@@ -6,8 +6,9 @@ path of the prefix before it, the one whose seam the merges would leave alone. S
 position has one surviving backpointer, candidates reach back at most the longest piece,
 and ids are committed as soon as the paths of all positions in that window run through one
 boundary. All text takes this pass. No piece crosses from a non-space to a space or touches a line break (which no
-piece contains), so paths always converge there; the stretches between such boundaries
-recur, and up to a bounded number their ids are remembered; the frequent ones outlive the rare.
+piece contains), so paths always converge there. The stretches between such boundaries are found for some megabytes of
+texts at once, each different one is encoded once for all places where it stands, and up to a bounded number their ids are remembered
+beyond that; the frequent ones outlive the rare. Texts that begin with a blank, or hold two in a row or U+2581, are cut one by one.
 
 Defined results: a null text is empty; an empty text has no ids. Repeated rows are encoded
 alike. Characters outside the vocabulary become byte pieces. U+2581 in a text is a space
@@ -20,13 +21,21 @@ import re
 from array import array
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.words import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MEMO, BEGINNINGS, COMMIT_AT, ROWS_AT_ONCE = 150_000, 400_000, 64, 500
+#: Stretches, seams, and beginnings of stretches that a task remembers (none of more than COMMIT_AT characters, so as many pieces); bytes of text encoded at once.
+MEMO, SEAMS, BEGINNINGS, COMMIT_AT, AT_ONCE = 150_000, 1_000_000, 100_000, 64, 8_000_000
+#: Words of at most so many characters pass through the window together.
+WIDTHS = (8, 12, 20, COMMIT_AT)
+_BASE, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -286,22 +295,229 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     return v
 
 
+def _picked(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """pool[start : start + size] of each, one after another."""
+    upto = np.cumsum(sizes)
+    return pool[np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+class Together:
+    """The same pass over many words at once: all words step on by one character together.
+
+    A piece is found by a number of its characters (a polynomial modulo 2^64, whose value for a part of a word follows from those of two beginnings). What was encoded is
+    decoded and compared byte by byte, so that a chance likeness of numbers would show.
+    """
+
+    def __init__(self, codec: Codec):
+        self.codec, self.size = codec, -1
+        self.seam_keys, self.seam_kept = np.empty(0, np.int64), np.empty(0, bool)
+        self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(COMMIT_AT + 1, _BASE))])
+
+    def _tables(self) -> None:
+        """By number of a piece: its length, ids, bytes; and pieces by the number of their characters."""
+        c = self.codec
+        if self.size == len(c.names):
+            return
+        self.size = len(c.names)
+        found: dict[int, int] = {}
+        for name, i in c.number.items():
+            h = 0
+            for x in name:
+                h = (h * int(_BASE) + ord(x)) & (2**64 - 1)
+            found[h] = i
+        self.keys = np.array(sorted(found), np.uint64)
+        self.of = np.array([found[k] for k in self.keys.tolist()], np.int64)
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.keys * _ODD) >> np.uint64(44)] = True
+        self.widest = min(c.width, COMMIT_AT)
+        self.length = np.array([len(n) for n in c.names])
+        self.built = np.zeros(self.size, bool)
+        self.built[list(c.built)] = True
+        self.n_ids = np.array([len(x) for x in c.out])
+        self.ids = np.fromiter(chain.from_iterable(c.out), np.int32)
+        self.first_id = np.cumsum(self.n_ids) - self.n_ids
+        raw = [bytes([c.v.byte_of[i]]) if i in c.v.byte_of else (t or "").encode("utf-8", "surrogatepass") for i, t in enumerate(c.text_of)]
+        self.n_raw = np.array([len(x) for x in raw])
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.first_raw = np.cumsum(self.n_raw) - self.n_raw
+
+    def _kept(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether the merges keep the seam of each pair of pieces."""
+        key = left << 24 | right
+        at = np.searchsorted(self.seam_keys, key)
+        new = np.ones(len(key), bool)
+        inside = at < len(self.seam_keys)
+        new[inside] = self.seam_keys[at[inside]] != key[inside]
+        if new.any():
+            fresh = np.unique(key[new])
+            kept = np.array([self.codec.holds(k >> 24, k & 0xFFFFFF) for k in fresh.tolist()], bool)
+            if len(self.seam_keys) + len(fresh) > SEAMS:
+                known = np.isin(self.seam_keys, key)  # those in use stay
+                self.seam_keys, self.seam_kept = self.seam_keys[known], self.seam_kept[known]
+            to = np.searchsorted(self.seam_keys, fresh)
+            self.seam_keys, self.seam_kept = np.insert(self.seam_keys, to, fresh), np.insert(self.seam_kept, to, kept)
+            at = np.searchsorted(self.seam_keys, key)
+        return self.seam_kept[at]
+
+    def _last(self, points: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """last[i, m]: the piece that ends at character m of word i; and the words that got stuck."""
+        n, width = points.shape
+        h = np.zeros((width + 1, n), np.uint64)
+        for j in range(width):
+            h[j + 1] = h[j] * _BASE + points[:, j]
+        last, stuck = np.zeros((width + 1, n), np.int64), np.zeros(n, bool)
+        for m in range(1, width + 1):
+            left = np.flatnonzero(length >= m)
+            for k in range(min(m, self.widest), 0, -1):
+                number = h[m, left] - h[m - k, left] * self.powers[k]
+                maybe = np.flatnonzero(self.seen[(number * _ODD) >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(self.keys, number[maybe]), len(self.keys) - 1)
+                there = self.keys[at] == number[maybe]
+                maybe, piece = maybe[there], self.of[at[there]]
+                if not len(maybe):
+                    continue
+                if m == k:
+                    good = self.built[piece] if k > 1 else np.ones(len(piece), bool)
+                else:
+                    good = self._kept(last[m - k, left[maybe]], piece)
+                last[m, left[maybe[good]]] = piece[good]
+                left = np.delete(left, maybe[good])
+                if not len(left):
+                    break
+            stuck[left] = True
+            length = np.where(stuck, 0, length)
+        return last.T, stuck
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many of each word, whether they decode to it) of words that begin with SPACE or nothing."""
+        c, n = self.codec, len(words)
+        for x in set("".join(words)).difference(c.number):
+            c._char(x)
+        self._tables()
+        size = np.fromiter(map(len, words), np.int64, n)
+        count, parts = np.zeros(n, np.int64), []  # parts: word, place in its ids, id
+        low = 0
+        for width in WIDTHS:
+            own = np.flatnonzero((size > low) & (size <= width))
+            low = width
+            if not len(own):
+                continue
+            points = np.array([words[i] for i in own.tolist()], f"<U{width}").view(np.uint32).reshape(len(own), width).astype(np.uint64)
+            last, stuck = self._last(points, size[own])
+            at, back = np.where(stuck, 0, size[own]), []
+            while len(going := np.flatnonzero(at)):
+                piece = last[going, at[going]]
+                back.append((going, piece))
+                at[going] -= self.length[piece]
+            steps = np.zeros(len(own), np.int64)
+            for going, _ in back:
+                steps[going] += 1
+            ends = np.cumsum(steps)
+            path = np.empty(int(ends[-1]), np.int64)
+            for k, (going, piece) in enumerate(back):
+                path[ends[going] - 1 - k] = piece
+            each = self.n_ids[path]
+            upto = np.concatenate([[0], np.cumsum(each)])
+            count[own] = upto[ends] - upto[ends - steps]
+            parts.append((own, _picked(self.ids, self.first_id[path], each)))
+            if stuck.any():
+                size[own[stuck]] = COMMIT_AT + 1  # left to the stream
+        alone = [c.stream(words[i]) for i in np.flatnonzero(size > COMMIT_AT).tolist()]
+        if alone:
+            own = np.flatnonzero(size > COMMIT_AT)
+            count[own] = [len(x) for x in alone]
+            parts.append((own, np.fromiter(chain.from_iterable(alone), np.int32)))
+        starts = np.cumsum(count) - count
+        ids = np.empty(int(count.sum()), np.int32)
+        for own, found in parts:
+            own = own[count[own] > 0] if not alone or own is not parts[-1][0] else own
+            held = count[own]
+            ids[np.repeat(starts[own] - (np.cumsum(held) - held), held) + np.arange(len(found))] = found
+        return ids, count, self._same(words, ids, starts, count)
+
+    def _same(self, words: list[str], ids: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+        want = [w.replace(SPACE, " ").encode("utf-8", "surrogatepass") for w in words]
+        upto = np.concatenate([[0], np.cumsum(self.n_raw[ids])])
+        size = upto[starts + count] - upto[starts]
+        same = size == np.fromiter(map(len, want), np.int64, len(want))
+        made = _picked(self.raw, self.first_raw[ids], self.n_raw[ids])
+        if same.all():
+            wrong = np.concatenate([[0], np.cumsum(made != np.frombuffer(b"".join(want), np.uint8))])
+            return wrong[upto[starts + count]] == wrong[upto[starts]]
+        return np.array([made[upto[a] : upto[a + n]].tobytes() == w for a, n, w in zip(starts.tolist(), count.tolist(), want, strict=True)])
+
+
+def _plain(together: Together, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """Ids of texts, none of them empty, in which a blank only stands alone and between words; and whether they decode to the text.
+
+    A text is cut at blanks and line ends over the bytes of all texts at once. A word is encoded with the blank in front of it, once for all the places where it
+    stands; ids are put together by position. Every word decodes by itself, so a text does if its words do.
+    """
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    blank = (data == 32) | (data == 10)
+    cut = np.flatnonzero(blank)
+    of = np.searchsorted(offsets, cut, "right") - 1
+    seen = np.searchsorted(cut, offsets)
+    first = np.arange(n) + seen[:-1]  # the first word of each text, and the last
+    last = first + np.diff(seen)
+    at = np.arange(len(cut)) + of  # the word that a cut ends
+    starts, ends, line = np.empty(n + len(cut), np.int64), np.empty(n + len(cut), np.int64), np.zeros(n + len(cut), bool)
+    starts[first], starts[at + 1], ends[at], ends[last] = offsets[:-1], cut + 1, cut, offsets[1:]
+    line[at + 1] = data[cut] == 10
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[~blank])).dictionary_encode()
+    key = words.indices.to_numpy().astype(np.int64) * 2 + line
+    there = np.zeros(2 * len(words.dictionary), bool)
+    there[key] = True
+    part, names = (np.cumsum(there) - 1)[key], words.dictionary.to_pylist()
+    ids, sizes, same = together([names[k >> 1] if k & 1 else SPACE + names[k >> 1] for k in np.flatnonzero(there).tolist()])
+    # A line end in front of a word is one more part, with ids of its own.
+    end_ids = np.array(together.codec.bare["\n"], np.int32)
+    pool = np.concatenate([ids, end_ids])
+    parts = np.arange(len(part)) + np.cumsum(line)  # where the words go when line ends are among them
+    begins, counts = np.full(int(parts[-1]) + 1, len(ids)), np.full(int(parts[-1]) + 1, len(end_ids))
+    begins[parts], counts[parts] = (np.cumsum(sizes) - sizes)[part], sizes[part]
+    upto = np.cumsum(counts)[parts[last]]
+    ok = np.logical_and.reduceat(same[part], first)
+    if together.codec.decode(end_ids.tolist()) != "\n":
+        ok &= ~np.logical_or.reduceat(line, first)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), pa.array(_picked(pool, begins, counts))), ok
+
+
+def encode_all(together: Together, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """Ids of each text (null: none) and whether they decode to it."""
+    texts = pc.fill_null(texts, "")
+    odd = pc.or_(pc.or_(pc.equal(texts, ""), pc.starts_with(texts, " ")), pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)))
+    odd = odd.to_numpy(zero_copy_only=False)
+    plain = np.flatnonzero(~odd)
+    lists, same = _plain(together, texts.take(pa.array(plain))) if len(plain) else (pa.array([], pa.list_(pa.int32())), np.empty(0, bool))
+    if len(plain) == len(texts):
+        return lists, same
+    codec, flat, ends, more = together.codec, array("i"), array("i", [0]), []
+    for t in texts.take(pa.array(np.flatnonzero(odd))).to_pylist():
+        ids = codec.encode(t)
+        flat.extend(ids)
+        ends.append(len(flat))
+        more.append(codec.decode(ids) == t)
+    both = pa.concat_arrays([lists, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))])
+    order = np.empty(len(texts), np.int64)
+    order[np.concatenate([plain, np.flatnonzero(odd)])] = np.arange(len(texts))
+    return both.take(pa.array(order)), np.concatenate([same, np.array(more, bool)])[order]
+
+
 def encode(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_ids, ids and whether they decode to the very text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
 
     def run(batches):
-        codec = Codec(shared.value)
-        for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, len(b), ROWS_AT_ONCE)):
-            flat, ends, same = array("i"), array("i", [0]), []
-            for t in batch.column("text").to_pylist():
-                ids = codec.encode(t)
-                flat.extend(ids)
-                ends.append(len(flat))
-                same.append(codec.decode(ids) == t)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            n = pa.array([b - a for a, b in zip(ends, ends[1:], strict=False)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, lists, pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
+        together = Together(Codec(shared.value))
+        for batch in batches:
+            for part in slices(batch, "text", AT_ONCE):
+                ids, same = encode_all(together, part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.cast(pc.list_value_length(ids), pa.int64()), ids, pa.array(same)], ["doc_id", "n_ids", "ids", "round_trip"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_ids long, ids array<int>, round_trip boolean")

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import pieces, pii, registry, sharding, templates, toxicity, urls, warc
 
@@ -97,6 +98,24 @@ def codec():
     return pieces.Codec(pieces.vocabulary())
 
 
+def test_sentencepiece_texts_at_once_equal_the_models(spark, sf_dir):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    r = random.Random(9)
+    texts = [None, "", " ", "a", "a ", "a\n", "\n", "\n\nb c\n d", "x  y", " lead", "▁", "a▁b", "日本語 🙂\nünï\tTab", "\u3000 \u00a0", "e\u0301", "a" * 700 + " b", "\x00 \x01"]
+    texts += ["".join(r.choices("ab é\n🙂1.", k=r.randrange(30))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    by_text = {r.text or "" for r in df.collect()}
+    got = df.join(pieces.encode(df.select(F.coalesce("text", F.lit("")).alias("doc_id"), "text")).withColumnRenamed("doc_id", "said").distinct(), F.coalesce("text", F.lit("")) == F.col("said"))
+    rows = {x.said: x for x in got.select("said", "ids", "n_ids", "round_trip").distinct().collect()}
+    assert set(rows) == by_text
+    for t, x in rows.items():
+        want = sp.encode(t)
+        assert x.ids == want and x.n_ids == len(want), t[:80]
+        assert x.round_trip == ("▁" not in t), t[:80]
+
+
 def test_sentencepiece_ids_equal_the_models(spark, sf_dir, codec):
     import sentencepiece
 
