@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators.order import running
+from folio.session import saved
 
 
 def bayesian(titles: DataFrame, prior: int) -> DataFrame:
@@ -40,7 +41,7 @@ def breakout(rows: DataFrame, rungs: list[list[str]], least: int, confidence: in
     For each locale key of a row (the column ``locale``) the first rung whose stratum has ``least`` members
     scores the row; rungs are lists of columns, finest first. love is damped by v/(v + confidence).
     """
-    base = rows.withColumn("_reach", F.log10("votes")).withColumn("_row", F.struct("id", "locale"))
+    base = saved(rows.withColumn("_reach", F.log10("votes")))
     scored = None
     for level, keys in enumerate(rungs):
         z = robust_z(base, keys, {"_zr": "_reach", "_zl": "rating"}, least).select("id", "locale", "votes", F.lit(level).alias("_level"), "_zr", "_zl")
@@ -85,8 +86,7 @@ def impute(reference: DataFrame, targets: DataFrame) -> DataFrame:
     refs = reference.groupBy("popularity").agg(F.count("*").alias("c")).select("popularity", "c", F.lit(1).alias("ref"))
     asked = targets.select("popularity").distinct().select("popularity", F.lit(0).cast("long").alias("c"), F.lit(0).alias("ref"))
     low = running(refs.unionByName(asked), "popularity", F.col("c"), "lo", "ref").filter("ref = 0").select("popularity", "lo")
-    n = reference.agg(F.count("*").alias("n"))
-    at = low.crossJoin(F.broadcast(n)).select("popularity", F.least("lo", F.col("n") - 1).alias("at"))
+    at = saved(low.select("popularity", F.least("lo", F.lit(reference.count() - 1)).alias("at")))
     votes = reference.groupBy("votes").agg(F.count("*").alias("c"))
     starts = running(votes, "votes", F.col("c"), "upto").select((F.col("upto") - F.col("c")).alias("at"), "votes", F.lit(0).alias("asked"))
     places = starts.unionByName(at.select("at").distinct().select("at", F.lit(None).cast("long").alias("votes"), F.lit(1).alias("asked")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.operators import catalogue, rank
 from folio.plans.browse import PRIOR, RANKED, TITLES
-from folio.session import table
+from folio.session import saved, table
 
 LEAST, CONFIDENCE = 30, 50
 LOCALE = """loc AS (SELECT DISTINCT l_partkey AS id, s_nationkey AS locale FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 40)"""
@@ -34,8 +34,8 @@ def _cutoffs(scores, column, p):
 
 def breakout_shelf(spark, sf_dir):
     """Titles beyond both percentiles, in a band of votes, outside the ranked head."""
-    scores = _breakout(spark, sf_dir)
-    head = rank.bayesian(catalogue.titles(spark, sf_dir), PRIOR)
+    scores = saved(_breakout(spark, sf_dir))
+    head = saved(rank.bayesian(catalogue.titles(spark, sf_dir), PRIOR).select("id", "votes", "rank"))
     limits = _cutoffs(scores, "reach", 0.6).withColumnRenamed("cutoff", "_r").join(_cutoffs(scores, "love", 0.5).withColumnRenamed("cutoff", "_l"), F.lit(True), "inner").join(rank.head_cutoff(head, "rank", 100).withColumnRenamed("cutoff", "_h"), F.lit(True), "inner")
     rows = scores.join(head, "id").join(F.broadcast(limits), F.lit(True), "inner")
     return rows.filter("reach >= _r AND love >= _l AND votes BETWEEN 20 AND 60 AND rank < _h").select("id", "reach", "love", "votes", "rank")
@@ -57,7 +57,7 @@ def rank_head_cutoff(spark, sf_dir):
 
 def quantile_impute(spark, sf_dir):
     """Votes of recent titles at the popularity quantile of settled ones, kept if higher."""
-    titles = catalogue.titles(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("popularity")), "id")
+    titles = saved(catalogue.titles(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("popularity")), "id").select("id", "year", "votes", "popularity"))
     reference = titles.filter("year <= 1995 AND votes > 0").select("popularity", "votes")
     targets = titles.filter("year > 1995").select("id", "popularity", "votes")
     return rank.impute(reference, targets).join(targets, "id").filter("imputed > votes").select("id", "votes", "imputed")

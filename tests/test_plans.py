@@ -41,3 +41,10 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
     want = want.fetchall()
     assert want, "a query without rows proves nothing"
     assert _rows(got.columns, [tuple(r) for r in got.collect()]) == _rows(columns, want)
+
+
+@pytest.mark.parametrize("name", ["quantile_impute", "breakout_shelf", "percentile_cutoff"])
+def test_running_sums_read_their_rows_once(spark, sf_dir, name):
+    """Each running sum reads a written table; nested ones don't multiply the scans of a plan."""
+    plan = plans.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") + plan.count("Scan parquet") <= 24
