@@ -68,3 +68,8 @@ def capped_distance(a: Column, b: Column, cap: int = 3) -> Column:
     """Levenshtein distance; cap + 1 for all beyond the cap."""
     d = F.levenshtein(a, b, cap)
     return F.when(d < 0, cap + 1).otherwise(d)
+
+
+def ids_in(text: Column) -> Column:
+    """The ids of titles (tt) and people (nm) that a text names, in the order of their first mention; not those within a longer word."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?<![A-Za-z0-9])((?:tt|nm)[0-9]+)(?![A-Za-z0-9])"), F.lit(1)))

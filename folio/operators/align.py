@@ -1,51 +1,109 @@
-"""Aligning two numberings of one series: anchors by unique title keys, then stretches of equal length by position."""
+"""Aligning two numberings of one series.
+
+Titles are compared by several keys each (``keys.title_keys``). A key that one unit of either side has alone is an anchor; anchors are taken in the order
+of ours while they ascend in theirs. Between two anchors, and at the ends, stretches of equal length are filled by position and others are
+left open. A season without anchors whose length both sides agree about keeps its own numbers. Parts of one episode that follow each other
+are one unit where theirs has fewer titles with that beginning than we have parts.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from folio.functions import keys as K
+
+PART = r"(?i)[\s,:\-]*\(?(?:part|pt\.?)?\s*(?:[0-9]+|i{1,3}|iv|v)\)?\s*$"
+
+
+def units(seasons: Sequence[int], bases: Sequence[str | None], titles: Sequence[str]) -> list[list[int]]:
+    """Positions of ours that stand for one episode: each for itself, or a run of parts (``bases``: the title without its part; null if it has none)."""
+    ordered, out, i = sorted(titles), [], 0
+    while i < len(seasons):
+        j = i + 1
+        while bases[i] and j < len(seasons) and seasons[j] == seasons[i] and bases[j] == bases[i]:
+            j += 1
+        if j - i > 1 and bisect_left(ordered, bases[i] + chr(0x10FFFF)) - bisect_left(ordered, bases[i]) < j - i:
+            out.append(list(range(i, j)))
+        else:
+            out += [[k] for k in range(i, j)]
+        i = j
+    return out
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Positions whose key is unique on both sides, as the longest run that ascends on both."""
-    once_a, once_b = Counter(a), Counter(b)
-    place = {k: j for j, k in enumerate(b) if once_b[k] == 1}
-    pairs = [(i, place[k]) for i, k in enumerate(a) if k and once_a[k] == 1 and k in place]
-    best: list[int] = []  # length of the longest ascending run that ends in each pair
-    back: list[int] = []
-    for x, (_, j) in enumerate(pairs):
-        found = max(((best[y], y) for y in range(x) if pairs[y][1] < j), default=(0, -1))
-        best.append(found[0] + 1)
-        back.append(found[1])
-    out, at = [], max(range(len(pairs)), key=best.__getitem__, default=-1)
-    while at >= 0:
-        out.append(pairs[at])
-        at = back[at]
-    return out[::-1]
-
-
-def aligned(a: list[str], b: list[str]) -> list[int | None]:
-    """For each of a, its place in b: anchors, then what lies between two of them where both sides have as many."""
-    out: list[int | None] = [None] * len(a)
-    fixed = [(-1, -1), *anchors(a, b), (len(a), len(b))]
-    for (i, j), (i2, j2) in zip(fixed, fixed[1:]):  # noqa: B905
-        if i >= 0:
-            out[i] = j
+
+def anchors(ours: Sequence[Sequence[str]], theirs: Sequence[Sequence[str]]) -> tuple[list[tuple[int, int]], set[int]]:
+    """(unit, place) by keys that are unique on both sides, ascending; and the units that had such a key at all."""
+    count, other = Counter(k for u in ours for k in u), Counter(k for t in theirs for k in t)
+    place = {k: j for j, t in enumerate(theirs) for k in t if other[k] == 1}
+    out, known, last = [], set(), -1
+    for i, u in enumerate(ours):
+        at = next((place[k] for k in u if count[k] == 1 and k in place), None)
+        if at is None:
+            continue
+        known.add(i)
+        if at > last:
+            out.append((i, at))
+            last = at
+    return out, known
+
+
+def aligned(ours: list[tuple], theirs: list[tuple]) -> list[tuple[int | None, int, int]]:
+    """For each of ours, its place in theirs (or None), and which part of how many of it. Both are sorted rows (season, number, own, joint, base, fold)."""
+    seasons = [x[0] for x in ours]
+    group = units(seasons, [x[4] for x in ours], [y[5] for y in theirs])
+    fixed, known = anchors([ours[u[0]][2 if len(u) == 1 else 3] for u in group], [y[2] for y in theirs])
+    found: list[int | None] = [None] * len(group)
+    for (i, j), (i2, j2) in zip([(-1, -1), *fixed], [*fixed, (len(group), len(theirs))], strict=True):
         if i2 - i == j2 - j:
-            for k in range(1, i2 - i):
-                out[i + k] = j + k
+            found[i + 1 : i2] = range(j + 1, j2)
+        if i2 < len(group):
+            found[i2] = j2
+    at: list[int | None] = [None] * len(ours)
+    for u, j in zip(group, found, strict=True):
+        for k in u:
+            at[k] = j
+    anchored = {seasons[group[i][0]] for i in known}
+    mine, other = dict(x[:2] for x in ours), dict(y[:2] for y in theirs)  # the last number of a season is its largest
+    naive = {y[:2]: j for j, y in enumerate(theirs)}
+    for k, x in enumerate(ours):
+        if at[k] is None and x[0] not in anchored and mine[x[0]] == other.get(x[0]):
+            at[k] = naive.get(x[:2])
+    total, seen, out = Counter(j for j in at if j is not None), Counter(), []
+    for j in at:
+        seen[j] += 1
+        out.append((j, seen[j], total[j]) if j is not None else (None, 1, 1))
     return out
 
 
+def _prepared(rows: DataFrame) -> DataFrame:
+    """(series, season, number, own, joint, base, fold): keys of the title, keys without its part, the folded title without its part if it has one."""
+    title: Column = F.coalesce("title", F.lit(""))
+    whole = F.regexp_replace(title, PART, "")
+    return rows.select("series", "season", "number", K.title_keys(title).alias("own"), K.title_keys(whole).alias("joint"), F.when(whole != title, K.episode_title(whole)).alias("base"), K.episode_title(title).alias("fold"))
+
+
 def align(mine: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(series, number, other) from two tables (series, number, key): a series is one group, which its episodes bound."""
+    """(series, season, number, other_season, other_number, part, parts) from two tables (series, season, number, title).
+
+    A series is one group, which its episodes bound; an episode that nothing places has nulls, and one of theirs that covers several of ours numbers them as parts.
+    """
+
+    def rows(table: pa.Table) -> list[tuple]:
+        columns = (table.column(c).to_pylist() for c in ("season", "number", "own", "joint", "base", "fold"))
+        return sorted(zip(*columns, strict=True), key=lambda r: r[:2])
 
-    def run(key, x, y):
-        x, y = x.sort_values("number"), y.sort_values("number")
-        at = aligned(x["key"].tolist(), y["key"].tolist())
-        other = y["number"].tolist()
-        return pd.DataFrame({"series": key[0], "number": x["number"].to_numpy(), "other": pd.array([None if k is None else other[k] for k in at], "Int32")})
+    def run(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        ours, theirs = rows(x), rows(y)
+        at = aligned(ours, theirs)
+        out = [(key[0].as_py(), *o[:2], *(theirs[j][:2] if j is not None else (None, None)), p, n) for o, (j, p, n) in zip(ours, at, strict=True)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, [key[0].type, *[pa.int32()] * 6], strict=True)], names=["series", "season", "number", "other_season", "other_number", "part", "parts"])
 
-    return mine.groupBy("series").cogroup(theirs.groupBy("series")).applyInPandas(run, "series long, number int, other int")
+    kinds = dict(mine.dtypes)
+    schema = f"series {kinds['series']}, season int, number int, other_season int, other_number int, part int, parts int"
+    cast = lambda d: _prepared(d.withColumns({"season": F.col("season").cast("int"), "number": F.col("number").cast("int")}))
+    return cast(mine).groupBy("series").cogroup(cast(theirs).groupBy("series")).applyInArrow(run, schema)

@@ -63,3 +63,41 @@ def anchored_windows(rows: DataFrame, key: str, at: str, tie: str, width: int, a
 def min_gap(rows: DataFrame, key: str, at: str, tie: str, gap: int) -> DataFrame:
     """(key, tie, at): the first event of each key and every later one at least ``gap`` after the one taken before."""
     return _folded(rows, key, at, tie, Gap(gap), "taken boolean", "taken").filter(F.col("taken")).select(key, tie, at)
+
+
+def bounded_totals(rows: DataFrame, key: str, at: str, tie: str, session: str, amount: str, most: int) -> DataFrame:
+    """(key, session, total, started, last, evicted): the sessions that each key still tracks at its end, and how many it let go.
+
+    A key tracks ``most`` sessions; a further one takes the place of the one that was charged longest ago (of equals the first that came), whose total is lost.
+    """
+    kinds = dict(rows.dtypes)
+    columns = [key, session, "total", "started", "last", "evicted"]
+
+    def run(batches):
+        now, tracked, evicted = object(), {}, 0  # session -> [total, started, last], in the order in which they came
+
+        def out() -> pa.RecordBatch:
+            found = [(now, s, *x, evicted) for s, x in tracked.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=columns)
+
+        types = None
+        for b in batches:
+            types = [b.column(key).type, b.column(session).type, pa.int64(), b.column(at).type, b.column(at).type, pa.int64()]
+            for k, t, s, n in zip(*(b.column(c).to_pylist() for c in (key, at, session, amount)), strict=True):
+                if k != now:
+                    if tracked:
+                        yield out()
+                    now, tracked, evicted = k, {}, 0
+                found = tracked.get(s)
+                if found is None:
+                    if len(tracked) >= most:
+                        del tracked[min(tracked, key=lambda x: tracked[x][2])]
+                        evicted += 1
+                    found = tracked[s] = [0, t, t]
+                found[0] += n or 0
+                found[2] = t
+        if tracked:
+            yield out()
+
+    placed = rows.filter(F.col(at).isNotNull()).select(key, at, tie, session, amount).repartition(key).sortWithinPartitions(key, at, tie)
+    return placed.mapInArrow(run, f"{key} {kinds[key]}, {session} {kinds[session]}, total long, started {kinds[at]}, last {kinds[at]}, evicted long")

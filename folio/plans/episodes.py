@@ -98,11 +98,12 @@ def episode_build(spark, sf_dir):
 
 
 def episode_align(spark, sf_dir):
-    """Numbers of one edition in another, which lacks what was returned and has its own order within a day."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("series"), F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("string")).alias("key"), *ORDER, "l_returnflag")
-    number = lambda *order: F.row_number().over(Window.partitionBy("series").orderBy(*order)).alias("number")
-    mine = rows.select("series", "key", number(*ORDER))
-    theirs = rows.filter("l_returnflag <> 'R'").select("series", "key", number(F.to_date("l_shipdate"), "l_suppkey", "l_orderkey", "l_linenumber"))
+    """Numbers of one edition in another, which lacks what was returned and has its own order within a year."""
+    letters = lambda c: F.translate(F.col(c).cast("long").cast("string"), "0123456789", "abcdefghij")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("series"), F.year("l_shipdate").alias("season"), F.concat_ws(" ", letters("l_suppkey"), letters("l_quantity")).alias("title"), *ORDER, "l_returnflag")
+    number = lambda *order: F.row_number().over(Window.partitionBy("series", "season").orderBy(*order)).alias("number")
+    mine = rows.select("series", "season", "title", number(*ORDER))
+    theirs = rows.filter("l_returnflag <> 'R'").select("series", "season", "title", number(F.to_date("l_shipdate"), "l_suppkey", "l_orderkey", "l_linenumber"))
     return A.align(mine, theirs)
 
 

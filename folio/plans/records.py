@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
 from folio.operators import state
 from folio.plans.logs import _events
 from folio.session import table
@@ -209,6 +210,12 @@ def sliced_ring(spark, sf_dir):
     return per.withColumn("back", back).filter("back <= 240").drop("back")
 
 
+def session_totals(spark, sf_dir):
+    """T5: totals of the sessions (users) that each meter (type) still tracks, when it tracks eight and the one that was idle longest makes room."""
+    rows = _events(spark, sf_dir).filter("value > 0").select("event_type", "sec", "event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("charge"))
+    return state.bounded_totals(rows, "event_type", "sec", "event_id", "user_id", "charge", most=8)
+
+
 def meter_verdict(spark, sf_dir):
     """What a user used over a window, and whether it is allowed, slowed (by how much) or refused."""
     budget, most = 20.0, 4
@@ -228,9 +235,15 @@ def import_planning(spark, sf_dir):
 
 
 def mentions(spark, sf_dir):
-    """Words marked as names in documents, distinct, the first sixty of each, with their number."""
-    found = F.slice(F.array_distinct(F.expr(r"regexp_extract_all(coalesce(text, ''), '([A-Z][a-z]{5,})\\b', 1)")), 1, 60)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n"), F.array_join(F.slice(found, 1, 3), ",").alias("head"))
+    """Titles and people that an answer names by id, the first sixty of each answer; ids that nothing has stay plain text."""
+    line = F.concat(F.lit("As tt"), "l_partkey", F.lit(" (nm"), "l_suppkey", F.lit(") and xtt1, tt2y, nm, tt"), F.col("l_partkey") + 10_000_000, F.lit(" say."))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda x: x.line), " ")
+    answers = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(said.alias("text"))
+    named = answers.select("l_orderkey", F.posexplode(F.slice(T.ids_in(F.col("text")), 1, 60)).alias("place", "id"))
+    number = F.substring("id", 3, 20).cast("long")
+    titles = table(spark, sf_dir, "part").select(F.concat(F.lit("tt"), "p_partkey").alias("id"), F.lit("title").alias("kind"), F.col("p_name").alias("label"))
+    people = table(spark, sf_dir, "supplier").select(F.concat(F.lit("nm"), "s_suppkey").alias("id"), F.lit("person").alias("kind"), F.col("s_name").alias("label"))
+    return named.join(titles.unionByName(people), "id").select("l_orderkey", "kind", number.alias("number"), "label")
 
 
 def record_linkage(spark, sf_dir):
@@ -300,7 +313,9 @@ QUERIES = {
       SELECT user_id, start, used, verdict, CASE WHEN verdict = 'slow' THEN round(least(2.0, 2.0 * (used - 20) / 60), 4) ELSE 0.0 END AS delay FROM v"""),
     "import_planning": (import_planning, """SELECT o_orderkey, CASE WHEN o_custkey IS NULL THEN 'no id' WHEN o_orderpriority = '5-LOW' THEN 'excluded' WHEN o_custkey IN (SELECT user_id FROM events WHERE event_type = 'signup') THEN 'already linked'
       WHEN row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) > 1 THEN 'duplicate' ELSE 'create' END AS plan FROM orders"""),
-    "mentions": (mentions, None),
+    "mentions": (mentions, """SELECT DISTINCT l_orderkey, 'title' AS kind, l_partkey AS number, p_name AS label FROM lineitem JOIN part ON p_partkey = l_partkey
+      UNION ALL SELECT DISTINCT l_orderkey, 'person', l_suppkey, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey"""),
+    "session_totals": (session_totals, None),
     "record_linkage": (record_linkage, """WITH m AS (SELECT p_name, min(p_partkey) AS id, min(p_size) AS year FROM part WHERE p_type = 'PROMO' GROUP BY 1), t AS (SELECT p_name AS q_name, min(p_partkey) AS other, min(p_size) AS y FROM part WHERE p_type = 'LARGE' GROUP BY 1),
       s AS (SELECT *, round((1 - levenshtein(p_name, q_name) / greatest(length(p_name), length(q_name))) * CASE WHEN p_name = q_name THEN 1.0 ELSE 0.25 END * greatest(0, 1 - 0.4 * abs(year - y)), 6) AS score FROM m JOIN t ON split_part(p_name, ' ', 1) = split_part(q_name, ' ', 1))
       SELECT id, other, score FROM s WHERE (score >= 0.175 OR p_name = q_name) AND (abs(year - y) <= 1 OR p_name = q_name) QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) = 1"""),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import queries as Q
-from folio.operators import align, order, search
+from folio.operators import order, search
 from folio.sources import files, tables
 
 
@@ -113,14 +113,6 @@ def test_the_ladder_stops_where_hits_are_strong(spark):
     assert got[4][0][2] == 4 and {i for _, i, _ in got[4]} >= {3} and 5 not in got
 
 
-def test_alignment_anchors_and_fills():
-    assert align.aligned(list("abcde"), list("abcde")) == [0, 1, 2, 3, 4]
-    assert align.aligned(["a", "x", "y", "d"], ["a", "p", "q", "d"]) == [0, 1, 2, 3]
-    assert align.aligned(["a", "x", "d"], ["a", "p", "q", "d"]) == [0, None, 3]
-    assert align.aligned(["b", "a", "c"], ["a", "b", "c"])[2] == 2
-    assert align.aligned([], ["a"]) == []
-
-
 def test_cube_answers_equal_live_counts(spark, sf_dir):
     from folio.operators import browse, catalogue, rank
 
