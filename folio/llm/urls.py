@@ -4,6 +4,10 @@ FP-growth mines the token combinations of labelled urls together with their labe
 that pass the support, confidence and lift bounds are matched through an inverted index
 from token to rule. A url that a fixed rule decides is a label of its verdict, without the
 tokens of that rule's own host, so that what is learnt holds for other hosts. More labels may be given.
+
+Labels have sources: the fixed rule that made them, or one of ``FOLDS`` parts of the labels given, by hash of the url. A mined rule must
+reach the confidence in every source that has ``EACH`` rows of its tokens or more, and in two sources at least. So what merely echoes one fixed rule (pages of
+one language are blocked because one domain is) is no rule. Of rules that say the same the longer goes if the shorter is as confident.
 DataFrame functions only. Urls with equal tokens are matched once, so that a host or url that fills
 a third of the table costs no more than any other.
 
@@ -28,6 +32,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): the fixed rules of the registered query.
 FIXED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MIN_ROWS = 0.002, 0.8, 1.05, 20
+#: Rows by which a source counts for a rule; parts of the labels given.
+EACH, FOLDS = 5, 4
 
 
 def host_path(url: str) -> tuple[Column, Column]:
@@ -59,7 +65,7 @@ def tokens() -> Column:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Rules (rule, tokens, verdict, confidence, support) from rows (items: array, bad: boolean).
+    """Rules (rule, tokens, verdict, confidence, support) from rows (items: array, bad: boolean, source).
 
     The support bound is min_support of the rows, and min_rows of them at least.
     """
@@ -74,7 +80,28 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     clean = ~F.exists("antecedent", lambda x: x.startswith("label:"))
     kept = found.filter(is_label & clean & (F.col("lift") >= min_lift))
     toks = F.array_sort("antecedent")
-    return kept.select(F.array_join(toks, "+").alias("rule"), toks.alias("tokens"), F.expr("substring(consequent[0], 7)").alias("verdict"), "confidence", "support")
+    rules = written(kept.select(F.array_join(toks, "+").alias("rule"), toks.alias("tokens"), F.expr("substring(consequent[0], 7)").alias("verdict"), "confidence", "support"))
+    return shortest(rules.join(small(backed(labelled, rules, min_confidence)), "rule", "left_semi"))
+
+
+def backed(labelled: DataFrame, rules: DataFrame, min_confidence: float) -> DataFrame:
+    """(rule) of rules that hold in each of their sources, two at least."""
+    rows = labelled.groupBy("items", "bad", "source").agg(F.count("*").alias("n"))
+    index = small(rules.select(F.explode("tokens").alias("token"), F.size("tokens").alias("need"), "rule", "verdict"))
+    sets = rows.select("items").distinct()
+    hits = sets.select("items", F.explode("items").alias("token")).join(index, "token").groupBy("items", "rule", "verdict", "need").agg(F.count("*").alias("held")).filter("held = need")
+    right = F.sum(F.when(F.col("bad") == (F.col("verdict") == "block"), F.col("n")).otherwise(0))
+    each = hits.join(rows, "items").groupBy("rule", "source").agg(F.sum("n").alias("n"), right.alias("right")).filter(F.col("n") >= EACH)
+    return each.groupBy("rule").agg(F.count("*").alias("sources"), F.min(F.col("right") / F.col("n")).alias("least")).filter((F.col("sources") >= 2) & (F.col("least") >= min_confidence)).select("rule")
+
+
+def shortest(rules: DataFrame) -> DataFrame:
+    """rules without those that say no more than one with fewer of their tokens."""
+    token = rules.select("rule", "verdict", F.size("tokens").alias("size"), "confidence", F.explode("tokens").alias("token"))
+    less = token.select("token", "verdict", F.col("rule").alias("less"), F.col("size").alias("need"), F.col("confidence").alias("as_sure"))
+    both = token.join(less, ["token", "verdict"]).filter((F.col("need") < F.col("size")) & (F.col("as_sure") >= F.col("confidence") - 1e-9))
+    spare = both.groupBy("rule", "less", "need").agg(F.count("*").alias("held")).filter("held = need").select("rule").distinct()
+    return rules.join(spare, "rule", "left_anti")
 
 
 def match(found: DataFrame, rules: DataFrame) -> DataFrame:
@@ -86,20 +113,38 @@ def match(found: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def training(base: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(items, bad): rows that a fixed rule decides, without the tokens of its host, and rows of the labels."""
+    """(items, bad, source, host): rows that a fixed rule decides, without the tokens of its host, and rows of the labels."""
     own = F.col("_f.own")
     theirs = lambda x: (x.startswith("host:") & F.array_contains(F.split(own, r"\."), F.substring(x, 6, 255))) | (x.startswith("site:") & x.endswith(own))
-    rows = base.filter("_f IS NOT NULL").select(F.filter("items", lambda x: ~theirs(x)).alias("items"), (F.col("_f.verdict") == "block").alias("bad"))
+    rows = base.filter("_f IS NOT NULL").select(F.filter("items", lambda x: ~theirs(x)).alias("items"), (F.col("_f.verdict") == "block").alias("bad"), F.col("_f.rule").alias("source"), "host")
     if labels is not None:
         truth = labels.select("page_id", "bad").filter("bad IS NOT NULL AND page_id IS NOT NULL").groupBy("page_id").agg(F.bool_or("bad").alias("bad"))
-        rows = rows.union(base.join(truth, "page_id").select("items", "bad"))
+        fold = F.concat(F.lit("labels "), F.pmod(F.xxhash64("host", "path"), F.lit(FOLDS)).cast("string"))
+        rows = rows.union(base.join(truth, "page_id").filter("items IS NOT NULL").select("items", "bad", fold, "host"))
     return rows
 
 
+def _based(pages: DataFrame, fixed: Sequence[tuple[str, str, str]], page_id: str, url: str) -> DataFrame:
+    host, path = host_path(url)
+    base = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
+    return base.withColumn("items", F.when(F.col("host") != "", tokens())).withColumn("_f", fixed_rule(fixed))
+
+
+def held_out(pages: DataFrame, labels: DataFrame | None = None, fixed: Sequence[tuple[str, str, str]] = FIXED, page_id: str = "page_id", url: str = "url", **bounds: float) -> DataFrame:
+    """(verdict, pages, said, right): of a quarter of the hosts (by hash), pages with the verdict, those for which rules mined on the other hosts say it, and those for which they do so rightly."""
+    rows = written(training(_based(pages, fixed, page_id, url), labels).withColumn("out", F.pmod(F.crc32("host"), F.lit(4)) == 2))
+    rules = written(mine(rows.filter(~F.col("out")).drop("out"), **bounds))
+    test = rows.filter("out")
+    said = test.join(match(test.select("items").distinct(), rules), "items", "left").withColumn("truth", F.when(F.col("bad"), "block").otherwise("allow"))
+    each = said.select(F.explode(F.array(F.lit("block"), F.lit("allow"))).alias("verdict"), "truth", "mined_verdict")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    ours = F.col("mined_verdict") == F.col("verdict")
+    return each.groupBy("verdict").agg(count(F.col("truth") == F.col("verdict")).alias("pages"), count(ours).alias("said"), count(ours & (F.col("truth") == F.col("verdict"))).alias("right"))
+
+
 def judge(pages: DataFrame, labels: DataFrame | None = None, fixed: Sequence[tuple[str, str, str]] = FIXED, default: str = "allow", page_id: str = "page_id", url: str = "url", **bounds: float) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, mined_rule. labels: (page_id, bad boolean), beside the fixed rules' own."""
-    host, path = host_path(url)
-    base = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("items", F.when(F.col("host") != "", tokens())).withColumn("_f", fixed_rule(fixed))
+    base = _based(pages, fixed, page_id, url)
     rules = written(mine(training(base, labels), **bounds))
     matched = written(match(base.filter("items IS NOT NULL").select("items").distinct(), rules))
     judged = base.join(small(matched), "items", "left")
