@@ -83,6 +83,17 @@ def graph_two_hop(spark, sf_dir):
     return graph.paths(catalogue.credits(spark, sf_dir), 1, 2, 40)
 
 
+def connections(spark, sf_dir):
+    """How suppliers 1 and 2 are connected, strongest first: a walk that is stopped again and again and goes on where it stopped."""
+    titles = catalogue.titles(spark, sf_dir).select("id", F.col("votes").alias("weight"))
+    walk = graph.Connections(catalogue.credits(spark, sf_dir), titles, 1, 2)
+    found, cursor = None, 0
+    while cursor is not None:
+        more, cursor = walk.go(800, cursor)
+        found = more if found is None else found.unionByName(more)
+    return found.orderBy("hops", F.desc("strength"), "t1", F.col("via").asc_nulls_first(), "t2").limit(200)
+
+
 def filmography(spark, sf_dir):
     """A person's titles with categories and first ordering."""
     rows = catalogue.credits(spark, sf_dir).filter("person_id = 1").groupBy("title_id").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.min("ordering").alias("ordering"))
@@ -153,6 +164,12 @@ QUERIES = {
       SELECT a.title_id AS t1, CAST(NULL AS BIGINT) AS via, CAST(NULL AS BIGINT) AS t2, 1 AS hops FROM op a JOIN op b ON a.title_id = b.title_id AND a.person_id = 1 AND b.person_id = 2
       UNION ALL SELECT a.title_id, x.person_id, b.title_id, 2 FROM op a JOIN ot x ON x.title_id = a.title_id JOIN ot y ON y.person_id = x.person_id JOIN op b ON b.title_id = y.title_id
       WHERE a.person_id = 1 AND b.person_id = 2 AND x.person_id NOT IN (1, 2) AND a.title_id <> b.title_id"""),
+    "connections": (connections, f"""WITH {TITLES}, {CREDITS}, e AS (SELECT DISTINCT title_id, person_id FROM credits), et AS (SELECT e.*, votes FROM e JOIN titles ON id = title_id),
+      w AS (SELECT person_id, max(votes) AS weight FROM et GROUP BY 1), mine AS (SELECT * FROM et QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY votes DESC, title_id) <= 40),
+      cast_ AS (SELECT title_id, person_id, weight FROM e JOIN w USING (person_id) QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY weight DESC, person_id) <= 40)
+      SELECT * FROM (SELECT a.title_id AS t1, CAST(NULL AS BIGINT) AS via, CAST(NULL AS BIGINT) AS t2, 1 AS hops, a.votes AS strength FROM mine a JOIN mine b ON a.title_id = b.title_id AND a.person_id = 1 AND b.person_id = 2
+      UNION ALL SELECT a.title_id, x.person_id, o.title_id, 2, weight FROM mine a JOIN cast_ x ON x.title_id = a.title_id AND x.person_id NOT IN (1, 2) JOIN mine o ON o.person_id = x.person_id JOIN mine b ON b.title_id = o.title_id
+      WHERE a.person_id = 1 AND b.person_id = 2 AND a.title_id <> o.title_id) ORDER BY hops, strength DESC, t1, via NULLS FIRST, t2 LIMIT 200"""),
     "filmography": (filmography, f"""WITH {TITLES}, {CREDITS} SELECT title_id, any_value(title) AS title, any_value(year) AS year, any_value(votes) AS votes, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, min(ordering) AS ordering
       FROM credits JOIN titles ON id = title_id WHERE person_id = 1 GROUP BY title_id"""),
     "category_counts": (category_counts, f"WITH {CREDITS} SELECT person_id, category, count(DISTINCT title_id) AS titles FROM credits GROUP BY 1, 2"),
