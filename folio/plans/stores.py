@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from folio.session import shared_dir, table
+from folio.session import table, temporary
 from folio.sources import files, tables
 
 
-def _place(spark) -> str:
-    """A new folder of the session; it goes when the session ends."""
-    path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    return path
-
-
 def _arrays(rows):
     """The JSON texts in the column value as lines of one array a file."""
 
@@ -37,7 +27,7 @@ def _arrays(rows):
 
 def tsv_scan(spark, sf_dir):
     """Parts through a gzipped TSV with unknown values."""
-    path, part = _place(spark), table(spark, sf_dir, "part")
+    path, part = temporary(spark), table(spark, sf_dir, "part")
     size = F.when(F.col("p_size") > 5, F.concat(F.col("p_size").cast("string"), F.lit(" cm"))).otherwise("\\N")
     part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), size.alias("size")).write.options(sep="\t", quote="", header=True, compression="gzip").csv(path)
     return files.tsv(spark, path, ["id", "title", "size"]).select(files.int_or_null(F.col("id")).alias("id"), "title", files.int_or_null(F.col("size")).alias("size"))
@@ -45,7 +35,7 @@ def tsv_scan(spark, sf_dir):
 
 def csv_scan(spark, sf_dir):
     """Suppliers through plain CSV lines of valid ids, and names with quotes through records."""
-    path, rows = _place(spark), table(spark, sf_dir, "supplier")
+    path, rows = temporary(spark), table(spark, sf_dir, "supplier")
     line = F.when(F.col("s_suppkey") % 5 == 0, F.concat_ws(",", "s_name", F.lit("x"))).otherwise(F.concat_ws(",", F.concat(F.lit("nm"), "s_suppkey"), "s_name", F.col("s_nationkey").cast("string")))
     rows.select(line.alias("value")).write.text(f"{path}/a")
     rows.select("s_suppkey", F.concat(F.lit('a "quoted", '), "s_name").alias("name")).write.options(quote='"', escape='"').csv(f"{path}/b")
@@ -64,7 +54,7 @@ def entity_scan(spark, sf_dir):
 
 def ndjson_scan(spark, sf_dir):
     """Popularities through one JSON object a line; broken lines and impossible values are dropped."""
-    path, part = _place(spark), table(spark, sf_dir, "part")
+    path, part = temporary(spark), table(spark, sf_dir, "part")
     good = F.to_json(F.struct((F.col("p_partkey") - 3).alias("id"), (F.col("p_retailprice") - 950).alias("popularity")))
     part.select(F.when(F.col("p_size") == 7, F.lit('{"id": 5, "popul')).otherwise(good).alias("value")).write.option("compression", "gzip").text(path)
     return files.popularity(spark, path)
@@ -72,7 +62,7 @@ def ndjson_scan(spark, sf_dir):
 
 def json_array_scan(spark, sf_dir):
     """Regions and their nations, and orders, through files that hold one JSON array each."""
-    path = _place(spark)
+    path = temporary(spark)
     per = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))  # as many rows as regions
     _arrays(per.select(F.to_json(F.struct("n_regionkey", "names")).alias("value"))).write.text(f"{path}/a")
     regions = files.json_array(spark, f"{path}/a", "n_regionkey int, names array<string>").select(F.lit("nation").alias("what"), F.explode("names").alias("name"))
@@ -84,7 +74,7 @@ def json_array_scan(spark, sf_dir):
 
 def awards_scan(spark, sf_dir):
     """Orders as ceremonies through TSV with lists, numbered in the order of the file that holds the ceremony."""
-    path, o = _place(spark), table(spark, sf_dir, "orders")
+    path, o = temporary(spark), table(spark, sf_dir, "orders")
     rows = o.select(F.col("o_custkey").cast("string").alias("ceremony"), F.col("o_orderkey").cast("string").alias("id"), F.concat_ws("|", "o_orderstatus", F.lit(" x "), F.lit("")).alias("films"))
     rows.repartition("ceremony").sortWithinPartitions(F.col("id").cast("long").desc()).write.options(sep="\t", quote="", header=True).csv(path)
     return files.awards(spark, path, ["ceremony", "id", "films"], ["films"], "ceremony").select("ceremony", "id", F.array_join("films", "+").alias("films"), "seq")
@@ -99,7 +89,7 @@ def insert_or_ignore(spark, sf_dir):
 
 def replace_mirror(spark, sf_dir):
     """A mirror of which one source is replaced."""
-    path, c = _place(spark), table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.lit(1).alias("sync"))
+    path, c = temporary(spark), table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.lit(1).alias("sync"))
     tables.replace_mirror(c, path, "c_mktsegment")
     tables.replace_mirror(c.filter("c_mktsegment = 'BUILDING' AND c_custkey > 100").withColumn("sync", F.lit(2)), path, "c_mktsegment")
     return spark.read.parquet(path).groupBy("c_mktsegment", "sync").agg(F.count("*").alias("n"))
@@ -114,7 +104,7 @@ def upsert_changed(spark, sf_dir):
 
 def promote_version(spark, sf_dir):
     """A build that was promoted after another and taken back, laid out by key."""
-    versions, part = tables.Versions(spark, _place(spark)), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    versions, part = tables.Versions(spark, temporary(spark)), table(spark, sf_dir, "part").select("p_partkey", "p_name")
     for build, rows in (("one", part.filter("p_partkey < 50")), ("two", part)):
         versions.write(rows.repartitionByRange(4, "p_name").sortWithinPartitions("p_name"), build)
         versions.promote(build)

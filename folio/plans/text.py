@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import catalogue, search
+from folio.operators import catalogue, postings, search
 from folio.plans.browse import TITLES
-from folio.session import table
+from folio.session import table, temporary
 
 ASKED = [(1, "red widget"), (2, "wdget"), (3, "blu bol"), (4, "the plate"), (5, "Hot Géar"), (6, "gizmo xyzzy"), (7, "anvl"), (8, "old")]
 QUERIES_SQL = "queries(qid, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ")"
@@ -76,6 +76,14 @@ def bm25_search(spark, sf_dir):
     return search.bm25(docs, asked, 10).select("qid", "id", "place", "score")
 
 
+def bm25_indexed(spark, sf_dir):
+    """The same ten from a written index, of which only the buckets and blocks that can matter are read."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    index = postings.Postings(spark, temporary(spark)).build(docs)
+    return index.search(asked, 10).select("qid", "id", "place", "score")
+
+
 def prefix_and_search(spark, sf_dir):
     """All of the words, as prefixes."""
     return search.prefix_all(_titles(spark, sf_dir), _asked(spark))
@@ -111,6 +119,13 @@ def search_scored(spark, sf_dir):
     return search.top(search.scored(rows), 10, F.desc("score"), F.desc("votes")).select("qid", "id", "title", "score", "place")
 
 
+BM25 = f"""WITH sized AS (SELECT doc_id AS id, {words('text')} AS ws FROM documents), whole AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM sized),
+      wanted AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest({words('text')}) AS term FROM benchmark) WHERE term NOT IN ({STOP})),
+      hits AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(ws) AS dl, unnest(ws) AS term FROM sized) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+      freq AS (SELECT term, count(*) AS df FROM hits GROUP BY 1),
+      scored AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 4) AS score FROM hits JOIN freq USING (term) JOIN wanted USING (term), whole GROUP BY 1, 2)
+      SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS place, score FROM scored QUALIFY place <= 10"""
+
 QUERIES = {
     "normalize_text": (normalize_text, f"SELECT doc_id, {norm('text')} AS norm FROM documents"),
     "trigram_similarity": (trigram_similarity, f"""WITH {QUERIES_SQL}, titles AS (SELECT DISTINCT p_name AS title FROM part), n AS (SELECT qid, title, {norm('query')} AS nq, {norm('title')} AS nt FROM queries, titles),
@@ -119,12 +134,8 @@ QUERIES = {
       n AS (SELECT qid, id, {words('query')} AS ws, {norm('p_name')} AS nt FROM hit JOIN queries USING (qid) JOIN part ON p_partkey = id)
       SELECT qid, id, round(len(list_filter(ws, lambda w: contains(nt, w))) / len(ws), 6) AS cov FROM n"""),
     "levenshtein_capped": (levenshtein_capped, """SELECT a.p_partkey, CAST(least(levenshtein(a.p_name, b.p_name), 4) AS INT) AS distance FROM part a JOIN part b ON a.p_partkey = b.p_partkey + 1"""),
-    "bm25_search": (bm25_search, f"""WITH sized AS (SELECT doc_id AS id, {words('text')} AS ws FROM documents), whole AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM sized),
-      wanted AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest({words('text')}) AS term FROM benchmark) WHERE term NOT IN ({STOP})),
-      hits AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(ws) AS dl, unnest(ws) AS term FROM sized) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
-      freq AS (SELECT term, count(*) AS df FROM hits GROUP BY 1),
-      scored AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 4) AS score FROM hits JOIN freq USING (term) JOIN wanted USING (term), whole GROUP BY 1, 2)
-      SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INT) AS place, score FROM scored QUALIFY place <= 10"""),
+    "bm25_search": (bm25_search, BM25),
+    "bm25_indexed": (bm25_indexed, BM25),
     "prefix_and_search": (prefix_and_search, f"""WITH {WANTED}, {POSTINGS} SELECT qid, id FROM wanted w JOIN tokens t ON t.term = w.term OR (length(w.term) > 2 AND starts_with(t.term, w.term))
       GROUP BY qid, id HAVING count(DISTINCT w.term) = (SELECT count(*) FROM wanted x WHERE x.qid = w.qid)"""),
     "or_search": (or_search, f"WITH {WANTED}, {POSTINGS} SELECT qid, id, count(DISTINCT term) AS hits FROM wanted JOIN tokens USING (term) GROUP BY 1, 2"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -38,16 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return found.rstrip("/")
 
 
+def temporary(spark: SparkSession) -> str:
+    """A new folder in the shared one; it goes when the session ends."""
+    path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, safe from lost executors; it goes when the session ends."""
-    path = f"{shared_dir(df.sparkSession)}/folio-{uuid.uuid4().hex}"
+    path = temporary(df.sparkSession)
     df.write.parquet(path)
-    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
