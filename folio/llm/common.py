@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return found.rstrip("/")
@@ -70,7 +71,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     Alternates large-star and small-star steps. Both take the minimum of a node's neighbours
     by a combinable aggregate and join it back, so a node with very many neighbours is a
     skewed join that adaptive execution can split, never one group in one task. Each round
-    is written to the shared folder; the rounds end when only stars are left.
+    is written to the shared folder; the rounds end when only stars are left. A chain that ``rounds`` can't follow is an error.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e = written(e)

@@ -4,8 +4,8 @@ A window is ``window`` consecutive words. Each window is looked up at one suffix
 that begins at its smallest ``prefix``-word run (by hash, leftmost among equals); equal
 windows choose equal suffixes, so only these suffixes are partitioned. Prefixes that occur
 once cannot repeat and go first. The suffixes of a prefix form a group; a group of up to
-``large`` suffixes becomes a subtree built in one task, a larger one is split by longer
-prefixes, up to the whole window, where the group itself is the node and its size decides.
+``large`` suffixes becomes a subtree built in one task; in a larger one the prefix is lengthened to
+the whole window in one step, where the group of equal windows is the node and its size decides.
 
 In a subtree, suffixes are sorted by the words that follow, the common lengths of
 neighbours give its internal nodes, and the words before extend a node's members to the
