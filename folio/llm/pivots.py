@@ -4,7 +4,7 @@ A vector is described by its nearest pivots (reference vectors), the prefix of t
 permutation that orders all pivots by similarity. Inverted lists are kept for combinations of
 ``shared`` pivots, so vectors meet in a list exactly if their prefixes share so many. A pair
 belongs to one list only, the one of its smallest shared pivots. Lists hold ids, prefixes and sketches
-(signs against 128 random directions) instead of vectors; entries whose sketch is near that of a partner in
+(signs against 256 random directions) instead of vectors; entries whose sketch is near that of a partner in
 the list get their vector in a second step, and are verified by cosine in double precision.
 
 The pivots are fitted on a bounded sample (``SAMPLE`` vectors by hash of the id), chosen
@@ -38,7 +38,7 @@ COSINE, SHARED, LARGE, BLOCK = 0.9, 2, 1500, 750
 #: Prefix up to so many pivots; one more pivot in it for every further factor.
 PREFIX, UP_TO, FACTOR = 6, 300, 2.6
 #: Signs in a sketch, and standard deviations beyond the mean distance of vectors at the cosine that still count as near.
-SIGNS, SPREAD = 128, 4.4
+SIGNS, SPREAD = 256, 4.4
 SAMPLE, PER_CUBE_ROOT, PIVOTS, APART = 2000, 3.4, (24, 2048), 0.5
 
 
