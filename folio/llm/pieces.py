@@ -27,12 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import fresh
 from folio.llm.words import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches, seams, and beginnings of stretches that a task remembers (none of more than COMMIT_AT characters, so as many pieces); bytes of text encoded at once.
-MEMO, SEAMS, BEGINNINGS, COMMIT_AT, AT_ONCE = 150_000, 1_000_000, 100_000, 64, 8_000_000
+MEMO, SEAMS, BEGINNINGS, COMMIT_AT, AT_ONCE = 150_000, 1_000_000, 100_000, 64, 3_000_000
 #: Words of at most so many characters pass through the window together.
 WIDTHS = (8, 12, 20, COMMIT_AT)
 _BASE, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -349,13 +350,13 @@ class Together:
         inside = at < len(self.seam_keys)
         new[inside] = self.seam_keys[at[inside]] != key[inside]
         if new.any():
-            fresh = np.unique(key[new])
-            kept = np.array([self.codec.holds(k >> 24, k & 0xFFFFFF) for k in fresh.tolist()], bool)
-            if len(self.seam_keys) + len(fresh) > SEAMS:
+            unseen = np.unique(key[new])
+            kept = np.array([self.codec.holds(k >> 24, k & 0xFFFFFF) for k in unseen.tolist()], bool)
+            if len(self.seam_keys) + len(unseen) > SEAMS:
                 known = np.isin(self.seam_keys, key)  # those in use stay
                 self.seam_keys, self.seam_kept = self.seam_keys[known], self.seam_kept[known]
-            to = np.searchsorted(self.seam_keys, fresh)
-            self.seam_keys, self.seam_kept = np.insert(self.seam_keys, to, fresh), np.insert(self.seam_kept, to, kept)
+            to = np.searchsorted(self.seam_keys, unseen)
+            self.seam_keys, self.seam_kept = np.insert(self.seam_keys, to, unseen), np.insert(self.seam_kept, to, kept)
             at = np.searchsorted(self.seam_keys, key)
         return self.seam_kept[at]
 
@@ -513,6 +514,7 @@ def encode(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: st
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
 
     def run(batches):
+        fresh()
         together = Together(Codec(shared.value))
         for batch in batches:
             for part in slices(batch, "text", AT_ONCE):

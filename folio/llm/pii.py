@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import BROADCAST_ROWS, free, small, written
+from folio.llm.common import BROADCAST_ROWS, free, fresh, small, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT, SUPPORT, DISCLOSE, REMOVE = 5, 3, 0.8, 0.95
@@ -133,6 +133,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     """Per row: key (of the text), doc_id, base spans and the terms around them; no text."""
 
     def run(batches):
+        fresh()
         for batch in batches:
             spans = [base_spans(t) for t in batch["text"]]
             ctx = [contexts(t, s, width) if s else [] for t, s in zip(batch["text"], spans, strict=True)]
@@ -253,6 +254,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", remove
         return rewrite(t, spans, remove) if spans else t
 
     def run(batches):
+        fresh()
         for batch in batches:
             at = batch.schema.get_field_index(text)
             texts = [clean(t, flagged) for t, flagged in zip(batch.column(text).to_pylist(), batch.column(own).to_pylist(), strict=True)]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import components, free, small, written
+from folio.llm.common import components, free, fresh, small, written
 
 SEED, BITS, RADIUS = 42, 64, 2
 LEAF, LARGE = 8, 2048
@@ -338,6 +338,7 @@ def _described(docs: DataFrame, words: int, similarity: float, doc_id: str, text
     shared = docs.sparkSession.sparkContext.broadcast((last[order], order, hot))
 
     def run(batches):
+        fresh()
         for b in _smaller(batches):
             out = []
             for t in b["text"]:
@@ -383,6 +384,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     """The pairs (a, b) that sketches allow to be similar."""
 
     def run(batches):
+        fresh()
         for p in batches:
             widths = pd.DataFrame({"a": p["sa"].str.len(), "b": p["sb"].str.len()})
             ok = np.zeros(len(p), bool)
@@ -402,6 +404,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, text: str) -> DataFram
     """(node, s): the shingle sets of the wanted nodes (node, key)."""
 
     def sets(batches):
+        fresh()
         for b in _smaller(batches):
             yield pd.DataFrame({"node": b["node"], "s": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b["text"]]})
 
@@ -465,6 +468,7 @@ def in_lists(lists: DataFrame, nodes: DataFrame, root: DataFrame, similarity: fl
     open_ = _dealt(placed.join(mixed, "h").join(nodes.select("node", "n", "sketch"), "node"), F.col("times"), block)
 
     def run(batches):
+        fresh()
         for rows, starts in groups(batches, ["h", "i", "j"]):
             node, own, n, bits = rows["node"].to_numpy(np.int64), rows["root"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["sketch"].tolist()
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
@@ -483,6 +487,7 @@ def in_families(family: DataFrame, sets: DataFrame, similarity: float, block: in
     """(a, b): a forest of the similar pairs in each pair of blocks of the families (node, root)."""
 
     def run(batches):
+        fresh()
         for rows, starts in groups(batches, ["root", "i", "j"]):
             node = rows["node"].to_numpy(np.int64)
             for s, e in zip(starts, [*starts[1:], len(node)], strict=True):
