@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import catalogue, rank
+from folio.operators import catalogue, rank, providers
 from folio.operators.browse import project
 from folio.plans.browse import PRIOR, RANKED, TITLES
 from folio.plans.logs import _events
-from folio.session import table
+from folio.session import saved, table
 
 WINDOW = 400
 
@@ -131,6 +131,21 @@ def merge_contributions(spark, sf_dir):
     return per.select("l_partkey", F.array_join(F.flatten("c.items"), ",").alias("items"), single.alias("single"), overlay.alias("overlay"))
 
 
+def merged_facets(spark, sf_dir):
+    """What three providers (return flags) say of a title, merged: fields overlaid, lists of lines joined where they are longest."""
+    per = saved(table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.max("l_quantity").cast("long").alias("q"), F.min("l_linenumber").alias("first"), F.array_sort(F.collect_set("l_linenumber")).alias("lines")))
+    said = {
+        "details": F.when(F.col("l_returnflag") == "N", F.to_json(F.struct("q"))).otherwise(F.to_json(F.struct("q", "first"))),
+        "lines": F.to_json(F.transform("lines", lambda n: F.struct(n.alias("n")))),
+    }
+    registry = providers.Registry(providers.Facet("details", "object"), providers.Facet("lines", "list", F.json_array_length))
+    for flag in ("A", "N", "R"):
+        for facet, data in said.items():
+            registry.add(providers.Provider(facet, flag, 1, frozenset(("PROMO", "LARGE")), lambda e, flag=flag, data=data: e.join(per.filter(F.col("l_returnflag") == flag), F.col("id") == F.col("l_partkey")).select("id", data.alias("data"))))
+    entities = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"))
+    return registry.merged(registry.contributions(entities)).select("id", "facet", F.array_join("plugins", "").alias("plugins"), "data")
+
+
 def coverage_shelf(spark, sf_dir):
     """Of each kind's titles, how many a source covers, and the share."""
     covered = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 45").select(F.col("l_partkey").alias("id")).distinct().withColumn("has", F.lit(1))
@@ -231,6 +246,10 @@ QUERIES = {
     "capability_diff": (capability_diff, "SELECT DISTINCT p_brand, p_name FROM part WHERE p_size < 25 EXCEPT SELECT p_brand, p_name FROM part WHERE p_size >= 25"),
     "merge_contributions": (merge_contributions, """WITH g AS (SELECT l_partkey, l_returnflag, list_sort(list_distinct(list(l_linenumber))) AS items, CASE WHEN l_returnflag <> 'A' THEN min(l_tax) END AS tax, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
       SELECT l_partkey, array_to_string(flatten(list(items ORDER BY l_returnflag)), ',') AS items, arg_min(tax, l_returnflag) FILTER (tax IS NOT NULL) AS single, arg_max(q, l_returnflag) AS overlay FROM g GROUP BY 1"""),
+    "merged_facets": (merged_facets, """WITH p AS (SELECT l_partkey AS id, l_returnflag AS flag, CAST(max(l_quantity) AS BIGINT) AS q, min(l_linenumber) AS f, list_sort(list_distinct(list(l_linenumber))) AS lines
+        FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type IN ('PROMO', 'LARGE') GROUP BY 1, 2), s AS (SELECT *, max(len(lines)) OVER (PARTITION BY id) AS most FROM p)
+      SELECT id, 'details' AS facet, string_agg(flag, '' ORDER BY flag) AS plugins, '{' || coalesce('"first":' || arg_max(f, flag) FILTER (flag <> 'N') || ',', '') || '"q":' || arg_max(q, flag) || '}' AS data FROM p GROUP BY 1
+      UNION ALL SELECT id, 'lines', string_agg(flag, '' ORDER BY flag), '[' || string_agg(array_to_string(list_transform(lines, lambda n: '{"n":' || n || '}'), ','), ',' ORDER BY flag) || ']' FROM s WHERE len(lines) = most GROUP BY 1"""),
     "coverage_shelf": (coverage_shelf, """SELECT p_type AS kind, count(*) AS titles, count(c.id) AS covered, round(count(c.id) / count(*), 6) AS share FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45) c ON c.id = p_partkey GROUP BY 1"""),
     "ceremony_summary": (ceremony_summary, "SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS nominations, count(DISTINCT o_orderpriority) AS classes, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS winners FROM orders GROUP BY 1"),
     "share_of_total": (share_of_total, "SELECT event_type, round(sum(value) / (SELECT sum(value) FROM events), 6) AS share FROM events GROUP BY 1"),
