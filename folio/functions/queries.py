@@ -10,11 +10,14 @@ from folio.functions import text as T
 
 # Quotes, release noise, type words, seasons, decades, years, words of recency and ranking, genres of lists.
 QUOTE = "[\"“”„]"
-NOISE = (
-    r"1080p 720p 2160p 480p 4k uhd hdr hdr10 dolby[\x20.]?vision bluray blu-ray brrip bdrip webrip web-?dl hdtv dvdrip x264 x265 h\x20?264 h\x20?265 hevc avc aac\d?(?:\.\d)? ac3 dts(?:-hd)? "
-    r"truehd atmos ddp?\d(?:\.\d)? remux proper repack internal limited extended unrated imax dual[\x20.]?audio multi subbed dubbed yify yts rarbg"
-).split(" ")
-TYPES = r"tv[\x20-]?series tv[\x20-]?shows? miniseries mini[\x20-]?series series shows? season movies? films?".split(" ")
+NOISE = [
+    r"1080p", r"720p", r"2160p", r"480p", r"4k", r"uhd", r"hdr", r"hdr10", r"dolby[ .]?vision", r"bluray", r"blu-ray", r"brrip", r"bdrip", r"webrip", r"web-?dl", r"hdtv",
+    r"dvdrip", r"x264", r"x265", r"h ?264", r"h ?265", r"hevc", r"avc", r"aac\d?(?:\.\d)?", r"ac3", r"dts(?:-hd)?", r"truehd", r"atmos", r"ddp?\d(?:\.\d)?", r"remux",
+    r"proper", r"repack", r"internal", r"limited", r"extended", r"unrated", r"imax", r"dual[ .]?audio", r"multi", r"subbed", r"dubbed", r"yify", r"yts", r"rarbg",
+]
+TYPES = [
+    r"tv[ -]?series", r"tv[ -]?shows?", r"miniseries", r"mini[ -]?series", r"series", r"shows?", r"season", r"movies?", r"films?",
+]
 SEASON = r"(?i)\bs(?:eason)?[ .]?(\d{1,2})(?:[ .]?[ex](?:pisode)?[ .]?(\d{1,3}))?\b"
 DECADE = r"(?i)\b((?:19|20)\d0)'?s\b"
 YEAR = r"\(?\b(1[89]\d{2}|20\d{2})\b\)?"
