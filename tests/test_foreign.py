@@ -18,7 +18,7 @@ from folio.sources import files, foreign
 def database(tmp_path_factory):
     path = str(tmp_path_factory.mktemp("db") / "users.db")
     with sqlite3.connect(path) as db:
-        db.execute('CREATE TABLE "user data" (id INTEGER PRIMARY KEY, "plex Id" INT, name VARCHAR(20), score REAL, photo BLOB, level)')
+        db.execute('CREATE TABLE "user data" (id INTEGER PRIMARY KEY, "outer id" INT, name VARCHAR(20), score REAL, photo BLOB, level)')
         rows = [(k, k * 7 if k % 3 else None, f"näme {k % 10}" if k % 11 else None, k / 4, bytes([k % 256]), None) for k in range(-50, 5000)]
         db.executemany('INSERT INTO "user data" VALUES (?,?,?,?,?,?)', rows)
         db.execute("""INSERT INTO "user data" VALUES (9999, 'no number', x'00ff', 'x', 'text', 3)""")
@@ -30,11 +30,11 @@ def database(tmp_path_factory):
 
 def test_sqlite_is_read_in_ranges(spark, database):
     df = foreign.sqlite_table(spark, database, "user data", "id", 6)
-    assert [f.simpleString() for f in df.schema] == ["id:bigint", "plex Id:bigint", "name:string", "score:double", "photo:binary", "level:binary"]
+    assert [f.simpleString() for f in df.schema] == ["id:bigint", "outer id:bigint", "name:string", "score:double", "photo:binary", "level:binary"]
     assert df.rdd.getNumPartitions() == 6
     with sqlite3.connect(database) as db:
-        want = db.execute("""SELECT id, CASE typeof("plex Id") WHEN 'integer' THEN "plex Id" END, CASE typeof(name) WHEN 'text' THEN name END, CASE WHEN typeof(score) IN ('real', 'integer') THEN score END FROM "user data" """).fetchall()
-    assert sorted(map(tuple, df.select("id", "plex Id", "name", "score").collect())) == sorted(want)
+        want = db.execute("""SELECT id, CASE typeof("outer id") WHEN 'integer' THEN "outer id" END, CASE typeof(name) WHEN 'text' THEN name END, CASE WHEN typeof(score) IN ('real', 'integer') THEN score END FROM "user data" """).fetchall()
+    assert sorted(map(tuple, df.select("id", "outer id", "name", "score").collect())) == sorted(want)
     assert {r.photo for r in df.filter("id = 9999").collect()} == {None}
 
 
@@ -42,7 +42,7 @@ def test_sqlite_applies_the_conditions(spark, database):
     df = foreign.sqlite_table(spark, database, "user data", "id", 4)
     for where, same in (
         ([("id", ">=", 100), ("id", "<", 140)], "id >= 100 AND id < 140"), ([("name", "=", "näme 3")], "name = 'näme 3'"), ([("name", "null", True), ("id", ">", 4000)], "name IS NULL AND id > 4000"),
-        ([("id", "in", [1, 2, 9999])], "id IN (1, 2, 9999)"), ([("name", "prefix", "näme"), ("score", ">", 1200)], "name LIKE 'näme%' AND score > 1200"), ([("plex Id", "null", False), ("plex Id", "<=", 70)], "`plex Id` IS NOT NULL AND `plex Id` <= 70"), ([("name", "<>", "näme 1")], "name <> 'näme 1'"),
+        ([("id", "in", [1, 2, 9999])], "id IN (1, 2, 9999)"), ([("name", "prefix", "näme"), ("score", ">", 1200)], "name LIKE 'näme%' AND score > 1200"), ([("outer id", "null", False), ("outer id", "<=", 70)], "`outer id` IS NOT NULL AND `outer id` <= 70"), ([("name", "<>", "näme 1")], "name <> 'näme 1'"),
     ):
         found = foreign.sqlite_table(spark, database, "user data", "id", 4, ["name", "id"], where)
         assert found.columns == ["name", "id"]
