@@ -33,7 +33,7 @@ from folio.llm.words import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stretches, seams, and beginnings of stretches that a task remembers (none of more than COMMIT_AT characters, so as many pieces); bytes of text encoded at once.
-MEMO, SEAMS, BEGINNINGS, COMMIT_AT, AT_ONCE = 150_000, 1_000_000, 100_000, 64, 3_000_000
+MEMO, SEAMS, BEGINNINGS, COMMIT_AT, AT_ONCE = 40_000, 1_000_000, 100_000, 64, 1_000_000
 #: Words of at most so many characters pass through the window together.
 WIDTHS = (8, 12, 20, COMMIT_AT)
 _BASE, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
