@@ -123,10 +123,13 @@ def language_any(spark, sf_dir):
 
 
 def ranked_non_english(spark, sf_dir):
-    """Long documents per language, without those that have an English version."""
+    """Long documents per language: n without those that have an English version, and outside: those of sources that do not write English mainly."""
     docs = table(spark, sf_dir, "documents")
-    english = docs.filter("lang = 'en'").select("doc_id")
-    return docs.filter("n_chars >= 1000").join(english, "doc_id", "left_anti").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("n"))
+    english = docs.filter("lang = 'en'").select("doc_id", F.lit(True).alias("english")).distinct()
+    by = docs.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("en"))
+    mainly = by.filter(F.col("en") * 2 > F.col("n")).select("source", F.lit(True).alias("mainly"))
+    rows = docs.filter("n_chars >= 1000").join(english, "doc_id", "left").join(mainly, "source", "left")
+    return rows.groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count_if(F.col("english").isNull()).alias("n"), F.count_if(F.col("mainly").isNull()).alias("outside"))
 
 
 QUERIES = {
@@ -152,6 +155,7 @@ QUERIES = {
     "named_language": (named_language, """SELECT lang AS asked, source, count(*) AS n FROM documents WHERE lang = 'en' OR lang = 'fr' AND source NOT IN
       (SELECT source FROM documents WHERE lang = 'en' GROUP BY 1 HAVING count(*) >= 5) GROUP BY 1, 2"""),
     "language_any": (language_any, "SELECT doc_id, coalesce(lang, '') AS lang FROM documents WHERE coalesce(lang, '') IN ('en', 'es', '')"),
-    "ranked_non_english": (ranked_non_english, """SELECT coalesce(lang, '') AS lang, count(*) AS n FROM documents d WHERE n_chars >= 1000
-      AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id AND e.lang = 'en') GROUP BY 1"""),
+    "ranked_non_english": (ranked_non_english, """WITH mainly AS (SELECT source FROM documents GROUP BY source HAVING 2 * count(*) FILTER (lang = 'en') > count(*))
+      SELECT coalesce(lang, '') AS lang, count(*) FILTER (NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id AND e.lang = 'en')) AS n,
+      count(*) FILTER (NOT EXISTS (SELECT 1 FROM mainly m WHERE m.source = d.source)) AS outside FROM documents d WHERE n_chars >= 1000 GROUP BY 1"""),
 }
