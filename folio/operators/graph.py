@@ -82,12 +82,13 @@ def everywhere(rows: DataFrame, key: str, value: str, wanted: list) -> DataFrame
     return rows.filter(F.col(value).isin(wanted)).groupBy(key).agg(F.count_distinct(value).alias("n")).filter(F.col("n") == len(wanted)).select(key)
 
 
-def single(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Links a key only where exactly one value competes for it."""
-    return rows.groupBy(key).agg(F.count_distinct(value).alias("n"), F.min(value).alias(value)).filter("n = 1").drop("n")
+def single(rows: DataFrame, key: str, value: str, *within: str) -> DataFrame:
+    """Links a key (within others) only where exactly one value competes for it."""
+    return rows.groupBy(*within, key).agg(F.count_distinct(value).alias("n"), F.min(value).alias(value)).filter("n = 1").drop("n")
 
 
-def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Pairs whose two sides each have exactly one partner."""
+def one_to_one(pairs: DataFrame, left: str, right: str, *within: str) -> DataFrame:
+    """Pairs whose two sides each have exactly one partner (within other columns)."""
     pairs = pairs.distinct()
-    return pairs.join(single(pairs, left, right).select(left), left, "left_semi").join(single(pairs, right, left).select(right), right, "left_semi")
+    one = lambda a, b: single(pairs, a, b, *within).select(*within, a)
+    return pairs.join(one(left, right), [*within, left], "left_semi").join(one(right, left), [*within, right], "left_semi")

@@ -34,9 +34,10 @@ def composite_key_join(spark, sf_dir):
 
 
 def crosswalk_one_to_one(spark, sf_dir):
-    """Pairs that are unambiguous on both sides, of orders and the titles they hold fifty of at the highest discount."""
-    single = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 AND l_discount >= 0.1").select("l_orderkey", "l_partkey")
-    return graph.one_to_one(single, "l_orderkey", "l_partkey")
+    """Orders and titles that are unambiguous on both sides within a supplier, of all lines; everywhere: over all suppliers as well."""
+    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey")
+    whole = graph.one_to_one(pairs.select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey").withColumn("everywhere", F.lit(True))
+    return graph.one_to_one(pairs, "l_orderkey", "l_partkey", "l_suppkey").join(whole, ["l_orderkey", "l_partkey"], "left").withColumn("everywhere", F.coalesce("everywhere", F.lit(False)))
 
 
 def boolean_key_join(spark, sf_dir):
@@ -146,8 +147,10 @@ QUERIES = {
       (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2, 3) a JOIN
       (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS large FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2, 3) b
       ON a.l_suppkey = b.l_suppkey AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus"""),
-    "crosswalk_one_to_one": (crosswalk_one_to_one, """WITH q AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.1)
-      SELECT l_orderkey, l_partkey FROM q WHERE l_orderkey IN (SELECT l_orderkey FROM q GROUP BY 1 HAVING count(*) = 1) AND l_partkey IN (SELECT l_partkey FROM q GROUP BY 1 HAVING count(*) = 1)"""),
+    "crosswalk_one_to_one": (crosswalk_one_to_one, """WITH q AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), s AS (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey FROM lineitem),
+      w AS (SELECT l_orderkey, l_partkey FROM q WHERE l_orderkey IN (SELECT l_orderkey FROM q GROUP BY 1 HAVING count(*) = 1) AND l_partkey IN (SELECT l_partkey FROM q GROUP BY 1 HAVING count(*) = 1))
+      SELECT l_suppkey, l_orderkey, l_partkey, (l_orderkey, l_partkey) IN (SELECT (l_orderkey, l_partkey) FROM w) AS everywhere FROM s
+      WHERE (l_suppkey, l_orderkey) IN (SELECT (l_suppkey, l_orderkey) FROM s GROUP BY l_suppkey, l_orderkey HAVING count(*) = 1) AND (l_suppkey, l_partkey) IN (SELECT (l_suppkey, l_partkey) FROM s GROUP BY l_suppkey, l_partkey HAVING count(*) = 1)"""),
     "boolean_key_join": (boolean_key_join, """SELECT p.promo, count(*) AS n, count(DISTINCT p_partkey) AS parts FROM (SELECT p_partkey, p_type = 'PROMO' AS promo, CASE WHEN p_type = 'PROMO' THEN p_size ELSE p_partkey % 50 END AS key FROM part) p
       JOIN (SELECT s_acctbal > 5000 AS promo, s_suppkey % 50 AS key FROM supplier) s ON p.promo = s.promo AND p.key = s.key GROUP BY p.promo"""),
     "collaborators": (collaborators, f"""WITH {TITLES}, {CREDITS}, pairs AS (SELECT DISTINCT title_id, person_id FROM credits),

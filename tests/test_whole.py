@@ -14,3 +14,10 @@ def test_every_source_is_judged_by_all_its_documents(spark, tmp_path):
     _write(spark, tmp_path / "documents.parquet", rows, "doc_id long, source string, lang string, n_chars long")
     got = plans.queries()["ranked_non_english"](spark, str(tmp_path)).collect()
     assert {(r.lang, r.n, r.outside) for r in got} == {("en", 0, 1), ("fr", 2, 1), ("", 1, 1)}
+
+
+def test_every_line_is_in_the_crosswalk(spark, tmp_path):
+    rows = [(1, 10, 100), (1, 10, 100), (1, 20, 200), (1, 30, 200), (2, 20, 300), (2, 40, 400)]  # no line is left out by its quantity or discount
+    _write(spark, tmp_path / "lineitem.parquet", [(*r, 1.0, 0.0) for r in rows], "l_suppkey long, l_orderkey long, l_partkey long, l_quantity double, l_discount double")
+    got = plans.queries()["crosswalk_one_to_one"](spark, str(tmp_path)).collect()
+    assert {(r.l_suppkey, r.l_orderkey, r.l_partkey, r.everywhere) for r in got} == {(1, 10, 100, True), (2, 20, 300, False), (2, 40, 400, True)} and len(got) == 3
