@@ -31,6 +31,7 @@ def normalize(text: Column) -> Column:
     out = F.translate(F.lower(text), *map(str, _folds()))
     for a, b in DOUBLE.items():
         out = F.replace(out, F.lit(a), F.lit(b))
+    out = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(out)  # ASCII has nothing to fold
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
@@ -40,7 +41,7 @@ def stripped(text: Column) -> Column:
 
 
 def tokens(normalized: Column) -> Column:
-    return F.filter(F.split(normalized, " "), lambda t: t != "")
+    return F.array_remove(F.split(normalized, " "), "")
 
 
 def trigrams(normalized: Column, padded: bool = True) -> Column:

@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.functions import text as T
-from folio.operators.search import B, K1, query_terms, top
+from folio.operators.search import B, K1, counted, entries, query_terms, top
 from folio.session import few, saved
 
 BUCKETS, PART, BLOCK = 64, 100_000, 128
@@ -27,23 +26,23 @@ class Postings:
 
     def build(self, docs: DataFrame, body: str = "text", buckets: int = BUCKETS, part: int = PART, block: int = BLOCK) -> Postings:
         """Writes the index of documents (id, body)."""
-        texts = docs.select("id", T.tokens(T.normalize(F.col(body))).alias("terms"))
-        texts.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{self.path}/size")
+        counts = saved(counted(docs, body))
+        counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{self.path}/size")
         mean = self._read("size").first().mean
         if not mean:
             return self  # no document holds a term
-        counts = saved(texts.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
-        df = counts.groupBy("term").agg(F.count("*").alias("df"))
-        common = df.filter(F.col("df") > part).select("term", F.ceil(F.col("df") / part).alias("parts"))
-        dealt = counts.join(few(common), "term", "left").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("part"), "id", "tf", weight.alias("weight"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+        rows = entries(counts).select("id", "term", "tf", weight.alias("weight"))
+        terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("most")).select(bucket, "term", "df", "most")
+        terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
+        common = self._read("terms").filter(F.col("df") > part).select("term", F.ceil(F.col("df") / part).alias("parts"))
+        dealt = rows.join(few(common), "term", "left").select(bucket, "term", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("part"), "id", "tf", "weight")
         order = Window.partitionBy("bucket", "term", "part").orderBy(F.desc("weight"), "id")
         placed = dealt.withColumn("block", F.floor((F.row_number().over(order) - 1) / block).cast("int"))
-        placed.sortWithinPartitions("bucket", "term", "part", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")  # the window leaves them in the order of bucket, term, part and block
         blocks = self._read("postings").groupBy("bucket", "term", "part", "block").agg(F.max("weight").alias("most"))
-        blocks.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks")
-        terms = self._read("blocks").groupBy("bucket", "term").agg(F.max("most").alias("most")).join(df, "term")
-        terms.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
+        blocks.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/blocks")
         return self
 
     def _read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
@@ -65,6 +64,7 @@ class Postings:
         first = rows.filter("block = 0").join(few(wanted), ["bucket", "term"]).groupBy("qid", "id").agg(F.sum(F.col("rarity") * F.col("weight")).alias("score"))
         bound = top(first, k, F.desc("score")).groupBy("qid").agg(F.max("place").alias("n"), F.min("score").alias("score")).select("qid", F.when(F.col("n") == k, F.col("score")).otherwise(0.0).alias("bound"))
         blocks = self._read("blocks", buckets).join(few(wanted), ["bucket", "term"]).join(few(saved(bound)), "qid")
-        open_ = saved(blocks.filter(F.col("rarity") * F.col("most") + F.col("others") >= F.col("bound") - 1e-9).select("qid", "bucket", "term", "part", "block", "rarity"))
-        hits = rows.join(few(open_), ["bucket", "term", "part", "block"])
+        last = F.max("block").alias("last")  # the first blocks of a part weigh most, so those that can matter are all up to one
+        open_ = saved(blocks.filter(F.col("rarity") * F.col("most") + F.col("others") >= F.col("bound") - 1e-9).groupBy("qid", "bucket", "term", "part", "rarity").agg(last))
+        hits = rows.join(few(open_), ["bucket", "term", "part"]).filter("block <= last")
         return top(hits.groupBy("qid", "id").agg(F.round(F.sum(F.col("rarity") * F.col("weight")), 4).alias("score")), k, F.desc("score"))

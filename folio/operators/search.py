@@ -7,13 +7,18 @@ Spark limits before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import keys as K
 from folio.functions import queries as Q
 from folio.functions import text as T
-from folio.session import saved
+from folio.session import few, saved
 
 K1, B, RAREST, REACH = 1.2, 0.75, 8, 2
 
@@ -40,20 +45,43 @@ def top(rows: DataFrame, k: int, *order) -> DataFrame:
     return rows.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def counted(docs: DataFrame, body: str = "text") -> DataFrame:
+    """(id, len, terms, tfs): each text's length, its different terms and how often it has each. Texts are normalised once and counted where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("terms")
+            code = lists.flatten().dictionary_encode()
+            n = max(len(code.dictionary), 1)
+            cells, tfs = np.unique(pc.list_parent_indices(lists).to_numpy().astype(np.int64) * n + code.indices.to_numpy(), return_counts=True)
+            at = pa.array(np.searchsorted(cells // n, np.arange(b.num_rows + 1)).astype(np.int32))
+            terms = code.dictionary.take(pa.array(cells % n))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("len"), pa.ListArray.from_arrays(at, terms), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32()))], names=["id", "len", "terms", "tfs"])
+
+    texts = docs.select("id", T.tokens(T.normalize(F.col(body))).alias("terms")).select("id", F.size("terms").alias("len"), "terms")
+    return texts.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, len int, terms array<string>, tfs array<int>")
+
+
+def entries(counts: DataFrame) -> DataFrame:
+    """(id, len, term, tf) of counted texts."""
+    return counts.select("id", "len", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).alias("term", "tf"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, body: str = "text") -> DataFrame:
     """(qid, id, score, place): the k best documents of each query.
 
-    Lengths are summed from the texts' token counts before anything is exploded; only postings of queried terms move.
+    Texts are counted once. Queried terms with their rarity go to the postings if they are few, so that postings meet them where they are
+    and only sums by query and document move.
     """
-    sized = docs.select("id", body, F.size(T.tokens(T.normalize(F.col(body)))).alias("len"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    wanted = query_terms(queries)
-    hits = sized.select("id", "len", F.explode(T.tokens(T.normalize(F.col(body)))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    counts = saved(counted(docs, body))
+    whole = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    wanted = saved(query_terms(queries))
+    hits = entries(counts).join(few(wanted.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(F.broadcast(whole), F.lit(True), "inner")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = rows.withColumn("part", part).join(wanted, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 4).alias("score"))
+    asked = saved(wanted.join(df, "term").join(F.broadcast(whole), F.lit(True), "inner").select("qid", "term", "mean", idf.alias("idf")))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    scored = entries(counts).join(few(asked), "term").withColumn("part", part).groupBy("qid", "id").agg(F.round(F.sum("part"), 4).alias("score"))
     return top(scored, k, F.desc("score"))
 
 
