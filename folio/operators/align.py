@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,11 +23,13 @@ PART = r"(?i)[\s,:\-]*\(?(?:part|pt\.?)?\s*(?:[0-9]+|i{1,3}|iv|v)\)?\s*$"
 
 def units(seasons: Sequence[int], bases: Sequence[str | None], titles: Sequence[str]) -> list[list[int]]:
     """Positions of ours that stand for one episode: each for itself, or a run of parts (``bases``: the title without its part; null if it has none)."""
-    ordered, out, i = sorted(titles), [], 0
+    ordered, out, i = None, [], 0
     while i < len(seasons):
         j = i + 1
         while bases[i] and j < len(seasons) and seasons[j] == seasons[i] and bases[j] == bases[i]:
             j += 1
+        if j - i > 1 and ordered is None:
+            ordered = sorted(titles)
         if j - i > 1 and bisect_left(ordered, bases[i] + chr(0x10FFFF)) - bisect_left(ordered, bases[i]) < j - i:
             out.append(list(range(i, j)))
         else:
@@ -80,30 +82,50 @@ def aligned(ours: list[tuple], theirs: list[tuple]) -> list[tuple[int | None, in
     return out
 
 
-def _prepared(rows: DataFrame) -> DataFrame:
-    """(series, season, number, own, joint, base, fold): keys of the title, keys without its part, the folded title without its part if it has one."""
+def _prepared(rows: DataFrame, side: int) -> DataFrame:
+    """(series, side, season, number, own, joint, base, fold): keys of the title; of ours also keys without its part and the folded title without it, if it has one; of theirs the folded title."""
     title: Column = F.coalesce("title", F.lit(""))
     whole = F.regexp_replace(title, PART, "")
-    return rows.select("series", "season", "number", K.title_keys(title).alias("own"), K.title_keys(whole).alias("joint"), F.when(whole != title, K.episode_title(whole)).alias("base"), K.episode_title(title).alias("fold"))
+    ours = lambda c: F.when(whole != title, c) if side == 0 else F.lit(None)
+    fold = K.episode_title(title) if side else F.lit(None)
+    return rows.select("series", F.lit(side).alias("side"), F.col("season").cast("int"), F.col("number").cast("int"), K.title_keys(title).alias("own"), ours(K.title_keys(whole)).cast("array<string>").alias("joint"), ours(K.episode_title(whole)).cast("string").alias("base"), fold.cast("string").alias("fold"))
 
 
 def align(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """(series, season, number, other_season, other_number, part, parts) from two tables (series, season, number, title).
 
-    A series is one group, which its episodes bound; an episode that nothing places has nulls, and one of theirs that covers several of ours numbers them as parts.
+    Both sides meet in order of series; a task holds one series and one batch at a time. An episode that nothing places has nulls, and one of theirs that covers
+    several of ours numbers them as parts.
     """
-
-    def rows(table: pa.Table) -> list[tuple]:
-        columns = (table.column(c).to_pylist() for c in ("season", "number", "own", "joint", "base", "fold"))
-        return sorted(zip(*columns, strict=True), key=lambda r: r[:2])
-
-    def run(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
-        ours, theirs = rows(x), rows(y)
-        at = aligned(ours, theirs)
-        out = [(key[0].as_py(), *o[:2], *(theirs[j][:2] if j is not None else (None, None)), p, n) for o, (j, p, n) in zip(ours, at, strict=True)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, [key[0].type, *[pa.int32()] * 6], strict=True)], names=["series", "season", "number", "other_season", "other_number", "part", "parts"])
-
-    kinds = dict(mine.dtypes)
-    schema = f"series {kinds['series']}, season int, number int, other_season int, other_number int, part int, parts int"
-    cast = lambda d: _prepared(d.withColumns({"season": F.col("season").cast("int"), "number": F.col("number").cast("int")}))
-    return cast(mine).groupBy("series").cogroup(cast(theirs).groupBy("series")).applyInArrow(run, schema)
+    kind = dict(mine.dtypes)["series"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[list[tuple], list[tuple]] = ([], [])
+        now, out = None, []
+
+        def close() -> None:
+            ours, theirs = sides
+            for o, (j, p, n) in zip(ours, aligned(ours, theirs), strict=True):
+                out.append((now, *o[:2], *(theirs[j][:2] if j is not None else (None, None)), p, n))
+            ours.clear()
+            theirs.clear()
+
+        def flush(b: pa.RecordBatch) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [b.schema.field("series").type, *[pa.int32()] * 6], strict=True)], names=["series", "season", "number", "other_season", "other_number", "part", "parts"])
+
+        b = None
+        for b in batches:
+            for series, side, season, number, own, joint, base, fold in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if series != now:
+                    close()
+                    now = series
+                sides[side].append((season, number, own, own if joint is None else joint, base, fold))
+            yield flush(b)
+        if b is not None:
+            close()
+            yield flush(b)
+
+    both = _prepared(mine, 0).unionByName(_prepared(theirs, 1)).repartition("series").sortWithinPartitions("series", "side", "season", "number")
+    return both.mapInArrow(run, f"series {kind}, season int, number int, other_season int, other_number int, part int, parts int")
