@@ -35,6 +35,11 @@ def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, each: int = 1_000_000) -> DataFrame:
+    """df of so many rows by keys in parts of about ``each`` rows, so that what a task sorts does not grow with the table; a smaller one as it is."""
+    return df if rows <= each else df.repartition(-(-rows // each), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folio.session import few, saved
+from folio.session import dealt, few, saved
 
 
 class SchemaDrift(ValueError):
@@ -80,12 +80,15 @@ def popularity(spark: SparkSession, path: str) -> DataFrame:
     return ndjson(spark, path, "id long, popularity double", F.col("id") > 0, (p >= 0) & ~F.isnan(p) & (p < float("inf")))
 
 
+RANGE_BITS, PIECES = 16, 500_000  # pieces of one window are 65,536 at most; so many pieces go to a task
+
+
 class CutArray(ValueError):
     """A JSON array that ends within a string or before its last bracket."""
 
 
 def _along(rows: DataFrame, amount: Column, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``amount`` over a file's pieces before this one. A task sees the pieces of one byte range, or one row for each range of a file."""
+    """Adds ``name``: the sum of ``amount`` over a file's pieces before this one. A window sees the pieces of one range (bounded in number), or one row for each range of a file."""
     rows = rows.withColumn("_amount", amount)
     ranges = rows.groupBy("file", "range").agg(F.sum("_amount").alias("_own"))
     upto = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,13 +105,14 @@ def json_array(spark: SparkSession, path: str, schema: StructType | str) -> Data
     how far its brackets lead in or out, once for a start outside of a string and once for one inside. Running sums put the pieces together:
     of quotes, which side a piece starts on; of the brackets on that side, its depth; of the commas at depth one, its element.
     """
-    pieces = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"), "value")
+    pieces = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.shiftright(F.monotonically_increasing_id(), RANGE_BITS).alias("run")).alias("range"), F.monotonically_increasing_id().alias("at"), "value")
     parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
     count = lambda x, which: F.length(F.regexp_replace(x, which, ""))
     depth = lambda x: count(x, r"[^\[{]") - count(x, r"[^\]}]")
     deeper = lambda side: F.aggregate(F.filter("parts", lambda x, i: i % 2 == side), F.lit(0), lambda n, x: n + depth(x))
     found = pieces.withColumn("parts", parts).select("file", "range", "at", "value", (F.size("parts") - 1).alias("quotes"), deeper(0).alias("outside"), deeper(1).alias("inside"))
-    rows = _along(saved(found), F.col("quotes"), "before")
+    found = saved(found)
+    rows = _along(dealt(found, found.count(), "file", "range", each=PIECES), F.col("quotes"), "before")
     rows = rows.withColumn("step", F.when(F.col("before") % 2 == 0, F.col("outside")).otherwise(F.col("inside")))
     rows = _along(rows, F.col("step"), "depth")
     cut = ((F.col("before") + F.col("quotes")) % 2 == 0) & (F.col("depth") + F.col("step") == 1)
@@ -116,8 +120,9 @@ def json_array(spark: SparkSession, path: str, schema: StructType | str) -> Data
     whole = rows.groupBy("file").agg((F.sum("quotes") % 2).alias("open"), F.sum("step").alias("depth"), F.max("element").alias("last"))
     if broken := whole.filter("open <> 0 OR depth <> 0").first():
         raise CutArray(broken.file)
-    texts = rows.groupBy("file", "element").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "at", "value"))), lambda x: x.value), ",").alias("text"))
-    texts = texts.join(few(whole.select("file", "last")), "file")
+    ordered = rows.repartitionByRange(max(1, -(-rows.count() // PIECES)), "file", "element")  # an element is whole in one part, and parts follow each other
+    texts = ordered.groupBy("file", "element").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "at", "value"))), lambda x: x.value), ",").alias("text"))
+    texts = texts.join(F.broadcast(whole.select("file", "last")), "file").sortWithinPartitions("file", "element")  # one row a file
     head = F.when(F.col("element") == 0, F.regexp_replace("text", r"^\s*\[", "")).otherwise(F.col("text"))
     body = F.when(F.col("element") == F.col("last"), F.regexp_replace(head, r"\]\s*$", "")).otherwise(head)
     empty = (F.col("last") == 0) & (F.trim("body") == "")

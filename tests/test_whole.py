@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from folio import plans
+import json
+
+from folio import plans, session
+from folio.sources import files
 
 
 def _write(spark, path, rows, schema):
@@ -21,3 +24,20 @@ def test_every_line_is_in_the_crosswalk(spark, tmp_path):
     _write(spark, tmp_path / "lineitem.parquet", [(*r, 1.0, 0.0) for r in rows], "l_suppkey long, l_orderkey long, l_partkey long, l_quantity double, l_discount double")
     got = plans.queries()["crosswalk_one_to_one"](spark, str(tmp_path)).collect()
     assert {(r.l_suppkey, r.l_orderkey, r.l_partkey, r.everywhere) for r in got} == {(1, 10, 100, True), (2, 20, 300, False), (2, 40, 400, True)} and len(got) == 3
+
+
+def test_large_tables_are_dealt_in_bounded_parts(spark):
+    rows = spark.range(1000).selectExpr("id % 100 AS k")
+    sizes = [len(p) for p in session.dealt(rows, 1000, "k", each=50).rdd.glom().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 1000 and session.dealt(rows, 1000, "k") is rows
+
+
+def test_pieces_of_an_array_are_cut_into_runs(spark, tmp_path, monkeypatch):
+    """Windows over an array see runs of few pieces, parts hold few of them, and elements come in the order of the file."""
+    monkeypatch.setattr(files, "RANGE_BITS", 3)
+    monkeypatch.setattr(files, "PIECES", 40)
+    want = [(k, "a, ] \" [ \\" * (k % 4)) for k in range(300)]
+    (tmp_path / "a.json").write_text(json.dumps([{"id": k, "t": t} for k, t in want]))
+    got = files.json_array(spark, str(tmp_path / "a.json"), "id int, t string")
+    assert [tuple(r) for r in got.collect()] == want
+    assert got.rdd.getNumPartitions() > 10
