@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.operators import align as A
 from folio.operators import catalogue
 from folio.plans.browse import TITLES
-from folio.session import table
+from folio.session import dealt, table
 
 AS_OF = "1998-09-01"
 ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
@@ -20,7 +20,8 @@ def episodes(spark, sf_dir):
     season = F.year("l_shipdate") - 1995
     number = F.row_number().over(Window.partitionBy("l_partkey", season).orderBy(*ORDER))
     day = F.to_date("l_shipdate")
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    return dealt(lines, lines.count(), "l_partkey").select(
         F.col("l_partkey").alias("series"), season.alias("season"), number.alias("number"), F.when(F.col("l_discount") > 0, F.round(F.col("l_discount") * 100, 4)).alias("rating"),
         (F.col("l_linestatus") == "F").alias("held"), (day <= F.lit(AS_OF).cast("date")).alias("aired"), F.col("l_returnflag").alias("run"), F.col("l_suppkey").alias("person"), F.col("l_quantity").alias("votes"),
     )
