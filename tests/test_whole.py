@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from folio import plans, session
+from folio.operators import rank
 from folio.sources import files
 
 
@@ -41,3 +44,10 @@ def test_pieces_of_an_array_are_cut_into_runs(spark, tmp_path, monkeypatch):
     got = files.json_array(spark, str(tmp_path / "a.json"), "id int, t string")
     assert [tuple(r) for r in got.collect()] == want
     assert got.rdd.getNumPartitions() > 10
+
+
+def test_medians_of_large_groups_are_exact(spark):
+    rows = spark.range(60_000).selectExpr("id % 2 AS k", "CASE WHEN id % 7 = 0 THEN 0.5 ELSE hash(id) / 1e6 END AS v").unionByName(spark.createDataFrame([(5, 1.0), (5, 4.0), (6, 3.0)], "k long, v double"))
+    want = {r.k: (r.n, r.m) for r in rows.groupBy("k").agg(F.count("*").alias("n"), F.median("v").alias("m")).collect()}
+    got = rank.medians(rows, ["k"], [F.col("v")], accuracy=100)
+    assert {r.k: (r._n, r._m0) for r in got.collect()} == want
