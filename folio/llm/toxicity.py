@@ -26,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import fresh
+
 PER_CLASS, MAX_CHARS, STEPS, THRESHOLD, SPAN_AT = 1200, 20_000, 50, 0.3, 0.5
 MIN_DOCS, MIN_SHARE, MIN_RATIO = 3, 0.02, 12.0
 CACHE = 150_000
 #: Characters of the texts that a task scores at once.
 AT_ONCE = 1_000_000
+#: Steps of a chain that are worked on at once.
+STEPS_AT_ONCE = 1 << 18
 STRIP = ".,;:!?*#%$&|\"'()[]{}<>"
 
 
@@ -85,43 +89,52 @@ class Emissions(dict):
         return out
 
 
-def _scan(n0, n1, d0, d1):
-    """r[t] = (n0[t] + n1[t] r[t-1]) / (d0[t] + d1[t] r[t-1]) for all t, from r[-1] = 1.
+def _scan(n: int, part):
+    """r[t] = (n0[t] + n1[t] r[t-1]) / (d0[t] + d1[t] r[t-1]) for all t < n, from r[-1] = 1; part(a, b): n0, n1, d0, d1 of a <= t < b.
 
     The chain is cut into rows: products of 2 x 2 steps give each row's entry value, then all
-    rows advance together.
+    rows advance together. Rows are taken for about STEPS_AT_ONCE steps at a time, so that only what goes in and comes out is as long as the chain.
     """
-    n = len(n0)
     cols = max(1, int(np.sqrt(n / 8)))
-    rows = -(-n // cols)
-    pad = rows * cols - n
-    n0, n1, d0, d1 = (np.concatenate([x, np.full(pad, v)]).reshape(rows, cols).T.copy() for x, v in ((n0, 0.0), (n1, 1.0), (d0, 1.0), (d1, 0.0)))
-    a, b, c, d = np.zeros(rows), np.ones(rows), np.ones(rows), np.zeros(rows)  # r -> (a + b r) / (c + d r)
-    for k in range(cols):
-        a, b, c, d = n0[k] * c + n1[k] * a, n0[k] * d + n1[k] * b, d0[k] * c + d1[k] * a, d0[k] * d + d1[k] * b
-        m = np.maximum(np.maximum(a, b), np.maximum(c, d))
-        a, b, c, d = a / m, b / m, c / m, d / m
-    entry, r = np.empty(rows), 1.0
-    for i, (x, y, z, w) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True)):
-        entry[i] = r
-        r = min(max((x + y * r) / max(z + w * r, 1e-300), 1e-30), 1e30)
-    out, r = np.empty((cols, rows)), entry
-    for k in range(cols):
-        r = np.clip((n0[k] + n1[k] * r) / np.maximum(d0[k] + d1[k] * r, 1e-300), 1e-30, 1e30)
-        out[k] = r
-    return out.T.reshape(-1)[:n]
+    some = max(1, STEPS_AT_ONCE // cols) * cols
+    out, r = np.empty(n), 1.0
+    for at in range(0, n, some):
+        end = min(at + some, n)
+        rows = -(-(end - at) // cols)
+        pad = rows * cols - (end - at)
+        n0, n1, d0, d1 = (np.concatenate([x, np.full(pad, v)]).reshape(rows, cols).T.copy() for x, v in zip(part(at, end), (0.0, 1.0, 1.0, 0.0), strict=True))
+        a, b, c, d = np.zeros(rows), np.ones(rows), np.ones(rows), np.zeros(rows)  # r -> (a + b r) / (c + d r)
+        for k in range(cols):
+            a, b, c, d = n0[k] * c + n1[k] * a, n0[k] * d + n1[k] * b, d0[k] * c + d1[k] * a, d0[k] * d + d1[k] * b
+            m = np.maximum(np.maximum(a, b), np.maximum(c, d))
+            a, b, c, d = a / m, b / m, c / m, d / m
+        now = np.empty(rows)
+        for i, (x, y, z, w) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True)):
+            now[i] = r
+            r = min(max((x + y * r) / max(z + w * r, 1e-300), 1e-30), 1e30)
+        own = np.empty((cols, rows))
+        for k in range(cols):
+            now = np.clip((n0[k] + n1[k] * now) / np.maximum(d0[k] + d1[k] * now, 1e-300), 1e-30, 1e30)
+            own[k] = now
+        out[at:end] = own.T.reshape(-1)[: end - at]
+    return out
 
 
 def ratios(e: np.ndarray, first: np.ndarray, last: np.ndarray, trans, start: float):
     """Forward and backward odds of the toxic state over concatenated documents; also exp(e)."""
-    x = np.exp(np.clip(e, -30, 30))
+    n, x = len(e), np.exp(np.clip(e, -30, 30))
     a00, a01, a10, a11 = (float(np.exp(v)) for v in trans)
     s = float(np.exp(start))
-    fwd = _scan(np.where(first, x * s, x * a01), np.where(first, 0.0, x * a11), np.where(first, 1.0, a00), np.where(first, 0.0, a10))
-    nx = np.append(x[1:], 1.0)
-    rev = lambda v: v[::-1].copy()
-    bwd = rev(_scan(rev(np.where(last, 1.0, a10)), rev(np.where(last, 0.0, a11 * nx)), rev(np.where(last, 1.0, a00)), rev(np.where(last, 0.0, a01 * nx))))
-    return fwd, bwd, x
+
+    def forward(a, b):
+        own, new = x[a:b], first[a:b]
+        return np.where(new, own * s, own * a01), np.where(new, 0.0, own * a11), np.where(new, 1.0, a00), np.where(new, 0.0, a10)
+
+    def backward(a, b):
+        own, end = np.append(x[n - b + 1 : n - a + 1], 1.0)[: b - a][::-1], last[n - b : n - a][::-1]
+        return np.where(end, 1.0, a10), np.where(end, 0.0, a11 * own), np.where(end, 1.0, a00), np.where(end, 0.0, a01 * own)
+
+    return _scan(n, forward), _scan(n, backward)[::-1].copy(), x
 
 
 def marginals(e, first, last, trans, start):
@@ -144,23 +157,33 @@ def fit(texts: list[str], toxic: list[int], prior: float) -> Model:
     y = np.array(toxic, int)
     if not len(y) or y.min() == y.max():
         return Model(prior=prior)
-    folded = [[fold(w) for w in words(t)] for t in texts]
-    known = {w: features(w) for ws in folded for w in ws}
+    number: dict[str, int] = {}
+    once: dict[bytes, int] = {}
+    for t in texts:
+        for w in words(t):
+            if w not in once:
+                once[w] = number.setdefault(fold(w), len(number))
+    # A word is kept once; a document is the numbers of its words.
+    coded = [np.array([once[w] for w in words(t)], np.int32) for t in texts]
+    known = [features(w) for w in number]
+    empty = number.get("", -1)
+    del once, number
     seen = (Counter(), Counter())
-    for ws, k in zip(folded, y, strict=True):
-        seen[k].update({f for w in set(ws) - {""} for f in known[w]})
+    for ws, k in zip(coded, y, strict=True):
+        seen[k].update({f for w in set(ws.tolist()) - {empty} for f in known[w]})
     nt, nc = int(y.sum()), int(len(y) - y.sum())
     cue = {f for f, n in seen[1].items() if f[:2] in ("w:", "p:") and n >= max(MIN_DOCS, MIN_SHARE * nt) and (n / nt) / ((seen[0][f] + 0.5) / nc) >= MIN_RATIO}
     used = sorted(f for f in {*seen[0], *seen[1]} - {""} if seen[0][f] + seen[1][f] >= MIN_DOCS)
     at, none = {f: i for i, f in enumerate(used)}, len(used)
-    lengths = np.array([len(ws) for ws in folded])
+    lengths = np.array([len(ws) for ws in coded])
     if not lengths.sum():
         return Model(prior=prior)
-    ids = {w: [at.get(f, none) for f in fs] for w, fs in known.items()}
-    marks = {w: not cue.isdisjoint(fs) for w, fs in known.items()}
-    fi = np.array([ids[w] for ws in folded for w in ws]).T
-    gold = np.array([marks[w] for ws in folded for w in ws]) & np.repeat(y == 1, lengths)
+    ids = np.array([[at.get(f, none) for f in fs] for fs in known]).T
+    marks = np.array([not cue.isdisjoint(fs) for fs in known])
+    code = np.concatenate(coded)
+    gold = marks[code] & np.repeat(y == 1, lengths)
     first, last = _ends(lengths)
+    del coded, known, seen, cue, used
     size = [none + 1, 1, 4, 1]
     theta = np.zeros(sum(size))
     theta[none + 1] = -4.0
@@ -169,23 +192,26 @@ def fit(texts: list[str], toxic: list[int], prior: float) -> Model:
     keep = np.ones_like(theta)
     keep[none] = 0.0  # features outside the sample have no weight
     pair = ~first
+    truth = np.bincount(gold[:-1][pair[1:]] * 2 + gold[1:][pair[1:]], minlength=4)
+    emitted = lambda w, b: w[ids].sum(0)[code] + b[0]
     for step in range(1, STEPS + 1):
         w, b, tr, st = np.split(theta, cut)
-        fwd, bwd, x = ratios(w[fi].sum(0) + b[0], first, last, tr, st[0])
-        p = fwd * bwd / (1 + fwd * bwd)
-        diff = gold - p
-        k = np.flatnonzero(pair)
+        fwd, bwd, x = ratios(emitted(w, b), first, last, tr, st[0])
+        diff = fwd * bwd
+        diff /= 1 + diff
+        np.subtract(gold, diff, out=diff)
+        x, bwd, fwd = x[pair], bwd[pair], fwd[:-1][pair[1:]]
         ex = np.exp(tr)
-        xi = np.stack([np.full(len(k), ex[0]), ex[1] * x[k] * bwd[k], fwd[k - 1] * ex[2], fwd[k - 1] * ex[3] * x[k] * bwd[k]])
-        xi /= xi.sum(0)
-        truth = np.bincount(gold[k - 1] * 2 + gold[k], minlength=4)
-        grad = np.concatenate([sum(np.bincount(row, diff, size[0]) for row in fi), [diff.sum()], truth - xi.sum(1), [diff[first].sum()]])
+        xi = (lambda: np.full(len(x), ex[0]), lambda: ex[1] * x * bwd, lambda: fwd * ex[2], lambda: fwd * ex[3] * x * bwd)
+        every = sum(f() for f in xi)
+        met = np.array([(f() / every).sum() for f in xi])
+        grad = np.concatenate([sum(np.bincount(row[code], diff, size[0]) for row in ids), [diff.sum()], truth - met, [diff[first].sum()]])
         grad = (grad - 0.05 * theta) * keep
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     w, b, tr, st = np.split(theta, cut)
     model = Model({f: round(float(w[i]), 5) for f, i in at.items() if abs(w[i]) > 1e-4}, float(b[0]), tuple(map(float, tr)), float(st[0]), prior=prior, fitted=True)
-    p = marginals(w[fi].sum(0) + b[0], first, last, tr, st[0])
+    p = marginals(emitted(w, b), first, last, tr, st[0])
     feats = np.array([evidence(q) for q in np.split(p, np.cumsum(lengths)[:-1])])
     weight = np.where(y == 1, prior / nt, (1 - prior) / nc) * len(y)
     model.link = _logistic(feats, y, weight)
@@ -220,7 +246,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_ch
     rows = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").orderBy("doc_id", F.xxhash64("text"), "text").limit(4 * per_class).collect()
     once = {(r.text, int(r.toxic)) for r in rows}  # copies would make their own words look like cues
     texts, toxic = zip(*sorted(once), strict=True) if once else ((), ())
-    return fit(list(texts), list(toxic), prior)
+    del rows, once
+    model = fit(list(texts), list(toxic), prior)
+    fresh()  # the driver goes on with what the fit needed
+    return model
 
 
 def spans(text: str, p: np.ndarray) -> str:
