@@ -53,7 +53,11 @@ def trigrams(normalized: Column, padded: bool = True) -> Column:
 
 def similarity(query: Column, title: Column) -> Column:
     """0.65 · Jaccard + 0.35 · the share of the query's trigrams that the title has."""
-    q, t = trigrams(query), trigrams(title)
+    return overlap(trigrams(query), trigrams(title))
+
+
+def overlap(q: Column, t: Column) -> Column:
+    """The similarity of two texts by their distinct trigrams; these are best columns of their own, since each is used several times."""
     shared = F.size(F.array_intersect(q, t))
     every = F.size(F.array_union(q, t))
     return F.when((F.size(q) > 0) & (every > 0), 0.65 * shared / F.nullif(every, F.lit(0)) + 0.35 * shared / F.nullif(F.size(q), F.lit(0))).otherwise(0.0)

@@ -87,25 +87,33 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, body: str = "text") -> Dat
 
 def prefix_all(docs: DataFrame, queries: DataFrame, body: str = "text") -> DataFrame:
     """(qid, id): documents with a word for every token of the query; a token of three letters or more is a prefix."""
-    found = postings(docs, body).select("term", "id")
+    return _prefixed(postings(docs, body).select("term", "id"), queries)
+
+
+def _prefixed(found: DataFrame, queries: DataFrame) -> DataFrame:
     vocabulary = found.select("term").distinct()
     edges = vocabulary.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring("term", F.lit(1), i))).alias("token")).filter((F.length("token") > 2) | (F.col("token") == F.col("term")))
     wanted = query_terms(queries).withColumnRenamed("term", "token")
     need = wanted.groupBy("qid").agg(F.count("*").alias("need"))
-    have = wanted.join(edges, "token").join(found, "term").groupBy("qid", "id").agg(F.count_distinct("token").alias("have"))
+    meant = saved(wanted.join(edges, "token"))
+    have = found.join(few(meant), "term").groupBy("qid", "id").agg(F.count_distinct("token").alias("have"))
     return have.join(need, "qid").filter("have = need").select("qid", "id")
 
 
 def any_word(docs: DataFrame, queries: DataFrame, body: str = "text") -> DataFrame:
     """(qid, id, hits): documents with any of the query's words, and how many of them."""
-    return query_terms(queries).join(postings(docs, body), "term").groupBy("qid", "id").agg(F.count("*").alias("hits"))
+    return _any(positions(docs, body).select("term", "id"), queries)
+
+
+def _any(found: DataFrame, queries: DataFrame) -> DataFrame:
+    return found.join(few(query_terms(queries)), "term").groupBy("qid", "id").agg(F.count_distinct("term").alias("hits"))
 
 
 def phrase(docs: DataFrame, queries: DataFrame, body: str = "text") -> DataFrame:
     """(qid, id): documents that hold the query's words one after the other, stopwords included."""
     words = queries.select("qid", F.posexplode(T.tokens(T.normalize(F.col("query")))).alias("at", "term"))
     need = words.groupBy("qid").agg(F.count("*").alias("need"))
-    runs = words.join(positions(docs, body), "term").groupBy("qid", "id", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("have"))
+    runs = positions(docs, body).join(few(words), "term").groupBy("qid", "id", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("have"))
     return runs.join(need, "qid").filter("have = need").select("qid", "id").distinct()
 
 
@@ -127,14 +135,26 @@ def scored(candidates: DataFrame) -> DataFrame:
     The match term is the first that holds: exact, prefix, full coverage, coverage in part. An exact match is worth 12
     unless the query looks like a mistyped popular title, and up to 14 by its own votes.
     """
-    q, t = T.normalize(F.col("query")), T.normalize(F.col("title"))
-    rows = candidates.select("*", q.alias("_q"), t.alias("_t"), T.similarity(q, t).alias("_sim"), T.coverage(q, t).alias("_cov"))
-    twin = rows.groupBy("qid").agg(F.bool_or((F.col("_q") != F.col("_t")) & (F.col("_cov") < 0.999) & (F.col("_sim") >= 0.7) & (F.col("votes") >= 50_000)).alias("_twin"))
-    rows = rows.join(twin, "qid")
+    return _scored(candidates).drop("_q", "_t")
+
+
+def _rated(candidates: DataFrame) -> DataFrame:
+    """Adds _q and _t (query and title, normalised), _sim and _cov: each text is normalised and cut into trigrams once a row, in columns of their own."""
+    texts = candidates.select("*", T.normalize(F.col("query")).alias("_q"), T.normalize(F.col("title")).alias("_t"))
+    grams = texts.select("*", T.trigrams(F.col("_q")).alias("_gq"), T.trigrams(F.col("_t")).alias("_gt"))
+    return grams.select("*", T.overlap(F.col("_gq"), F.col("_gt")).alias("_sim"), T.coverage(F.col("_q"), F.col("_t")).alias("_cov")).drop("_gq", "_gt")
+
+
+def _scored(candidates: DataFrame) -> DataFrame:
+    candidates = saved(candidates)
+    near = (F.col("_q") != F.col("_t")) & (F.col("_cov") < 0.999) & (F.col("_sim") >= 0.7)
+    # Summed up, not filtered: a filter would go below the columns and repeat what they are made of.
+    twin = _rated(candidates.filter("votes >= 50000")).groupBy("qid").agg(F.bool_or(near).alias("_twin"))
+    rows = _rated(candidates).join(twin, "qid", "left")
     exact = F.greatest(F.when(F.col("_twin"), 0.0).otherwise(12.0), 14 * F.least(F.lit(1.0), F.ln(F.col("votes") + 10) / F.ln(F.lit(50_000.0))))
     match = F.when(F.col("_q") == F.col("_t"), exact).when(F.startswith("_t", "_q"), 9.0).when(F.col("_cov") >= 0.999, 12.0).otherwise(10 * F.col("_cov"))
     popular = 2.4 * F.ln(F.least("votes", F.lit(300_000)) + 10)
-    return rows.withColumn("score", F.round(22 * F.col("_sim") + match + popular, 4)).withColumn("coverage", F.col("_cov")).drop("_q", "_t", "_sim", "_cov", "_twin")
+    return rows.withColumn("score", F.round(22 * F.col("_sim") + match + popular, 4)).withColumn("coverage", F.col("_cov")).drop("_sim", "_cov", "_twin")
 
 
 def signalled(hits: DataFrame, this_year: int) -> DataFrame:
@@ -144,14 +164,13 @@ def signalled(hits: DataFrame, this_year: int) -> DataFrame:
     year than asked loses its match.
     """
     year, want = F.col("year"), F.col("want_year")
-    base = scored(hits.withColumn("votes", F.greatest("votes", F.col("buzz"))))
+    base = _scored(hits.withColumn("votes", F.greatest("votes", F.col("buzz"))))
     sat = lambda v: 2.4 * F.ln(F.least(v, F.lit(300_000)) + 10)
     ahead = Q.anticipation(year, this_year) * F.greatest(F.lit(0.0), sat(F.lit(1500)) - sat(F.col("votes")))
-    same = T.normalize(F.col("query")) == T.normalize(F.col("title"))
-    wrong = same & want.isNotNull() & year.isNotNull() & (F.abs(year - want) > 2)
+    wrong = (F.col("_q") == F.col("_t")) & want.isNotNull() & year.isNotNull() & (F.abs(year - want) > 2)
     lost = F.when(wrong, F.least(F.lit(14.0), F.greatest(F.lit(12.0), 14 * F.ln(F.col("votes") + 10) / F.ln(F.lit(50_000.0))))).otherwise(0.0)
     more = ahead + Q.year_score(year, want, F.col("want_decade")) + Q.kind_score(F.col("kind"), F.col("want_kind")) + Q.recency_score(year)
-    return base.withColumn("score", F.round(F.col("score") + more - lost, 4))
+    return base.withColumn("score", F.round(F.col("score") + more - lost, 4)).drop("_q", "_t")
 
 
 def stopword_hits(titles: DataFrame, queries: DataFrame, floor: int) -> DataFrame:

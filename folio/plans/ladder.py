@@ -8,7 +8,7 @@ from folio.functions import queries as Q
 from folio.operators import catalogue, search
 from folio.plans import text
 from folio.plans.browse import TITLES
-from folio.session import table
+from folio.session import few, table
 
 YEAR = 1996
 WANT = [(1, "red widget", 1995, None, "movie"), (2, "blue bolt", None, 1990, None), (3, "hot gear", 1996, None, "tvSeries"), (4, "old plate", 2010, None, None), (5, "gizmo", None, None, "movie"), (6, "anvil", None, 1980, None)]
@@ -22,7 +22,7 @@ def _scored(spark, sf_dir):
     titles = catalogue.titles(spark, sf_dir).select("id", "title", "votes", "year", kind.alias("kind"), (F.col("votes") + F.length("title")).alias("buzz"))
     asked = spark.createDataFrame(WANT, COLUMNS)
     found = search.any_word(text._titles(spark, sf_dir), asked.select("qid", "query")).select("qid", "id")
-    return search.signalled(found.join(titles, "id").join(asked, "qid"), YEAR)
+    return search.signalled(found.join(titles, "id").join(few(asked), "qid"), YEAR)
 
 
 def search_signals(spark, sf_dir):
@@ -41,7 +41,7 @@ def candidate_window(spark, sf_dir):
 def search_gate(spark, sf_dir):
     """Whether the hits of a query are weak, so that it climbs on."""
     titles = catalogue.titles(spark, sf_dir).select("id", "title", "votes")
-    rows = search.any_word(text._titles(spark, sf_dir), text._asked(spark)).join(titles, "id").join(text._asked(spark), "qid")
+    rows = search.any_word(text._titles(spark, sf_dir), text._asked(spark)).join(titles, "id").join(few(text._asked(spark)), "qid")
     return search.weak(search.top(search.scored(rows), 2, F.desc("score"), F.desc("votes")), 30)
 
 

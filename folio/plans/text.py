@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators import catalogue, postings, search
 from folio.plans.browse import TITLES
-from folio.session import table, temporary
+from folio.session import few, table, temporary
 
 ASKED = [(1, "red widget"), (2, "wdget"), (3, "blu bol"), (4, "the plate"), (5, "Hot Géar"), (6, "gizmo xyzzy"), (7, "anvl"), (8, "old")]
 QUERIES_SQL = "queries(qid, query) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in ASKED) + ")"
@@ -50,16 +50,18 @@ def normalize_text(spark, sf_dir):
 def trigram_similarity(spark, sf_dir):
     """Similarity of every title to each of the queries that share a trigram with it."""
     titles = table(spark, sf_dir, "part").select(F.col("p_name").alias("title")).distinct()
-    t = titles.select("title", F.explode(T.trigrams(T.normalize(F.col("title")))).alias("gram"))
-    q = _asked(spark).select("qid", "query", F.explode(T.trigrams(T.normalize(F.col("query")))).alias("gram"))
-    pairs = q.join(t, "gram").select("qid", "query", "title").distinct()
-    return pairs.select("qid", "title", F.round(T.similarity(T.normalize(F.col("query")), T.normalize(F.col("title"))), 6).alias("sim"))
+    grams = lambda c: T.trigrams(F.col(c)).alias("grams")
+    t = titles.select("title", T.normalize(F.col("title")).alias("_t")).select("title", grams("_t")).select("title", F.col("grams").alias("_gt"), F.explode("grams").alias("gram"))
+    q = _asked(spark).select("qid", T.normalize(F.col("query")).alias("_q")).select("qid", grams("_q")).select("qid", F.col("grams").alias("_gq"), F.explode("grams").alias("gram"))
+    pairs = t.join(few(q), "gram").select("qid", "title", "_gq", "_gt").dropDuplicates(["qid", "title"])
+    return pairs.select("qid", "title", F.round(T.overlap(F.col("_gq"), F.col("_gt")), 6).alias("sim"))
 
 
 def token_coverage(spark, sf_dir):
     """X11: how much of a query the titles of its candidates cover."""
-    hits = search.any_word(_titles(spark, sf_dir), _asked(spark)).join(_titles(spark, sf_dir), "id").join(_asked(spark), "qid")
-    return hits.select("qid", "id", F.round(T.coverage(T.normalize(F.col("query")), T.normalize(F.col("text"))), 6).alias("cov"))
+    hits = search.any_word(_titles(spark, sf_dir), _asked(spark)).join(_titles(spark, sf_dir), "id").join(few(_asked(spark)), "qid")
+    texts = hits.select("qid", "id", T.normalize(F.col("query")).alias("_q"), T.normalize(F.col("text")).alias("_t"))
+    return texts.select("qid", "id", F.round(T.coverage(F.col("_q"), F.col("_t")), 6).alias("cov"))
 
 
 def levenshtein_capped(spark, sf_dir):
@@ -115,7 +117,7 @@ def people_search(spark, sf_dir):
 def search_scored(spark, sf_dir):
     """The ten best titles with any of the words, by similarity, match and votes."""
     titles = catalogue.titles(spark, sf_dir).select("id", "title", "votes")
-    rows = search.any_word(_titles(spark, sf_dir), _asked(spark)).join(titles, "id").join(_asked(spark), "qid")
+    rows = search.any_word(_titles(spark, sf_dir), _asked(spark)).join(titles, "id").join(few(_asked(spark)), "qid")
     return search.top(search.scored(rows), 10, F.desc("score"), F.desc("votes")).select("qid", "id", "title", "score", "place")
 
 
