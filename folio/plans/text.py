@@ -79,7 +79,7 @@ def bm25_search(spark, sf_dir):
 
 
 def bm25_indexed(spark, sf_dir):
-    """The same ten from a written index, of which only the buckets and blocks that can matter are read."""
+    """The same ten from a written index, of which the buckets of the asked words are read and the blocks that can matter added up."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     index = postings.Postings(spark, temporary(spark)).build(docs)
